@@ -6,5 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from partloom.operators import timestamps, units
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p4_found": timestamps.p4_found,
+    "p4_status": timestamps.p4_status,
+    "p7_found": units.p7_found,
+    "p7_decoded": units.p7_decoded,
+}
 SQL: dict[str, str] = {}
