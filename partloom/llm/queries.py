@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import grouped_splits, groups
+from partloom.llm import ann, grouped_splits, groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "p1_found": ann.p1_found,
+    "p1_neighbours": ann.p1_neighbours,
     "p3_found": groups.p3_found,
     "p6_found": grouped_splits.p6_found,
     "p6_splits": grouped_splits.p6_splits,
