@@ -6,11 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import ann, grouped_splits, groups
+from partloom.llm import ann, grouped_splits, groups, overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": ann.p1_found,
     "p1_neighbours": ann.p1_neighbours,
+    "p2_found": overlap.p2_found,
+    "p2_coverage": overlap.p2_coverage,
     "p3_found": groups.p3_found,
     "p6_found": grouped_splits.p6_found,
     "p6_splits": grouped_splits.p6_splits,
