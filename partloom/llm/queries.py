@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import ann, grouped_splits, groups, overlap
+from partloom.llm import ann, density, grouped_splits, groups, overlap
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": ann.p1_found,
@@ -14,6 +14,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p2_found": overlap.p2_found,
     "p2_coverage": overlap.p2_coverage,
     "p3_found": groups.p3_found,
+    "p5_found": density.p5_found,
+    "p5_medoids": density.p5_medoids,
     "p6_found": grouped_splits.p6_found,
     "p6_splits": grouped_splits.p6_splits,
     "p6_domain_splits": grouped_splits.p6_domain_splits,
