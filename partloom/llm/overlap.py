@@ -13,15 +13,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.ids import key128, part_ref, usable_hash
-from partloom.llm.vectors import BLOCKS, as_binary, as_matrix, digest, joined_unit_vectors
+from partloom.llm.vectors import BLOCKS, as_binary, as_matrix, joined_unit_vectors
 from partloom.session import materialize, table
 
 #: Symbols of a vector: number, step, and length of the runs that are hashed; window of the winnowing.
-SYMBOLS, STEP, RUN, WINDOW = 216, 0.025, 8, 12
+SYMBOLS, STEP, RUN, WINDOW = 216, 0.02, 8, 12
+#: Share of symbols that may differ in parity before two aligned vectors are compared in full.
+ODD = 0.42
 
 
 def directions(dims: int, symbols: int = SYMBOLS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -70,53 +73,81 @@ def members(lists: DataFrame) -> DataFrame:
 
 
 def listed_records(signatures: DataFrame, lists: DataFrame) -> DataFrame:
-    """Table ``(part_id, source, c, g, vec, cls, held)`` of the listed parts; ``cls`` stands for one exact vector."""
-    rows = signatures.filter(F.col("part_id").isNotNull()).select("part_id", F.col("source_dataset").alias("source"), key128(F.lit("c"), usable_hash(F.col("content_hash"))).alias("c"), key128(F.lit("g"), usable_hash(F.col("geom_hash"))).alias("g"), *BLOCKS)
+    """Table ``(part_id, c, g, vec, cls, held)`` of the listed parts: key of either hash, vector and its 16-byte digest."""
+    rows = signatures.filter(F.col("part_id").isNotNull()).select("part_id", key128(F.lit("c"), usable_hash(F.col("content_hash"))).alias("c"), key128(F.lit("g"), usable_hash(F.col("geom_hash"))).alias("g"), *BLOCKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             v, ok = joined_unit_vectors(b, BLOCKS)
             none = pa.nulls(b.num_rows, pa.binary())
-            vec = pa.compute.if_else(pa.array(ok), as_binary(v), none) if b.num_rows else none
-            cls = pa.array([digest(x) if k else None for x, k in zip(v, ok, strict=True)], pa.binary())
-            yield pa.record_batch({**{c: b.column(c) for c in ("part_id", "source", "c", "g")}, "vec": vec, "cls": cls})
+            vec = pc.if_else(pa.array(ok), as_binary(v), none) if b.num_rows else none
+            yield pa.record_batch({**{c: b.column(c) for c in ("part_id", "c", "g")}, "vec": vec})
 
-    import pyarrow.compute  # noqa: F401, PLC0415  (used in the tasks as pa.compute)
-
-    out = rows.mapInArrow(run, "part_id string, source string, c binary, g binary, vec binary, cls binary")
-    return materialize(out.join(members(lists), "part_id"), "listed")
+    out = rows.mapInArrow(run, "part_id string, c binary, g binary, vec binary").join(members(lists), "part_id")
+    return materialize(out.withColumn("cls", F.unhex(F.md5("vec"))), "listed")
 
 
 def fingerprints(records: DataFrame) -> DataFrame:
-    """Distinct ``(fp, cls)`` of the vectors; copies of a vector are dropped before the shuffle."""
+    """Distinct ``(fp, v)`` with ``v`` a hash of the vector; copies of a vector in a batch are dropped before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = None
         for b in batches:
-            if not b.num_rows:
-                continue
-            cls, first = np.unique(np.array(b.column("cls").to_pylist(), object), return_index=True)
-            v = as_matrix(b.column("vec"))[np.sort(first)]
-            cls = b.column("cls").take(pa.array(np.sort(first)))
-            turns = turns or directions(v.shape[1])
-            for i in range(0, len(v), 4096):
-                row, _, fp = winnow(symbols_of(v[i : i + 4096], *turns))
-                yield pa.record_batch({"fp": pa.array(fp), "cls": cls.take(pa.array(row + i))})
+            first = np.unique(b.column("v").to_numpy(), return_index=True)[1]
+            m = as_matrix(b.column("vec"))[first]
+            for i in range(0, len(m), 4096):
+                turns = turns or directions(m.shape[1])
+                row, _, fp = winnow(symbols_of(m[i : i + 4096], *turns))
+                yield pa.record_batch({"fp": pa.array(fp), "v": b.column("v").take(pa.array(first[row + i]))})
 
-    return records.filter(F.col("vec").isNotNull()).select("vec", "cls").mapInArrow(run, "fp long, cls binary").distinct()
+    prints = records.filter(F.col("vec").isNotNull()).select("vec", F.xxhash64("vec").alias("v")).mapInArrow(run, "fp long, v long")
+    return prints.repartition("fp").dropDuplicates(["fp", "v"])
 
 
 def chained(prints: DataFrame) -> DataFrame:
     """``(a, b, seeds, reach)`` of pairs of different vectors with a common fingerprint, and how far their seeds reach."""
     place = F.col("fp").bitwiseAND(255)
-    pairs = prints.select("fp", F.col("cls").alias("a")).join(prints.select("fp", F.col("cls").alias("b")), "fp").filter(F.col("a") < F.col("b"))
+    pairs = prints.select("fp", F.col("v").alias("a")).join(prints.select("fp", F.col("v").alias("b")), "fp").filter(F.col("a") < F.col("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("seeds"), (F.max(place) - F.min(place) + RUN).alias("reach"))
 
 
-def aligned(pairs: DataFrame, records: DataFrame, min_sim: float) -> DataFrame:
-    """``(a, b, sim, coverage)`` of candidate pairs of vectors with at least ``min_sim``; coverage is the share of equal symbols."""
-    one = records.filter(F.col("vec").isNotNull()).select("cls", "vec").dropDuplicates(["cls"])
-    both = pairs.select("a", "b").join(one.select(F.col("cls").alias("a"), F.col("vec").alias("va")), "a").join(one.select(F.col("cls").alias("b"), F.col("vec").alias("vb")), "b")
+def parities(records: DataFrame) -> DataFrame:
+    """``(v, w0, w1, ..)``: one bit per symbol of each distinct vector, in words of 64."""
+    words = -(-SYMBOLS // 64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turns = None
+        for b in batches:
+            m = as_matrix(b.column("vec"))
+            if not len(m):
+                continue
+            turns = turns or directions(m.shape[1])
+            bits = np.packbits(np.pad(symbols_of(m, *turns) & 1, ((0, 0), (0, words * 64 - SYMBOLS))).astype(bool), axis=1).view(np.int64)
+            yield pa.record_batch({"v": b.column("v"), **{f"w{k}": pa.array(bits[:, k].copy()) for k in range(words)}})
+
+    out = records.filter(F.col("vec").isNotNull()).select("vec", F.xxhash64("vec").alias("v")).mapInArrow(run, "v long, " + ", ".join(f"w{k} long" for k in range(words)))
+    return out.groupBy("v").agg(*[F.min(f"w{k}").alias(f"w{k}") for k in range(words)])
+
+
+def extended(pairs: DataFrame, bits: DataFrame) -> DataFrame:
+    """Pairs whose symbols, aligned along their whole length, differ in parity in a share of at most :data:`ODD`."""
+    words = [c for c in bits.columns if c != "v"]
+    for side in ("a", "b"):
+        pairs = pairs.join(bits.select(F.col("v").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
+    odd = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    return pairs.filter(odd <= int(ODD * SYMBOLS)).select("a", "b")
+
+
+def aligned(pairs: DataFrame, records: DataFrame, min_sim: float, broadcast_rows: int = 1_000_000) -> DataFrame:
+    """``(a, b, coverage)`` by vector digests, of candidate pairs with at least ``min_sim``; coverage is the share of
+    equal symbols. The vectors that occur in pairs are picked by a broadcast of their 8-byte hashes if these are at
+    most ``broadcast_rows``, else by a shuffled join."""
+    pairs = materialize(pairs, "pairs")
+    wanted = materialize(pairs.select(F.col("a").alias("v")).unionByName(pairs.select(F.col("b").alias("v"))).distinct(), "wanted")
+    pick = F.broadcast(wanted) if wanted.count() <= broadcast_rows else wanted
+    one = records.filter(F.col("vec").isNotNull()).select(F.xxhash64("vec").alias("v"), "cls", "vec").join(pick, "v", "left_semi").dropDuplicates(["v"])
+    left, right = (one.select(F.col("v").alias(k), F.col("cls").alias(f"c{k}"), F.col("vec").alias(f"v{k}")) for k in ("a", "b"))
+    both = pairs.join(left, "a").join(right, "b").select("ca", "cb", "va", "vb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turns = None
@@ -128,9 +159,9 @@ def aligned(pairs: DataFrame, records: DataFrame, min_sim: float) -> DataFrame:
             sim = np.einsum("nd,nd->n", x, y, dtype=np.float64)
             cover = (symbols_of(x, *turns) == symbols_of(y, *turns)).mean(1)
             at = pa.array(np.flatnonzero(sim >= min_sim - 1e-7))
-            yield pa.record_batch({"a": b.column("a").take(at), "b": b.column("b").take(at), "sim": pa.array(sim).take(at), "coverage": pa.array(cover).take(at)})
+            yield pa.record_batch({"a": b.column("ca").take(at), "b": b.column("cb").take(at), "coverage": pa.array(cover).take(at)})
 
-    return both.mapInArrow(run, "a binary, b binary, sim double, coverage double")
+    return both.mapInArrow(run, "a binary, b binary, coverage double")
 
 
 def cross_split_cases(records: DataFrame, min_sim: float = 0.996) -> DataFrame:
@@ -142,7 +173,7 @@ def cross_split_cases(records: DataFrame, min_sim: float = 0.996) -> DataFrame:
     """
     keys = F.array_compact(F.array("c", "g", "cls", key128(F.lit("p"), F.col("part_id"))))
     rows = records.select("part_id", "held", F.explode(keys).alias("key")).distinct()
-    near = aligned(chained(fingerprints(records)), records, min_sim).select("a", "b", "coverage")
+    near = aligned(extended(chained(fingerprints(records)), parities(records)), records, min_sim)
     ends = F.explode(F.array(F.struct(F.col("a").alias("kt"), F.col("b").alias("kh")), F.struct(F.col("b").alias("kt"), F.col("a").alias("kh"))))
     sides = rows.select("part_id", "key", F.explode("held").alias("h")).select("part_id", "key", "h.*")
     same = sides.groupBy("key").agg(F.max("train").alias("t"), F.max("held_out").alias("h")).filter("t and h").select(F.col("key").alias("kt"), F.col("key").alias("kh"), F.lit(1.0).alias("coverage"))
@@ -165,7 +196,8 @@ def p2_found(spark, sf_dir: str) -> DataFrame:
 def p2_coverage(spark, sf_dir: str) -> DataFrame:
     """Per split and source: records held out, those that come back in train, and their mean coverage."""
     records = _records(spark, sf_dir)
-    held = records.select("part_id", "source", F.explode("held").alias("h")).filter("h.held_out").select("part_id", "source", "h.protocol", "h.split_id").distinct()
+    source = table(spark, sf_dir, "signatures").groupBy("part_id").agg(F.min("source_dataset").alias("source"))
+    held = records.join(source, "part_id").select("part_id", "source", F.explode("held").alias("h")).filter("h.held_out").select("part_id", "source", "h.protocol", "h.split_id").distinct()
     best = cross_split_cases(records).groupBy("protocol", "split_id", F.col("held_out_part").alias("part_id")).agg(F.max("coverage").alias("coverage"))
     rows = held.join(best, ["protocol", "split_id", "part_id"], "left")
     return rows.groupBy("protocol", "split_id", "source").agg(F.count("*").alias("held_out"), F.count("coverage").alias("leaked"), F.round(F.avg("coverage"), 4).alias("mean_coverage"))

@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -86,12 +87,10 @@ def unit_vectors(signatures: DataFrame, without: tuple[str, ...] = (), copies: i
             vec = as_binary(v) if len(at) else none
             if extra.any():
                 mask = pa.array(extra)
-                yield pa.record_batch({"part_id": ids, "vec": pa.compute.if_else(mask, none, vec), "copy_of": pa.array([digest(v[i]) if extra[i] else None for i in range(len(at))], pa.binary())})
+                yield pa.record_batch({"part_id": ids, "vec": pc.if_else(mask, none, vec), "copy_of": pa.array([digest(v[i]) if extra[i] else None for i in range(len(at))], pa.binary())})
             else:
                 yield pa.record_batch({"part_id": ids, "vec": vec, "copy_of": none})
 
-    import pyarrow.compute  # noqa: F401, PLC0415  (used in the tasks as pa.compute)
-
     return materialize(rows.mapInArrow(run, "part_id string, vec binary, copy_of binary"), "vectors")
 
 
