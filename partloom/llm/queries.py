@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import ann, density, grouped_splits, groups, overlap
+from partloom.llm import ann, density, grouped_splits, groups, overlap, packing, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": ann.p1_found,
@@ -19,5 +19,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p6_found": grouped_splits.p6_found,
     "p6_splits": grouped_splits.p6_splits,
     "p6_domain_splits": grouped_splits.p6_domain_splits,
+    "p8_ids": tokenizer.p8_ids,
+    "p8_counts": tokenizer.p8_counts,
+    "p9_pack": packing.p9_pack,
+    "p9_fill": packing.p9_fill,
 }
 SQL: dict[str, str] = {}
