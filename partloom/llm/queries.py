@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from partloom.llm import ann, density, grouped_splits, groups, overlap, packing, tokenizer
+from partloom.llm import ann, density, grouped_splits, groups, overlap, packing, subjects, tokenizer
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p1_found": ann.p1_found,
@@ -23,5 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p8_counts": tokenizer.p8_counts,
     "p9_pack": packing.p9_pack,
     "p9_fill": packing.p9_fill,
+    "p10_found": subjects.p10_found,
+    "p10_composition": subjects.p10_composition,
 }
 SQL: dict[str, str] = {}
