@@ -35,12 +35,12 @@ def date_from_text(c: Column) -> Column:
 
 
 #: Formats of explicit timestamps, in the order they are tried on the text before its first point.
-EXPLICIT_FORMATS = ("yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss", "yyyy-M-d", "yyyy/M/d HH:mm:ss", "yyyy/M/d", "d.M.yyyy")
+EXPLICIT_FORMATS = ("yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss", "yyyy-M-d", "yyyy/M/d HH:mm:ss", "yyyy/M/d", "d-M-yyyy")
 
 
 def explicit_date(c: Column) -> Column:
     """Date of a timestamp text by the first fitting format; zone marks and fractions are not read, other texts give null."""
-    t = F.trim(F.split(c, r"\.\d+").getItem(0))
+    t = F.regexp_replace(F.trim(F.split(c, r"\.").getItem(0)), r"\s+", " ")
     return F.coalesce(*[F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in EXPLICIT_FORMATS])
 
 

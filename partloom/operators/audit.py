@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SIDES = F.when(F.col("subset") == "test", "test").otherwise("train")
+
+
+def _side() -> Column:
+    """Calib counts to the train side."""
+    return F.when(F.col("subset") == "test", "test").otherwise("train")
 
 
 def spread_over_sides(members: DataFrame, key: str) -> DataFrame:
     """``(protocol, split_id, key)`` of values of ``key`` that occur in test and in train or calib of one split."""
     rows = members.filter(F.col(key).isNotNull()).groupBy("protocol", "split_id", key)
-    both = rows.agg(F.max(SIDES == "test").alias("t"), F.max(SIDES == "train").alias("r"))
+    both = rows.agg(F.max(_side() == "test").alias("t"), F.max(_side() == "train").alias("r"))
     return both.filter("t and r").select("protocol", "split_id", F.col(key).alias("value"))
 
 
@@ -23,7 +27,7 @@ def in_several_subsets(members: DataFrame, key: str = "part_id") -> DataFrame:
 
 def canonical_leaks(members: DataFrame) -> DataFrame:
     """Canonicals on both sides of a split; ``true_leak`` if a usable content hash is shared across the sides as well."""
-    side = members.filter(F.col("canonical").isNotNull()).select("protocol", "split_id", "canonical", "content_hash", SIDES.alias("side"))
+    side = members.filter(F.col("canonical").isNotNull()).select("protocol", "split_id", "canonical", "content_hash", _side().alias("side"))
     nominal = spread_over_sides(members, "canonical")
     shared = side.filter(F.col("content_hash").isNotNull()).groupBy("protocol", "split_id", "canonical", "content_hash").agg(F.count_distinct("side").alias("sides"))
     true = shared.filter("sides = 2").select("protocol", "split_id", F.col("canonical").alias("value"), F.lit(True).alias("true_leak")).distinct()

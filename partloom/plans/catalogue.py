@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from partloom.operators import timestamps, units
+from partloom.plans import index_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": timestamps.p4_found,
     "p4_status": timestamps.p4_status,
     "p7_found": units.p7_found,
     "p7_decoded": units.p7_decoded,
+    **index_queries.QUERIES,
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {**index_queries.SQL}
