@@ -15,7 +15,7 @@ from partloom.operators.graph import both_ways, contract, label_by_name, star_ed
 from partloom.session import table
 
 
-def shifted_growth(beta: float = 0.6, hops: int = 4):
+def shifted_growth(beta: float = 0.15, hops: int = 4):
     """Assignment for :func:`contract`: ``hops`` steps of growth from exponentially shifted starts.
 
     A vertex joins the centre with the largest ``shift - distance``. Shift and centre travel as one long, the shift in
@@ -40,7 +40,7 @@ def shifted_growth(beta: float = 0.6, hops: int = 4):
     return assign
 
 
-def link_groups(nodes: DataFrame, edges: DataFrame, name: str = "part_id", label: str = "group_id", beta: float = 0.6, hops: int = 4) -> DataFrame:
+def link_groups(nodes: DataFrame, edges: DataFrame, name: str = "part_id", label: str = "group_id", beta: float = 0.15, hops: int = 4) -> DataFrame:
     """``(name, label)`` of every linked vertex: ``nodes`` is ``(id, name)``, ``edges`` ``(src, dst)`` over those ids.
 
     The label is the smallest name of the group. Loops, repeats and both directions of an edge count once; vertices
