@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ZERO = 1e-12
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once; inside a lambda an outer expression would be computed per element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
@@ -16,10 +23,9 @@ def length(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
 
-def unit(a: Column) -> Column:
-    """The vector over its length plus 1e-12, so a zero vector stays zero."""
-    n = length(a) + ZERO
-    return F.transform(a, lambda x: x.cast("double") / n)
+def unit(a: Column, scale: float = 1.0) -> Column:
+    """The vector over its length plus 1e-12, times ``scale``; a zero vector stays zero."""
+    return _let(a, lambda v: _let(length(v) + ZERO, lambda n: F.transform(v, lambda x: x.cast("double") / n * scale)))
 
 
 def padded(a: Column, width: int) -> Column:
@@ -36,7 +42,7 @@ def packed(blocks: dict[str, int]) -> Column:
 def block_normed(blocks: dict[str, int], weight: str = "equal") -> Column:
     """Blocks of length one, weighted equally or by one over the root of their width, joined and of length one."""
     scale = {c: 1.0 if weight == "equal" else w**-0.5 for c, w in blocks.items()}
-    return unit(F.concat(*[F.transform(unit(padded(F.col(c), w)), lambda x, k=scale[c]: x * k) for c, w in blocks.items()]))
+    return unit(F.concat(*[unit(padded(F.col(c), w), scale[c]) for c, w in blocks.items()]))
 
 
 def chebyshev(a: Column, b: Column) -> Column:

@@ -42,7 +42,7 @@ def extract(faces: DataFrame, min_depth: float, min_radius: float, most: int = 1
 
     Numbered over all cylinders in face order before the size filter, so numbers may have gaps; at most ``most`` a part.
     """
-    order = Window.partitionBy("part_id").orderBy("face_no")
+    order = Window.partitionBy("part_id").orderBy("face_no", "radius", "depth")
     cyl = faces.filter((F.col("kind") == CYLINDER) & (F.col("radius") >= 0.25)).withColumn("no", F.row_number().over(order))
     ring = faces.groupBy("part_id").agg(F.bool_or(F.col("kind") == "plane").alias("has_entry_ring"))
     rows = cyl.drop("semi_angle").join(best_coaxial(faces), ["part_id", "face_no"], "left").join(ring, "part_id", "left")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from partloom.operators import timestamps, units
-from partloom.plans import index_queries
+from partloom.plans import index_queries, split_queries, vector_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": timestamps.p4_found,
@@ -15,5 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p7_found": units.p7_found,
     "p7_decoded": units.p7_decoded,
     **index_queries.QUERIES,
+    **split_queries.QUERIES,
+    **vector_queries.QUERIES,
 }
-SQL: dict[str, str] = {**index_queries.SQL}
+SQL: dict[str, str] = {**index_queries.SQL, **split_queries.SQL, **vector_queries.SQL}
