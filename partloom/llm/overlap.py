@@ -22,7 +22,7 @@ from partloom.llm.vectors import BLOCKS, as_binary, as_matrix, joined_unit_vecto
 from partloom.session import materialize, table
 
 #: Symbols of a vector: number, step, and length of the runs that are hashed; window of the winnowing.
-SYMBOLS, STEP, RUN, WINDOW = 216, 0.02, 8, 8
+SYMBOLS, STEP, RUN, WINDOW = 216, 0.02, 6, 8
 #: Share of symbols that may differ in parity before two aligned vectors are compared in full.
 ODD = 0.42
 
