@@ -150,7 +150,7 @@ def wilson(hits: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson interval of a share, clamped to [0, 1]; (0, 0) for ``n`` = 0."""
     p, m = hits / F.nullif(n, F.lit(0)), F.nullif(n, F.lit(0))
     mid, half, den = p + z * z / (2 * m), z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)), 1 + z * z / m
-    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    zero = lambda c: F.when(n > 0, c).otherwise(0.0)
     return zero(F.greatest(F.lit(0.0), (mid - half) / den)), zero(F.least(F.lit(1.0), (mid + half) / den))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions import scalars as S
 from partloom.functions import vectors as V
-from partloom.operators import audit, candidates, cluster, simjoin, stats
+from partloom.operators import audit, candidates, cluster, shapes, simjoin, stats
 from partloom.session import table
 
 BLOCKS = {"d2_hist": 64, "bbox_ratio": 2, "surf_hist": 6, "dih_hist": 36}
@@ -116,6 +116,25 @@ def faces(spark, d) -> DataFrame:
     return x.select(F.col("l_orderkey").alias("part_id"), F.col("l_linenumber").alias("face_no"), kind.alias("kind"), (F.col("l_quantity") / 2).cast("double").alias("radius"), (F.col("l_extendedprice") / 1000).cast("double").alias("depth"), F.col("l_discount").cast("double").alias("ax"), F.col("l_tax").cast("double").alias("ay"), F.lit(0.5).alias("az"), (15 + 5 * F.col("l_linenumber")).cast("double").alias("semi_angle"))
 
 
+def _points(spark, d) -> DataFrame:
+    """Parts as the points of their brand."""
+    p = table(spark, d, "part")
+    return p.select(F.col("p_brand").alias("part_id"), F.col("p_partkey").alias("point_id"), F.col("p_size").cast("double").alias("x"), (F.col("p_retailprice") / 50).cast("double").alias("y"), (F.col("p_partkey") % 97).cast("double").alias("z"))
+
+
+def normalised_points(spark, d):
+    return shapes.normalised_points(_points(spark, d)).select("part_id", "point_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")])
+
+
+def pair_distances(spark, d):
+    """Histogram of the distances of 512 seeded pairs of points per brand."""
+    return shapes.pair_distance_histogram(shapes.normalised_points(_points(spark, d)), pairs=512)
+
+
+def thinned_points(spark, d):
+    return shapes.thinned(_points(spark, d), 16).select("part_id", "point_id")
+
+
 def face_type_hist(spark, d):
     """Share of each face kind per part."""
     f = faces(spark, d)
@@ -264,6 +283,8 @@ def _block_normed(weight: str) -> str:
 KNN = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] v FROM embeddings), n AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_sum(list_transform(v, lambda y: y * y)))) u FROM e),
   k AS (SELECT a.vec_id query_id, b.vec_id other_id, list_dot_product(a.u, b.u) sim FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, other_id) rank FROM k)"""
 BOXES = f"WITH {USABLE}, p AS (SELECT part_id, bbox_ratio[1] x, bbox_ratio[2] y FROM u), g AS (SELECT a.part_id, count(*) AS degree FROM p a JOIN p b ON b.x BETWEEN a.x - {BOX_EPS} AND a.x + {BOX_EPS} AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) <= {BOX_EPS} GROUP BY 1)"
+POINTS = """p AS (SELECT p_brand AS part_id, p_partkey AS point_id, p_size::DOUBLE x, p_retailprice::DOUBLE / 50 y, (p_partkey % 97)::DOUBLE z FROM part),
+  m AS (SELECT part_id, avg(x) mx, avg(y) my, avg(z) mz, sqrt(pow(max(x) - min(x), 2) + pow(max(y) - min(y), 2) + pow(max(z) - min(z), 2)) + 1e-9 g FROM p GROUP BY 1), n AS (SELECT part_id, point_id, (x - mx) / g AS x, (y - my) / g AS y, (z - mz) / g AS z FROM p JOIN m USING (part_id))"""
 FACES = "f AS (SELECT l_orderkey AS part_id, l_linenumber AS face_no, CASE l_returnflag WHEN 'R' THEN 'cylinder' WHEN 'A' THEN 'cone' ELSE 'plane' END AS kind, l_quantity::DOUBLE / 2 AS radius, l_extendedprice::DOUBLE / 1000 AS depth, l_discount::DOUBLE ax, l_tax::DOUBLE ay, 0.5::DOUBLE az, (15 + 5 * l_linenumber)::DOUBLE AS semi_angle FROM lineitem)"
 COS = "(a.ax * b.ax + a.ay * b.ay + a.az * b.az) / (sqrt(a.ax * a.ax + a.ay * a.ay + a.az * a.az) * sqrt(b.ax * b.ax + b.ay * b.ay + b.az * b.az))"
 COAX = f"x AS (SELECT part_id, face_no, cone_no, coax_dot, semi_angle FROM (SELECT *, row_number() OVER (PARTITION BY part_id, face_no ORDER BY coax_dot DESC, cone_no) r FROM (SELECT a.part_id, a.face_no, b.face_no cone_no, b.semi_angle, round(abs({COS}), 9) coax_dot FROM f a JOIN f b USING (part_id) WHERE a.kind = 'cylinder' AND b.kind = 'cone') WHERE coax_dot > 0.995) WHERE r = 1)"
@@ -280,7 +301,7 @@ def _u(tag: str) -> str:
 QUERIES = {
     f.__name__: f
     for f in (
-        vec_l2, block_norm, block_dims, bbox_spread, knn_topk, cosine_pairs, kth_distance, auto_eps, eps_neighbours, dbscan_core, dbscan_labels, face_type_hist, primitive_kinds, bbox_ratio,
+        vec_l2, block_norm, block_dims, bbox_spread, knn_topk, cosine_pairs, kth_distance, auto_eps, eps_neighbours, dbscan_core, dbscan_labels, normalised_points, pair_distances, thinned_points, face_type_hist, primitive_kinds, bbox_ratio,
         hist64, roundness, mean_of_means, coaxial_best_match, hole_extraction, candidates_agg, candidate_quality, record_validation, candidate_totals, capped_sample, recall_match, recall_wilson,
         param_grid, tuned_setting, stress_set, status_counts, status_rollup, latency_quantiles,
     )
@@ -297,6 +318,12 @@ SQL = {
     "auto_eps": f"{KNN}, z AS (SELECT quantile_cont(sqrt(greatest(0.0, 2 - 2 * sim)), 0.12) * 1.02 e FROM r WHERE rank = 6) SELECT round(e, 6) AS eps, sqrt(0.024) AS fallback, round(e / sqrt(0.024), 6) AS ratio FROM z",
     "eps_neighbours": f"{BOXES} SELECT * FROM g",
     "dbscan_core": f"{BOXES} SELECT degree >= {BOX_MIN} AS core, count(*) AS n FROM g GROUP BY 1",
+    "normalised_points": f"WITH {POINTS} SELECT part_id, point_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM n",
+    "pair_distances": f"""WITH {POINTS}, o AS (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY point_id) no, count(*) OVER (PARTITION BY part_id) size FROM n), d AS (SELECT part_id, size, unnest(range(1, 513)) draw FROM (SELECT DISTINCT part_id, size FROM o) WHERE size >= 4),
+        k AS (SELECT part_id, ('0x' || md5('i42:' || part_id || ':' || draw)[:8])::BIGINT % size + 1 AS i, ('0x' || md5('j42:' || part_id || ':' || draw)[:8])::BIGINT % size + 1 AS j FROM d),
+        b AS (SELECT k.part_id, least(64, floor(least(1.0, round(sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z)) / sqrt(3.0), 9)) * 64) + 1)::INT AS bin FROM k JOIN o a ON a.part_id = k.part_id AND a.no = k.i JOIN o c ON c.part_id = k.part_id AND c.no = k.j)
+        SELECT part_id, bin, round(count(*) / 512, 6) AS share FROM b GROUP BY 1, 2""",
+    "thinned_points": f"WITH {POINTS} SELECT part_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY md5('0:' || part_id || ':' || point_id), point_id) r FROM p) WHERE r <= 16",
     "face_type_hist": f"WITH {FACES} SELECT part_id, " + ", ".join(f"round(avg((kind = '{k}')::INT), 6) AS {k}" for k in ("plane", "cylinder", "cone")) + " FROM f GROUP BY 1",
     "primitive_kinds": f"SELECT p.kind AS kind, count(*) AS n, round(avg(p.params['radius']), 4) AS mean_radius FROM (SELECT unnest(primitives) p FROM {HOLES}) GROUP BY 1",
     "bbox_ratio": "WITH b AS (SELECT l_suppkey, list_sort([(max(l_quantity) - min(l_quantity))::DOUBLE, (max(l_extendedprice / 1000) - min(l_extendedprice / 1000))::DOUBLE, (max(l_discount * 100) - min(l_discount * 100))::DOUBLE]) s FROM lineitem GROUP BY 1) SELECT l_suppkey, round(s[1] / (s[3] + 1e-12), 6) AS r1, round(s[2] / (s[3] + 1e-12), 6) AS r2 FROM b",
