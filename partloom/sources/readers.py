@@ -95,13 +95,13 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
 
 def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     """``(key, value)`` rows of a JSON object; ``value`` is the type of its values."""
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")))
 
 
 def report_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) -> DataFrame:
     """One row a file with the first match of each pattern as a number; null where it does not occur."""
-    text = spark.read.option("wholetext", True).text(path).select("value", F.input_file_name().alias("path"))
+    text = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("path"))
     number = lambda p: F.regexp_extract("value", p, 1).try_cast("double")
     return text.select("path", *[number(p).alias(k) for k, p in patterns.items()])
 
