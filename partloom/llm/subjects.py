@@ -9,6 +9,7 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -19,6 +20,9 @@ from pyspark.sql import functions as F
 
 from partloom.session import materialize, table
 
+#: Rows of a vocabulary table that are sent to the tasks as a whole (some tens of megabytes); a larger one is joined.
+MOST_SENT = 300_000
+
 _QUOTE = re.compile(r"\[(?P<bopen>quote)(?:=[^\]\n]*)?\]|\[/(?P<bclose>quote|qoute|qute|qoute|quotes)\]|<(?P<hopen>blockquote)\b[^>\n]*>|</(?P<hclose>blockquote)\s*>", re.IGNORECASE)
 _MARKUP = re.compile(r"\[(?:img|url)(?:=[^\]\n]*)?\]\s*(?:https?://\S*?)?(?=\[/|\s|$)|\[/?[a-z*]+(?:=[^\]\n]*)?\]|</?[a-z][^>\n]*>", re.IGNORECASE)
 _QUOTED_LINE = re.compile(r"^\s*[>|]")
@@ -108,24 +112,60 @@ def sentences(documents: DataFrame) -> DataFrame:
     return materialize(rows.mapInArrow(run, "doc_id long, said array<array<string>>").dropDuplicates(["doc_id"]), "said")
 
 
-def indifferent_terms(said: DataFrame, labels: DataFrame, least_docs: int = 12, most_gain: float = 0.35) -> DataFrame:
+def _counts(rows: DataFrame, group: str, once: bool) -> DataFrame:
+    """``(term, group, n)`` over rows of ``(said, group)``: rows or, with ``once`` unset, occurrences of each term.
+
+    Every batch adds up its own terms first, so the shuffle has each term about once per batch and group.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            seen: Counter = Counter()
+            for said, g in zip(b.column("said").to_pylist(), b.column(group).to_pylist(), strict=True):
+                words = (w for s in said for w in s)
+                seen.update((w, g) for w in (set(words) if once else words))
+            terms, groups = zip(*seen, strict=True) if seen else ((), ())
+            yield pa.record_batch({"term": pa.array(terms, pa.string()), group: pa.array(groups, b.column(group).type), "n": pa.array(list(seen.values()), pa.int64())})
+
+    kind = rows.schema[group].dataType.simpleString()
+    return rows.select("said", group).mapInArrow(run, f"term string, {group} {kind}, n long").groupBy("term", group).agg(F.sum("n").alias("n"))
+
+
+def indifferent_terms(named: DataFrame, least_docs: int = 12, most_gain: float = 0.35) -> DataFrame:
     """``(term,)``: words that hand-labelled documents of all subjects use alike, such as function words.
 
-    The gain is the divergence in nats of the subjects of a term's labelled documents from those of all of them.
+    ``named`` is ``(term, subject, n)`` over labelled documents. The gain is the divergence in nats of the subjects of a
+    term's documents from those of all of them.
     """
-    named = said.join(_majority(labels), "doc_id").select("doc_id", "subject", F.explode(F.array_distinct(F.flatten("said"))).alias("term"))
-    counts = named.groupBy("term", "subject").agg(F.count("*").alias("n"))
-    prior = counts.groupBy("subject").agg(F.sum("n").alias("m"))
+    prior = named.groupBy("subject").agg(F.sum("n").alias("m"))
     total = prior.agg(F.sum("m")).first()[0] or 1
     p = F.col("n") / F.col("all")
-    gain = counts.withColumn("all", F.sum("n").over(Window.partitionBy("term"))).join(prior, "subject").withColumn("g", p * F.log(p * F.lit(total) / F.col("m")))
+    gain = named.withColumn("all", F.sum("n").over(Window.partitionBy("term"))).join(prior, "subject").withColumn("g", p * F.log(p * F.lit(total) / F.col("m")))
     return gain.groupBy("term").agg(F.sum("g").alias("gain"), F.max("all").alias("docs")).filter((F.col("docs") >= least_docs) & (F.col("gain") < most_gain)).select("term")
 
 
+def _content_words(said: DataFrame, plain: DataFrame) -> DataFrame:
+    """``(doc_id, words)``: distinct words of each document that are not ``plain``, of documents with at least two.
+
+    The plain words go to the tasks as a set if they are at most :data:`MOST_SENT`, else by a join on every word.
+    """
+    if plain.count() > MOST_SENT:
+        terms = said.select("doc_id", F.explode(F.array_distinct(F.flatten("said"))).alias("term")).join(plain, "term", "left_anti")
+        return terms.groupBy("doc_id").agg(F.collect_list("term").alias("words")).filter(F.size("words") >= 2)
+    skip = said.sparkSession.sparkContext.broadcast(frozenset(r["term"] for r in plain.collect()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            words = [sorted({w for s in d for w in s} - skip.value) for d in b.column("said").to_pylist()]
+            keep = [i for i, w in enumerate(words) if len(w) >= 2]
+            yield pa.record_batch({"doc_id": b.column("doc_id").take(pa.array(keep, pa.int64())), "words": pa.array([words[i] for i in keep], pa.list_(pa.string()))})
+
+    return said.mapInArrow(run, "doc_id long, words array<string>")
+
+
 def leaves(said: DataFrame, plain: DataFrame, k: int, dims: int = 1 << 12, rounds: int = 8, seed: int = 11) -> DataFrame:
     """``(doc_id, leaf)`` by bisecting k-means over all documents' normalised tf-idf vectors of hashed words, without ``plain`` ones."""
-    terms = said.select("doc_id", F.explode(F.array_distinct(F.flatten("said"))).alias("term")).join(plain, "term", "left_anti")
-    words = terms.groupBy("doc_id").agg(F.collect_list("term").alias("words")).filter(F.size("words") >= 2)
+    words = materialize(_content_words(said, plain), "words")
     if words.isEmpty():
         return words.select("doc_id", F.lit(0).alias("leaf"))
     tf = HashingTF(inputCol="words", outputCol="tf", numFeatures=dims, binary=True).transform(words)
@@ -141,21 +181,19 @@ def _majority(labels: DataFrame) -> DataFrame:
     return votes.withColumn("best", F.max("n").over(Window.partitionBy("doc_id"))).filter("n = best").select("doc_id", "subject")
 
 
-def leaf_subjects(said: DataFrame, leaf: DataFrame, labels: DataFrame, terms: int = 40) -> DataFrame:
+def leaf_subjects(in_leaf: DataFrame, leaf: DataFrame, named: DataFrame, terms: int = 40) -> DataFrame:
     """``(leaf, subject)``: each leaf named after its discriminative terms.
 
-    A leaf's terms are those that are most over-represented in its documents; the subject is the one whose hand-labelled
-    documents use these terms most in excess of their share of all labelled words.
+    ``in_leaf`` and ``named`` are ``(term, leaf, n)`` and ``(term, subject, n)`` over documents. A leaf's terms are those
+    most over-represented in it; the subject is the one whose hand-labelled documents use these terms most in excess of
+    their share of all labelled words.
     """
-    words = said.select("doc_id", F.explode(F.array_distinct(F.flatten("said"))).alias("term"))
-    seen = words.join(leaf, "doc_id").groupBy("leaf", "term").agg(F.count("*").alias("n"))
     by_term = Window.partitionBy("term")
     by_leaf = leaf.groupBy("leaf").agg(F.count("*").alias("leaf_docs"))
     all_docs = leaf.count()
-    excess = seen.withColumn("term_docs", F.sum("n").over(by_term)).join(by_leaf, "leaf")
+    excess = in_leaf.withColumn("term_docs", F.sum("n").over(by_term)).join(by_leaf, "leaf")
     excess = excess.filter(F.col("term_docs") >= 5).withColumn("gain", F.col("n") * F.log((F.col("n") * F.lit(all_docs)) / (F.col("term_docs") * F.col("leaf_docs"))))
     top = excess.withColumn("rank", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("gain"), "term"))).filter((F.col("rank") <= terms) & (F.col("gain") > 0)).select("leaf", "term", "gain")
-    named = words.join(_majority(labels), "doc_id").groupBy("term", "subject").agg(F.count("*").alias("n"))
     share = named.withColumn("all", F.sum("n").over(by_term)).withColumn("of_subject", F.sum("n").over(Window.partitionBy("subject")))
     total = named.agg(F.sum("n")).first()[0] or 1
     # excess over what the subject's share of all labelled words lets expect
@@ -164,20 +202,6 @@ def leaf_subjects(said: DataFrame, leaf: DataFrame, labels: DataFrame, terms: in
     return score.withColumn("rank", F.row_number().over(Window.partitionBy("leaf").orderBy(F.desc("score"), "subject"))).filter("rank = 1").select("leaf", "subject")
 
 
-def _mixture(tokens: DataFrame, weights: DataFrame, evidence: float) -> DataFrame:
-    """``(doc_id, s, subject)`` of the sentences with enough terms of one subject.
-
-    Neighbouring terms of a subject are one mention and count once, so one mention, however worded, is never enough.
-    """
-    hits = tokens.join(weights, "term")
-    w = Window.partitionBy("doc_id", "s", "subject").orderBy("pos")
-    starts = hits.withColumn("start", (F.col("pos") - F.coalesce(F.lag("pos").over(w), F.lit(-9)) > 1).cast("int"))
-    runs = starts.withColumn("run", F.sum("start").over(w)).groupBy("doc_id", "s", "subject", "run").agg(F.max("p").alias("p"))
-    score = runs.groupBy("doc_id", "s", "subject").agg(F.sum("p").alias("score")).filter(F.col("score") >= evidence)
-    best = Window.partitionBy("doc_id", "s").orderBy(F.desc("score"), "subject")
-    return score.withColumn("rank", F.row_number().over(best)).filter("rank = 1").select("doc_id", "s", "subject")
-
-
 def _weights(counts: DataFrame, least: float, floor: int) -> DataFrame:
     """``(term, subject, p)`` of the terms of which at least ``least`` belongs to a subject, from ``(term, subject, n)``."""
     by_subject = counts.groupBy("subject").agg(F.sum("n").alias("of_subject"))
@@ -187,14 +211,70 @@ def _weights(counts: DataFrame, least: float, floor: int) -> DataFrame:
     return p.withColumn("p", share).filter((F.col("p") >= least) & (F.col("n") / F.col("all") >= 2.5 * F.col("of_subject") / F.lit(total))).select("term", "subject", "p")
 
 
-def _labelled_terms(tokens: DataFrame, labels: DataFrame, trust: float) -> DataFrame:
-    """``(term, subject, n)`` over the documents whose annotators name one subject; together they count ``trust`` times
-    as much as all documents do."""
-    docs = tokens.select("doc_id").distinct()
-    share = docs.count() / max(1, docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").count())
-    trust = max(1, round(trust * share))
-    sure = labels.filter(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("subject").alias("subject"), F.count_distinct("subject").alias("k")).filter("k = 1").drop("k")
-    return tokens.join(sure, "doc_id").groupBy("term", "subject").agg((F.count("*") * trust).alias("n"))
+def sentence_subject(words: list[str], weights: dict[str, list[tuple[str, float]]], evidence: float) -> str | None:
+    """The subject a sentence is about, or None.
+
+    Neighbouring terms of a subject are one mention and count once, by the strongest, so one mention, however worded, is
+    never enough; of several subjects with enough evidence the one with most counts, ties go to the first by name.
+    """
+    score: dict[str, float] = {}
+    run: dict[str, tuple[int, float]] = {}
+    for pos, word in enumerate(words):
+        for subject, p in weights.get(word, ()):
+            last, best = run.get(subject, (-9, 0.0))
+            if pos - last > 1:
+                best = 0.0
+            score[subject] = score.get(subject, 0.0) + max(0.0, p - best)
+            run[subject] = (pos, max(p, best))
+    best = min(score.items(), key=lambda x: (-x[1], x[0]), default=(None, 0.0))
+    return best[0] if best[1] >= evidence else None
+
+
+def _mixture(said: DataFrame, weights: DataFrame, evidence: float, count_terms: bool) -> DataFrame:
+    """The subjects of all sentences: ``(term, subject, n)`` over the words of the sentences that have one, or
+    ``(doc_id, subject)``.
+
+    Term weights go to the tasks if there are at most :data:`MOST_SENT`; beyond, by a join that gives each document the
+    weights of its own words.
+    """
+    fields = "term string, subject string, n long" if count_terms else "doc_id long, subject string"
+    if weights.count() <= MOST_SENT:
+        table_: dict[str, list[tuple[str, float]]] = {}
+        for r in weights.collect():
+            table_.setdefault(r["term"], []).append((r["subject"], r["p"]))
+        sent = said.sparkSession.sparkContext.broadcast(table_)
+        rows = said.select("doc_id", "said")
+    else:
+        sent = None
+        words = said.select("doc_id", F.explode(F.array_distinct(F.flatten("said"))).alias("term")).join(weights, "term")
+        rows = said.join(words.groupBy("doc_id").agg(F.collect_list(F.struct("term", "subject", "p")).alias("own")), "doc_id").select("doc_id", "said", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = b.column("own").to_pylist() if sent is None else [None] * b.num_rows
+            terms: Counter = Counter()
+            found: list[tuple[int, str]] = []
+            for doc, said_, mine in zip(b.column("doc_id").to_pylist(), b.column("said").to_pylist(), own, strict=True):
+                if sent is not None:
+                    w = sent.value
+                else:
+                    w = {}
+                    for r in mine:
+                        w.setdefault(r["term"], []).append((r["subject"], r["p"]))
+                about = [(s, words) for words in said_ if (s := sentence_subject(words, w, evidence))]
+                if count_terms:
+                    terms.update((word, s) for s, words in about for word in words)
+                else:
+                    found += [(doc, s) for s in {s for s, _ in about}]
+            if count_terms:
+                t, g = zip(*terms, strict=True) if terms else ((), ())
+                yield pa.record_batch({"term": pa.array(t, pa.string()), "subject": pa.array(g, pa.string()), "n": pa.array(list(terms.values()), pa.int64())})
+            else:
+                d, g = zip(*found, strict=True) if found else ((), ())
+                yield pa.record_batch({"doc_id": pa.array(d, pa.int64()), "subject": pa.array(g, pa.string())})
+
+    out = rows.mapInArrow(run, fields)
+    return out.groupBy("term", "subject").agg(F.sum("n").alias("n")) if count_terms else out
 
 
 def _added(counts: DataFrame, more: DataFrame) -> DataFrame:
@@ -205,23 +285,27 @@ def subjects_of(documents: DataFrame, labels: DataFrame, k: int = 96, evidence:
     """``(doc_id, subject)``: every subject that at least one own sentence of the document is about.
 
     Terms get the subjects of the leaves they occur in; sentences whose terms agree are counted again for the terms,
-    ``refine`` times, over all documents. Terms in documents with one hand label
-    count for it as well, all of these together ``trust`` times as much as all documents do. Null, blank, removed and unlabelled-subject texts give no rows.
+    ``refine`` times, over all documents. Terms in documents with one hand label count for it as well, all of these
+    together ``trust`` times as much as all documents do. Null, blank and removed texts give no rows, null keys are
+    left out, and of repeated keys one row counts.
     """
     said = sentences(documents)
-    plain = materialize(indifferent_terms(said, labels), "plain")
+    named = materialize(_counts(said.join(_majority(labels), "doc_id"), "subject", True), "named")
+    sure = labels.filter(F.col("doc_id").isNotNull() & F.col("subject").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("subject").alias("subject"), F.count_distinct("subject").alias("k")).filter("k = 1").drop("k")
+    labelled = said.join(labels.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").count()
+    times = max(1, round(trust * said.filter(F.size("said") > 0).count() / max(1, labelled)))
+    told = materialize(_counts(said.join(sure, "doc_id"), "subject", False).withColumn("n", F.col("n") * times), "told")
+
+    plain = materialize(indifferent_terms(named), "plain")
     leaf = materialize(leaves(said, plain, k), "leaves")
-    name = leaf_subjects(said, leaf, labels)
-    sent = said.select("doc_id", F.posexplode("said").alias("s", "words"))
-    tokens = materialize(sent.select("doc_id", "s", F.posexplode("words").alias("pos", "term")), "tokens")
-    told = materialize(_labelled_terms(tokens, labels, trust), "told")
-    counts = tokens.join(leaf.join(name, "leaf"), "doc_id").groupBy("term", "subject").agg(F.count("*").alias("n"))
+    in_leaf = materialize(_counts(said.join(leaf, "doc_id"), "leaf", True), "in-leaf")
+    name = leaf_subjects(in_leaf, leaf, named)
+    counts = in_leaf.join(name, "leaf").groupBy("term", "subject").agg(F.sum("n").alias("n"))
     weights = materialize(_weights(_added(counts, told), least, 5), "weights")
     for _ in range(refine):
-        about = _mixture(tokens, weights, evidence)
-        counts = tokens.join(about, ["doc_id", "s"]).groupBy("term", "subject").agg(F.count("*").alias("n"))
+        counts = _mixture(said, weights, evidence, True)
         weights = materialize(_weights(_added(counts, told), least, 3), "weights")
-    return _mixture(tokens, weights, evidence).select("doc_id", "subject").distinct()
+    return _mixture(said, weights, evidence, False)
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
