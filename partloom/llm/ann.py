@@ -100,7 +100,7 @@ def _shards(centres: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
     return out
 
 
-def fit(sample: np.ndarray, total: int, cell_rows: int = 64, most_cells: int = 4096, shard_rows: int = 6000, threshold: float = 0.3) -> Index:
+def fit(sample: np.ndarray, total: int, cell_rows: int = 64, most_cells: int = 4096, shard_rows: int = 12_000, threshold: float = 0.3) -> Index:
     """An index for ``total`` vectors from a bounded sample; ``threshold`` sets the weight of error along the vector."""
     dims = sample.shape[1]
     k = int(np.clip(total // cell_rows, 1, min(most_cells, max(1, len(sample) // 8))))
@@ -186,8 +186,8 @@ def scan(v: np.ndarray, q: np.ndarray, probe_rows: np.ndarray, probe_cells: np.n
                 continue
             c, who = pc[cut[0]], pr[cut]
             items = order[start[c] : start[c] + count[c]]
-            for s0 in range(0, len(items), 8192):
-                part = items[s0 : s0 + 8192]
+            for s0 in range(0, len(items), 4096):
+                part = items[s0 : s0 + 4096]
                 acc = np.repeat((qb[who] @ index.centres[c])[None, :], len(part), axis=0)
                 for s in range(tables.shape[0]):
                     acc += np.take(np.take(tables[s], who, axis=1), codes[part, s], axis=0)
