@@ -95,6 +95,23 @@ def pick(grid: DataFrame, target: float) -> DataFrame:
     return grid.orderBy(F.desc(reached), F.when(reached == 1, F.col("tol")), F.desc("recall"), F.desc("iou_min"), "tol").limit(1)
 
 
+def staged(truth: DataFrame, pairs: DataFrame, tols: list[float], ious: list[float], start_iou: float) -> list[tuple[str, float, float]]:
+    """``(stage, value, recall)``: first the tolerance at ``start_iou``, then the overlap at the tolerance found.
+
+    Each stage takes the best recall of one aggregate, the strictest value among equals.
+    """
+    first = recall_grid(truth, pairs, tols, [start_iou]).orderBy(F.desc("recall"), "tol").first()
+    second = recall_grid(truth, pairs, [first["tol"]], ious).orderBy(F.desc("recall"), F.desc("iou_min")).first()
+    return [("tol", first["tol"], first["recall"]), ("iou", second["iou_min"], second["recall"])]
+
+
+def probe(faces: DataFrame) -> DataFrame:
+    """Counters of a part's faces that say why it may have no candidate."""
+    c = lambda k: F.count_if(F.col("kind") == k)
+    cyl = F.col("kind") == CYLINDER
+    return faces.groupBy("part_id").agg(F.count("*").alias("faces"), c("plane").alias("planes"), c(CYLINDER).alias("cylinders"), c(CONE).alias("cones"), F.count_if(cyl & (F.col("radius") < 2)).alias("narrow"), F.count_if(cyl & (F.col("depth") < 5)).alias("shallow"), F.count_if(cyl & (F.col("radius") >= 2) & (F.col("depth") >= 5)).alias("fit"), F.count_if((F.col("ax") == 0) & (F.col("ay") == 0)).alias("upright"))
+
+
 def stress_holes(seeds: DataFrame, key: str) -> DataFrame:
     """Parameters of synthetic test holes derived from the rows' keys: diameter, depth, tilt and kind by seeded digits."""
     u = lambda tag: F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(tag), F.col(key).cast("string"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)

@@ -110,6 +110,21 @@ def balance_check(spark, d):
     return audit.balance(per)
 
 
+def split_balance(spark, d):
+    """Whether all subsets of a split balance, and its totals."""
+    b = balance_check(spark, d)
+    return b.groupBy("protocol", "split_id").agg(F.bool_and("balanced").alias("balanced"), F.sum("expected").alias("expected"), F.sum("written").alias("written"))
+
+
+def rebuild_status(spark, d):
+    """What a rebuild of the candidates would do with each listed part: it is there, cannot be found, or is work."""
+    m = members(spark, d).select("part_id").distinct()
+    there = table(spark, d, "hole_candidates").select("part_id").distinct().withColumn("there", F.lit(True))
+    known = table(spark, d, "signatures").select("part_id").distinct().withColumn("known", F.lit(True))
+    status = F.when(F.col("there"), "skip_exists").when(F.col("known").isNull(), "skip_unresolved").otherwise("ok")
+    return m.join(there, "part_id", "left").join(known, "part_id", "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+
+
 def split_report(spark, d):
     """Sizes of all subsets with their totals per split and protocol."""
     m = members(spark, d).select("protocol", "split_id", "subset", "part_id").distinct()
@@ -160,11 +175,13 @@ def _sides(key: str, where: str = "true") -> str:
 
 COVERAGE = "SELECT protocol, split_id, subset, count(*) AS expected, count(h.part_id) AS found, round(count(h.part_id) / count(*), 6) AS coverage FROM l LEFT JOIN (SELECT DISTINCT part_id FROM hole_candidates) h USING (part_id) GROUP BY 1, 2, 3"
 
+BALANCE = "h AS (SELECT part_id, bool_or(coalesce(D0 > 0, false)) u FROM hole_candidates GROUP BY 1), e AS (SELECT protocol, split_id, subset, count(*) AS expected, count(*) FILTER (u) AS written, count(*) FILTER (u IS NULL) AS no_cand, count(*) FILTER (NOT u) AS failed FROM l LEFT JOIN h USING (part_id) GROUP BY 1, 2, 3)"
+
 QUERIES = {
     f.__name__: f
     for f in (
         lodo_membership, lodo_fold_sizes, lodo_fold_meta, temporal_split, iso_relax, temporal_per_domain, component_banned_lodo, leak_ids, leak_family, leak_hash, leak_canonical_true,
-        disjoint_flags, lodo_single_domain, coverage_audit, worst5, balance_check, split_report, parts_in_index,
+        disjoint_flags, lodo_single_domain, coverage_audit, worst5, balance_check, split_balance, rebuild_status, split_report, parts_in_index,
     )
 }
 
@@ -193,8 +210,9 @@ SQL = {
     "lodo_single_domain": f"{MEMBERS} SELECT split_id, count(DISTINCT source_dataset) AS n_domains FROM (SELECT DISTINCT split_id, part_id FROM m WHERE protocol = 'lodo' AND subset = 'test') JOIN part_index_for_split USING (part_id) GROUP BY 1",
     "coverage_audit": f"{MEMBERS} {COVERAGE}",
     "worst5": f"{MEMBERS} {COVERAGE} ORDER BY coverage, protocol, split_id, subset LIMIT 5",
-    "balance_check": f"""{MEMBERS}, h AS (SELECT part_id, bool_or(coalesce(D0 > 0, false)) u FROM hole_candidates GROUP BY 1), e AS (SELECT protocol, split_id, subset, count(*) AS expected, count(*) FILTER (u) AS written, count(*) FILTER (u IS NULL) AS no_cand, count(*) FILTER (NOT u) AS failed FROM l LEFT JOIN h USING (part_id) GROUP BY 1, 2, 3)
-        SELECT *, expected = written + no_cand + failed AS balanced FROM e""",
+    "split_balance": f"{MEMBERS}, {BALANCE} SELECT protocol, split_id, bool_and(expected = written + no_cand + failed) AS balanced, sum(expected)::BIGINT AS expected, sum(written)::BIGINT AS written FROM e GROUP BY 1, 2",
+    "rebuild_status": f"{MEMBERS}, x AS (SELECT DISTINCT part_id FROM l) SELECT CASE WHEN part_id IN (SELECT part_id FROM hole_candidates) THEN 'skip_exists' WHEN part_id NOT IN (SELECT part_id FROM signatures) THEN 'skip_unresolved' ELSE 'ok' END AS status, count(*) AS n FROM x GROUP BY 1",
+    "balance_check": f"{MEMBERS}, {BALANCE} SELECT *, expected = written + no_cand + failed AS balanced FROM e",
     "split_report": f"{MEMBERS} SELECT coalesce(protocol, 'all') AS protocol, coalesce(split_id, -1) AS split_id, coalesce(subset, 'all') AS subset, count(*) AS n FROM l GROUP BY ROLLUP (protocol, split_id, subset)",
     "parts_in_index": f"{MEMBERS}, x AS (SELECT DISTINCT part_id FROM l) SELECT 'known' AS state, count(*) AS n FROM x WHERE part_id IN (SELECT part_id FROM signatures) UNION ALL SELECT 'unknown', count(*) FROM x WHERE part_id NOT IN (SELECT part_id FROM signatures)",
 }

@@ -234,6 +234,40 @@ def recall_wilson(spark, d):
     return per.select("kind", "hits", "n", F.round(F.col("hits") / F.col("n"), 6).alias("recall"), F.round(lo, 6).alias("low"), F.round(hi, 6).alias("high"))
 
 
+def weighted_recall(spark, d):
+    """Recall where a part weighs as many as it has true holes, but at least one."""
+    truth, pairs = _truth(spark, d)
+    hit = candidates.matched(pairs, 5.73, 8.0, 0.7).groupBy("part_id").agg(F.count("*").alias("hits"))
+    per = truth.groupBy("part_id").agg(F.count("*").alias("n")).join(hit, "part_id", "left")
+    return per.agg(F.count("*").alias("n_parts"), F.round(F.sum(F.coalesce("hits", F.lit(0)) / F.col("n") * F.greatest(F.lit(1), F.col("n"))) / F.sum(F.greatest(F.lit(1), F.col("n"))), 6).alias("recall"))
+
+
+def face_probe(spark, d):
+    return candidates.probe(faces(spark, d))
+
+
+def no_candidate_sums(spark, d):
+    """Sums of the face counters over the parts without a fitting cylinder."""
+    p = candidates.probe(faces(spark, d)).filter("fit = 0")
+    return p.agg(F.count("*").alias("n_parts"), *[F.sum(c).alias(c) for c in ("faces", "planes", "cylinders", "cones", "narrow", "shallow", "upright")])
+
+
+def geom_hash_classes(spark, d):
+    """Parts with equal rounded bounding-box ratios and surface histogram: size of each class of at least two."""
+    u = usable(spark, d).select("part_id", V.rounded_hash(F.concat("bbox_ratio", "surf_hist"), 2).alias("h"))
+    return u.groupBy("h").agg(F.min("part_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("first", "n")
+
+
+def staged_tuning(spark, d):
+    truth, pairs = _truth(spark, d)
+    return spark.createDataFrame(candidates.staged(truth, pairs, TOLS, IOUS, 0.7), "stage string, value double, recall double")
+
+
+def report_pass(spark, d):
+    """Whether the chosen setting reaches the target recall."""
+    return tuned_setting(spark, d).select("recall", (F.col("recall") >= 0.3).alias("passed"))
+
+
 TOLS, IOUS = [2.0, 5.73, 12.0], [0.5, 0.7, 0.9]
 
 
@@ -291,6 +325,7 @@ COAX = f"x AS (SELECT part_id, face_no, cone_no, coax_dot, semi_angle FROM (SELE
 PAIRS = f"t AS (SELECT * FROM f WHERE face_no % 2 = 1), m AS (SELECT a.part_id, a.face_no AS gt_id, a.semi_angle AS tilt, round(degrees(acos(least(1.0, greatest(-1.0, {COS})))), 6) AS angle, round(least(a.depth, b.depth) / greatest(a.depth, b.depth), 6) AS iou FROM t a JOIN f b USING (part_id) WHERE b.face_no % 2 = 0)"
 HIT = "h AS (SELECT DISTINCT part_id, gt_id FROM m WHERE angle <= CASE WHEN tilt <= 45 THEN 5.73 ELSE 8.0 END AND iou >= 0.7)"
 GRID = f"g AS (SELECT * FROM (SELECT unnest({TOLS}::DOUBLE[]) AS tol), (SELECT unnest({IOUS}::DOUBLE[]) AS iou_min)), r AS (SELECT tol, iou_min, (SELECT count(DISTINCT (part_id, gt_id)) FROM m WHERE angle <= tol AND iou >= iou_min) AS hits, (SELECT count(*) FROM t) AS n FROM g)"
+PROBE = "w AS (SELECT part_id, count(*) AS faces, " + ", ".join(f"count(*) FILTER ({c}) AS {a}" for a, c in (("planes", "kind = 'plane'"), ("cylinders", "kind = 'cylinder'"), ("cones", "kind = 'cone'"), ("narrow", "kind = 'cylinder' AND radius < 2"), ("shallow", "kind = 'cylinder' AND depth < 5"), ("fit", "kind = 'cylinder' AND radius >= 2 AND depth >= 5"), ("upright", "ax = 0 AND ay = 0"))) + " FROM f GROUP BY 1)"
 HOLES = "(SELECT DISTINCT ON (hole_id) * FROM hole_candidates)"
 
 
@@ -303,7 +338,7 @@ QUERIES = {
     for f in (
         vec_l2, block_norm, block_dims, bbox_spread, knn_topk, cosine_pairs, kth_distance, auto_eps, eps_neighbours, dbscan_core, dbscan_labels, normalised_points, pair_distances, thinned_points, face_type_hist, primitive_kinds, bbox_ratio,
         hist64, roundness, mean_of_means, coaxial_best_match, hole_extraction, candidates_agg, candidate_quality, record_validation, candidate_totals, capped_sample, recall_match, recall_wilson,
-        param_grid, tuned_setting, stress_set, status_counts, status_rollup, latency_quantiles,
+        param_grid, tuned_setting, weighted_recall, face_probe, no_candidate_sums, geom_hash_classes, staged_tuning, report_pass, stress_set, status_counts, status_rollup, latency_quantiles,
     )
 }
 
@@ -344,6 +379,13 @@ SQL = {
         SELECT kind, hits, n, round(p, 6) AS recall, round(greatest(0.0, (p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS low, round(least(1.0, (p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)), 6) AS high FROM w""",
     "param_grid": f"WITH {FACES}, {PAIRS}, {GRID} SELECT tol, iou_min, hits, n, round(hits / n, 6) AS recall FROM r",
     "tuned_setting": f"WITH {FACES}, {PAIRS}, {GRID}, s AS (SELECT tol, iou_min, hits, n, round(hits / n, 6) AS recall FROM r) SELECT * FROM s ORDER BY recall >= 0.3 DESC, CASE WHEN recall >= 0.3 THEN tol END, recall DESC, iou_min DESC, tol LIMIT 1",
+    "weighted_recall": f"WITH {FACES}, {PAIRS}, {HIT}, p AS (SELECT part_id, count(*) n FROM t GROUP BY 1), q AS (SELECT part_id, count(*) k FROM h GROUP BY 1) SELECT count(*) AS n_parts, round(sum(coalesce(k, 0) / n * greatest(1, n)) / sum(greatest(1, n)), 6) AS recall FROM p LEFT JOIN q USING (part_id)",
+    "face_probe": f"WITH {FACES}, {PROBE} SELECT * FROM w",
+    "no_candidate_sums": f"WITH {FACES}, {PROBE} SELECT count(*) AS n_parts, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("faces", "planes", "cylinders", "cones", "narrow", "shallow", "upright")) + " FROM w WHERE fit = 0",
+    "geom_hash_classes": f"WITH {USABLE}, h AS (SELECT part_id, list_transform(bbox_ratio || surf_hist, lambda x: round(x, 2)) h FROM u) SELECT min(part_id) AS first, count(*) AS n FROM h GROUP BY h HAVING count(*) > 1",
+    "staged_tuning": f"""WITH {FACES}, {PAIRS}, {GRID}, a AS (SELECT tol, round(hits / n, 6) rec FROM r WHERE iou_min = 0.7 ORDER BY rec DESC, tol LIMIT 1), b AS (SELECT iou_min, round(hits / n, 6) rec FROM r WHERE tol = (SELECT tol FROM a) ORDER BY rec DESC, iou_min DESC LIMIT 1)
+        SELECT 'tol' AS stage, tol AS value, rec AS recall FROM a UNION ALL SELECT 'iou', iou_min, rec FROM b""",
+    "report_pass": f"WITH {FACES}, {PAIRS}, {GRID}, s AS (SELECT tol, iou_min, round(hits / n, 6) AS recall FROM r) SELECT recall, recall >= 0.3 AS passed FROM s ORDER BY recall >= 0.3 DESC, CASE WHEN recall >= 0.3 THEN tol END, recall DESC, iou_min DESC, tol LIMIT 1",
     "stress_set": f"""WITH s AS (SELECT p_partkey, 1.5 * pow(2.0, 5 * {_u('D')}) d, {_u('H')} h, [0.0, 15.0, 30.0, 45.0, 60.0][floor({_u('T')} * 5)::INT + 1]::DOUBLE AS tilt, CASE WHEN {_u('K')} < 0.5 THEN 'countersink' ELSE 'plain' END AS kind FROM part)
         SELECT p_partkey, round(d, 6) AS D, round(d * (0.5 + 5.5 * h), 6) AS H, tilt, kind, round(-sin(radians(tilt)), 6) AS ay, round(cos(radians(tilt)), 6) AS az FROM s""",
     "status_counts": "SELECT event_type, coalesce(CASE WHEN props IS NULL THEN NULL WHEN contains(lower(props), 'read') AND (contains(lower(props), 'fail') OR contains(lower(props), 'error')) THEN 'read_fail' WHEN contains(lower(props), 'timeout') OR contains(lower(props), 'timed out') THEN 'timeout' WHEN contains(lower(props), 'no such file') OR contains(lower(props), 'missing') THEN 'missing_file' ELSE 'other_error' END, 'none') AS error, count(*) AS n FROM events GROUP BY 1, 2",

@@ -70,6 +70,15 @@ def signatures_csv(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*cols)
 
 
+def part_index(spark: SparkSession, folder: str, schema: T.StructType | str) -> DataFrame | None:
+    """The part index of a folder: ``part_index.csv``, else its packed form, else None."""
+    for name in ("part_index.csv", "part_index.csv.gz"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            return delimited(spark, f"{folder.rstrip('/')}/{name}", schema)
+    return None
+
+
 def keyed_last(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key, of the rows without any empty field."""
     full = df.dropna().filter(" AND ".join(f"trim(cast(`{c}` as string)) <> ''" for c in df.columns))
