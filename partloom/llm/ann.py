@@ -266,7 +266,7 @@ def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes:
     if total == 0:
         return vectors.sparkSession.createDataFrame([], "part_id string, other_id string, sim float")
     if min_sim > -1:
-        margin = min(margin, 0.9 * math.sqrt(2 * (1 - min_sim)))
+        margin = min(margin, 0.5 * math.sqrt(2 * (1 - min_sim)))
     index = fit(sample_vectors(vectors, min(sample_rows, max(4096, total // 4)), total), total)
     routed = full.select("part_id", "vec").mapInArrow(_route(index, probes, margin), _ROUTED)
     found = routed.groupBy("shard").applyInArrow(_search(index, k, min_sim, per_cell, rerank, copies), _FOUND)
