@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.functions.scalars import cut_offs, seeded_order
+from partloom.operators.ranking import ranked
 
 
 def folds(parts: DataFrame, min_size: int) -> DataFrame:
@@ -54,9 +55,7 @@ def temporal(parts: DataFrame, train: float = 0.5, calib: float = 0.4, relax: fl
     """
     rows = _units(parts)
     unit = rows.groupBy("unit").agg(F.min("ts").alias("first")).withColumn("iso", F.col("unit").startswith("fam_iso_"))
-    # units are numbered within iso and non-iso, of which there are few compared with rows
-    w = Window.partitionBy("iso").orderBy("first", "unit")
-    unit = unit.withColumn("rn", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy("iso")))
+    unit = ranked(unit, ["iso"], "first", "unit")
     a, b = cut_offs(F.col("m"), train, calib)
     plain = F.when(F.col("rn") <= a, "train").when(F.col("rn") <= b, "calib").otherwise("test")
     k = F.ceil(F.col("m") * relax)
@@ -69,8 +68,7 @@ def temporal_per_domain(parts: DataFrame, train: float = 0.5, calib: float = 0.4
     """The temporal cut within each unit's home domain, the first by name that holds it; ``fam_iso_`` units go to test."""
     rows = _units(parts).filter(F.col("domain").isNotNull())
     unit = rows.groupBy("unit").agg(F.min("ts").alias("first"), F.min("domain").alias("home")).withColumn("iso", F.col("unit").startswith("fam_iso_"))
-    w = Window.partitionBy("home", "iso")
-    unit = unit.withColumn("rn", F.row_number().over(w.orderBy("first", "unit"))).withColumn("m", F.count("*").over(w))
+    unit = ranked(unit, ["home", "iso"], "first", "unit")
     a, b = cut_offs(F.col("m"), train, calib)
     subset = F.when(F.col("iso"), "test").when(F.col("rn") <= a, "train").when(F.col("rn") <= b, "calib").otherwise("test")
     return rows.join(unit.select("unit", "home", subset.alias("subset")), "unit").select("part_id", "unit", "home", "subset")
@@ -87,7 +85,6 @@ def banned_components(parts: DataFrame, components: DataFrame, min_size: int = 5
     listed = fold.groupBy(F.lit(1).alias("k")).agg(F.collect_list(F.struct("split_id", "test_domain")).alias("fs"))
     pool = rows.withColumn("k", F.lit(1)).join(F.broadcast(listed), "k").select("part_id", "domain", "component", F.explode("fs").alias("f")).select("part_id", "domain", "component", "f.*")
     pool = pool.filter(F.col("domain") != F.col("test_domain")).join(test.select("split_id", "component").distinct(), ["split_id", "component"], "left_anti")
-    w = Window.partitionBy("split_id")
-    ranked = pool.withColumn("rn", F.row_number().over(w.orderBy(seeded_order(F.col("part_id"), seed=seed), "part_id"))).withColumn("m", F.count("*").over(w))
-    split = ranked.select("split_id", F.when(F.col("rn") <= F.floor(F.col("m") * calib), "calib").otherwise("train").alias("subset"), "part_id")
+    placed = ranked(pool.select("split_id", "part_id", seeded_order(F.col("part_id"), seed=seed).alias("place")), ["split_id"], "place", "part_id")
+    split = placed.select("split_id", F.when(F.col("rn") <= F.floor(F.col("m") * calib), "calib").otherwise("train").alias("subset"), "part_id")
     return split.unionByName(test.select("split_id", F.lit("test").alias("subset"), "part_id"))

@@ -207,3 +207,16 @@ def test_shapes(spark):
     h = shapes.pair_distance_histogram(shapes.normalised_points(pts), pairs=200).collect()
     assert {r["part_id"] for r in h} == {"p"} and math.isclose(sum(r["share"] for r in h), 1) and max(r["bin"] for r in h) <= 37
     assert shapes.thinned(pts, 3).groupBy("part_id").count().filter("part_id = 'p'").first()["count"] == 3
+
+
+def test_ranks_of_groups_of_any_size(spark):
+    from partloom.operators.ranking import ranked
+
+    rows = [("a" if i % 3 else "b", i * 7919 % 101, i) for i in range(101)] + [(None, 5, 200), (None, 4, 201)]
+    df = spark.createDataFrame(rows, "g string, x int, rn_source int")
+    got = {(r["g"], r["x"]): (r["rn"], r["m"]) for r in ranked(df, ["g"], "x").collect()}
+    for g in ("a", "b", None):
+        xs = sorted(x for k, x, _ in rows if k == g)
+        assert [got[g, x] for x in xs] == [(i + 1, len(xs)) for i in range(len(xs))]
+    assert [r["rn"] for r in ranked(df, [], F.desc("x"), "rn_source").orderBy(F.desc("x"), "rn_source").collect()] == list(range(1, 104))
+    assert ranked(df.limit(0), ["g"], "x").count() == 0
