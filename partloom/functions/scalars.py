@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NOTHING = ("", "nan", "none", "null", "n/a")
-
 
 def sanitize_token(c: Column) -> Column:
     """Lower-case token of ``a-z0-9_-.``: blanks to ``_``, anything else to ``-``; null, NaN text and blank give ``NA``."""
@@ -34,7 +32,7 @@ def date_from_text(c: Column) -> Column:
     return F.coalesce(pick(ymd, 1, 2, 3), pick(packed, 1, 2, 3), pick(dmy, 3, 2, 1))
 
 
-#: Formats of explicit timestamps, in the order they are tried on the text before its first point.
+# Formats of explicit timestamps, in the order they are tried on the text before its first point.
 EXPLICIT_FORMATS = ("yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss", "yyyy-M-d", "yyyy/M/d HH:mm:ss", "yyyy/M/d", "d-M-yyyy")
 
 
@@ -80,7 +78,7 @@ def normalise_unit(c: Column) -> Column:
     return F.when(t.isin("mm", "millimeter", "millimetre", "millimeters", "millimetres"), "mm").when(t.isin("in", "inch", "inches", '"'), "in").otherwise(t)
 
 
-#: Words of an originating system and the geometry kernel behind it, in the order they are tried.
+# Words of an originating system and the geometry kernel behind it, in the order they are tried.
 KERNEL_WORDS = {"Parasolid": ("parasolid", "nx", "solidworks"), "ACIS": ("acis", "autocad", "inventor"), "CGM": ("catia", "cgm", "3dexperience", "solidedge")}
 
 

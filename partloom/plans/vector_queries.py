@@ -95,13 +95,16 @@ def eps_neighbours(spark, d):
 
 
 def dbscan_core(spark, d):
-    return eps_neighbours(spark, d).select((F.col("degree") >= BOX_MIN).alias("core")).groupBy("core").agg(F.count("*").alias("n"))
+    """Parts that have enough others within the radius, and those that have not."""
+    axes = ["x", "y"]
+    core = cluster.grid_core(cluster.grid_points(_boxes(spark, d), axes, BOX_EPS), axes, BOX_EPS, BOX_MIN)
+    return core.groupBy("core").agg(F.count("*").alias("n"))
 
 
 def dbscan_labels(spark, d):
     """Density clusters of the bounding-box ratios, named by their smallest part, and their size; noise under -1."""
     b = _boxes(spark, d)
-    labels = cluster.dbscan(b, simjoin.pairs_within(b, "id", ["x", "y"], BOX_EPS), BOX_MIN).join(b.select("id", "part_id"), "id")
+    labels = cluster.grid_dbscan(b, ["x", "y"], BOX_EPS, BOX_MIN).join(b.select("id", "part_id"), "id")
     name = labels.filter("label <> -1").groupBy("label").agg(F.min("part_id").alias("cluster"))
     return labels.join(name, "label", "left").select("part_id", F.coalesce("cluster", F.lit("-1")).alias("cluster"))
 

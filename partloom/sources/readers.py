@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from partloom.functions.scalars import file_format
 
+# Extensions of part files.
 PART_FILES = (".step", ".stp", ".stpz", ".brep", ".brp")
 
 SIGNATURES = T.StructType([
@@ -115,7 +116,7 @@ def report_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) ->
     return text.select("path", *[number(p).alias(k) for k, p in patterns.items()])
 
 
-#: Names a column may have, by the role it plays; the first name that is there is taken.
+# Names a column may have, by the role it plays; the first name that is there is taken.
 SYNONYMS = {
     "part_id": ("part_id", "id", "part", "uid"), "family": ("family_major", "family_id", "family", "cluster"), "canonical": ("duplicate_canonical", "canonical", "dup_canonical"),
     "content_hash": ("content_hash", "sha256", "hash"), "unit": ("unit", "units", "length_unit"), "timestamp": ("timestamp", "created_at_header", "created_at", "date", "file_mtime_utc"),
