@@ -211,12 +211,9 @@ def _weights(counts: DataFrame, least: float, floor: int) -> DataFrame:
     return p.withColumn("p", share).filter((F.col("p") >= least) & (F.col("n") / F.col("all") >= 2.5 * F.col("of_subject") / F.lit(total))).select("term", "subject", "p")
 
 
-def sentence_subject(words: list[str], weights: dict[str, list[tuple[str, float]]], evidence: float) -> str | None:
-    """The subject a sentence is about, or None.
-
-    Neighbouring terms of a subject are one mention and count once, by the strongest, so one mention, however worded, is
-    never enough; of several subjects with enough evidence the one with most counts, ties go to the first by name.
-    """
+def mentions(words: list[str], weights: dict[str, list[tuple[str, float]]]) -> dict[str, float]:
+    """Evidence of a sentence for each subject: neighbouring terms of a subject are one mention and count once, by the
+    strongest, so one mention, however worded, counts at most 1."""
     score: dict[str, float] = {}
     run: dict[str, tuple[int, float]] = {}
     for pos, word in enumerate(words):
@@ -226,6 +223,11 @@ def sentence_subject(words: list[str], weights: dict[str, list[tuple[str, float]
                 best = 0.0
             score[subject] = score.get(subject, 0.0) + max(0.0, p - best)
             run[subject] = (pos, max(p, best))
+    return score
+
+
+def strongest(score: dict[str, float], evidence: float) -> str | None:
+    """The subject of most evidence if that is enough, ties to the first by name."""
     best = min(score.items(), key=lambda x: (-x[1], x[0]), default=(None, 0.0))
     return best[0] if best[1] >= evidence else None
 
@@ -261,11 +263,17 @@ def _mixture(said: DataFrame, weights: DataFrame, evidence: float, count_terms:
                     w = {}
                     for r in mine:
                         w.setdefault(r["term"], []).append((r["subject"], r["p"]))
-                about = [(s, words) for words in said_ if (s := sentence_subject(words, w, evidence))]
+                scores = [mentions(words, w) for words in said_]
+                about = [(s, words) for words, score in zip(said_, scores, strict=True) if (s := strongest(score, evidence))]
                 if count_terms:
                     terms.update((word, s) for s, words in about for word in words)
-                else:
+                elif about:
                     found += [(doc, s) for s in {s for s, _ in about}]
+                else:
+                    whole: Counter = Counter()
+                    for score in scores:
+                        whole.update(score)
+                    found += [(doc, s)] if (s := strongest(whole, evidence)) else []
             if count_terms:
                 t, g = zip(*terms, strict=True) if terms else ((), ())
                 yield pa.record_batch({"term": pa.array(t, pa.string()), "subject": pa.array(g, pa.string()), "n": pa.array(list(terms.values()), pa.int64())})
@@ -282,7 +290,8 @@ def _added(counts: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def subjects_of(documents: DataFrame, labels: DataFrame, k: int = 96, evidence: float = 1.3, least: float = 0.25, refine: int = 2, trust: float = 2.0) -> DataFrame:
-    """``(doc_id, subject)``: every subject that at least one own sentence of the document is about.
+    """``(doc_id, subject)``: every subject that at least one own sentence of the document is about, or where no
+    sentence has enough evidence by itself, the one that all of them together are about.
 
     Terms get the subjects of the leaves they occur in; sentences whose terms agree are counted again for the terms,
     ``refine`` times, over all documents. Terms in documents with one hand label count for it as well, all of these

@@ -126,3 +126,11 @@ def test_subjects_of_little_or_nothing(spark):
     labels = spark.createDataFrame([(3, "law", "x"), (3, "law", "x"), (None, "law", "x"), (3, None, "x")], "doc_id long, subject string, annotator string")
     assert subjects.subjects_of(docs, labels).filter("doc_id < 3").count() == 0
     assert subjects.subjects_of(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_one_mention_is_not_enough():
+    w = {"relay": [("sport", 0.9)], "team": [("sport", 0.8)], "snare": [("music", 1.0)], "reed": [("music", 0.9)], "scale": [("cooking", 0.4), ("music", 0.4)]}
+    assert subjects.strongest(subjects.mentions(["a", "relay", "team", "but"], w), 1.3) is None
+    assert subjects.strongest(subjects.mentions(["relay", "x", "team"], w), 1.3) == "sport"
+    assert subjects.strongest(subjects.mentions(["snare", "of", "scale"], w), 1.3) == "music"
+    assert subjects.strongest(subjects.mentions([], w), 1.3) is None and subjects.strongest({"b": 2.0, "a": 2.0}, 1.3) == "a"
