@@ -146,9 +146,6 @@ def local_to_utc(local: np.ndarray, zone: str) -> tuple[np.ndarray, np.ndarray]:
 
 # --- conversion ----------------------------------------------------------------------------------------------------
 
-_EMPTY = {"utc_us": pd.NA, "status": "none"}
-
-
 def _number(values: list[str], fill: int) -> np.ndarray:
     return np.array([int(v) if v else fill for v in values], np.int64)
 
