@@ -113,7 +113,7 @@ def _ranks(spark, tokenizer: str, folder: str):
     return spark.sparkContext.broadcast(Path(folder, f"{tokenizer}.tiktoken").read_bytes())
 
 
-def _batches(b: pa.RecordBatch, text: str, rows: int = 512) -> Iterator[pa.RecordBatch]:
+def _batches(b: pa.RecordBatch, rows: int = 512) -> Iterator[pa.RecordBatch]:
     for i in range(0, b.num_rows, rows):
         yield b.slice(i, rows)
 
@@ -129,7 +129,7 @@ def token_ids(documents: DataFrame, key: str = "doc_id", text: str = "text", tok
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks.value)
         for whole in batches:
-            for b in _batches(whole, text):
+            for b in _batches(whole):
                 ids = vocabulary.encode_batch(b.column(text).to_pylist())
                 off = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
                 flat = np.concatenate(ids) if ids else np.zeros(0, np.int32)
@@ -146,7 +146,7 @@ def token_counts(documents: DataFrame, key: str = "doc_id", text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = _vocabulary(ranks.value)
         for whole in batches:
-            for b in _batches(whole, text):
+            for b in _batches(whole):
                 counts = [len(x) for x in vocabulary.encode_batch(b.column(text).to_pylist())]
                 yield pa.record_batch({key: b.column(key), "n_tokens": pa.array(counts, pa.int64())})
 
