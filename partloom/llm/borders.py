@@ -1,0 +1,159 @@
+"""Places for vectors such that any two within a stated distance meet in one of them.
+
+A tree of halving planes is fitted on a bounded sample. A vector within half the distance of a plane goes to both sides:
+of two vectors that a plane parts, one at least is that close to it, so the pair stays together in some leaf, whatever
+the sample was. Vectors travel as 16-bit steps with a bound on what the steps lose.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from partloom.llm.vectors import as_matrix, kmeans, sample_vectors
+
+#: Steps per unit of a component; no unit vector's component exceeds 1.
+STEPS = 32_767
+#: Float error of a product of two unit vectors, and of a projection, beyond which nothing is rejected.
+SLACK = 1e-5
+
+
+def allowed_distance(min_sim: float) -> float:
+    """Largest distance of two unit vectors with a product of at least ``min_sim``."""
+    return math.sqrt(max(0.0, 2 * (1 - min_sim)))
+
+
+@dataclass(frozen=True)
+class Planes:
+    """Plane of each node, its offset, and its two children; a child below zero is the leaf ``-1 - child``."""
+
+    normal: np.ndarray
+    offset: np.ndarray
+    children: np.ndarray
+    reach: float
+
+    def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, leaf)`` of every leaf each row of ``x`` goes to."""
+        rows, leaves, todo = [], [], [(0 if len(self.normal) else -1, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            if not len(at):
+                continue
+            if node < 0:
+                rows.append(at)
+                leaves.append(np.full(len(at), -1 - node, np.int32))
+                continue
+            gap = x[at] @ self.normal[node] - self.offset[node]
+            todo += [(int(self.children[node, 0]), at[gap <= self.reach]), (int(self.children[node, 1]), at[gap >= -self.reach])]
+        return (np.concatenate(rows), np.concatenate(leaves)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.int32))
+
+
+def _best_plane(x: np.ndarray, reach: float, axes: int = 16) -> tuple[float, np.ndarray, float]:
+    """``(cost, normal, offset)`` of the plane that sends the fewest rows to both sides for what it divides."""
+    mid = x - x.mean(0)
+    tries = list(np.linalg.eigh(mid.T @ mid)[1][:, ::-1][:, :axes].T)
+    ends = kmeans(x, 8, rounds=4)
+    tries += [ends[a] - ends[b] for a in range(len(ends)) for b in range(a)]
+    best = (math.inf, mid[0], 0.0)
+    for a in tries:
+        length = float(np.linalg.norm(a))
+        if length < 1e-9:
+            continue
+        at = np.sort(x @ (a / length))
+        cut = np.linspace(at[len(at) // 20], at[-1 - len(at) // 20], 128)
+        left, right = np.searchsorted(at, cut + reach) / len(at), 1 - np.searchsorted(at, cut - reach) / len(at)
+        below = np.clip(np.searchsorted(at, cut) / len(at), 1e-6, 1 - 1e-6)
+        cost = np.log(left + right) / -(below * np.log(below) + (1 - below) * np.log(1 - below))
+        cost[np.maximum(left, right) > 0.95] = np.inf
+        k = int(cost.argmin())
+        if cost[k] < best[0]:
+            best = (float(cost[k]), a / length, float(cut[k]))
+    return best
+
+
+def fit_planes(sample: np.ndarray, total: int, eps: float, leaf_rows: int, worst: float = 0.8) -> Planes:
+    """Planes for ``total`` vectors whose pairs within ``eps`` must meet; leaves have about ``leaf_rows`` vectors.
+
+    A leaf is left larger where any plane would send too many rows to both sides (``worst``, a share per halving).
+    """
+    reach = eps / 2 + SLACK
+    normal, offset, children, leaves = [], [], [], 0
+    todo = [(sample, None)]
+    while todo:
+        x, parent = todo.pop()
+        cost = math.inf
+        if len(x) * total / max(1, len(sample)) > leaf_rows and len(x) >= 64:
+            cost, a, cut = _best_plane(x[:4096], reach)
+        if cost > worst:
+            node, leaves = -1 - leaves, leaves + 1
+        else:
+            node = len(normal)
+            normal.append(a)
+            offset.append(cut)
+            children.append([0, 0])
+            gap = x @ a - cut
+            todo += [(x[gap <= reach], (node, 0)), (x[gap >= -reach], (node, 1))]
+        if parent:
+            children[parent[0]][parent[1]] = node
+    return Planes(np.array(normal, np.float32), np.array(offset, np.float32), np.array(children, np.int64).reshape(-1, 2), reach)
+
+
+def _to_leaves(planes: Planes):
+    """Distinct vectors of a batch for the leaves, in 16-bit steps."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = b.column("v").to_numpy()
+            first = np.unique(v, return_index=True)[1]
+            m = as_matrix(b.column("vec"))[first]
+            for i in range(0, len(m), 4096):
+                row, leaf = planes.leaves(m[i : i + 4096])
+                steps = np.rint(m[i : i + 4096][row] * STEPS).astype(np.int16)
+                off = np.arange(len(row) + 1, dtype=np.int32) * (steps.shape[1] * 2)
+                data = pa.Array.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(np.ascontiguousarray(steps).tobytes())])
+                yield pa.record_batch({"leaf": pa.array(leaf, pa.int32()), "v": pa.array(v[first[row + i]]), "steps": data})
+
+    return run
+
+
+def _pairs_in_leaf(min_sim: float):
+    def run(t: pa.Table) -> pa.Table:
+        v, first = np.unique(t.column("v").to_numpy(), return_index=True)
+        data = t.column("steps").combine_chunks().take(pa.array(first))
+        if isinstance(data, pa.ChunkedArray):
+            data = data.combine_chunks()
+        width = len(data[0].as_py()) // 2
+        start = np.frombuffer(data.buffers()[1], np.int32)[data.offset]
+        x = (np.frombuffer(data.buffers()[2], np.int16, len(v) * width, start).reshape(-1, width) / np.float32(STEPS)).astype(np.float32)
+        lost = 0.5 / STEPS * math.sqrt(width)
+        least = min_sim - 2 * lost - lost * lost - SLACK
+        step = max(64, 16_000_000 // len(x))
+        got = [np.zeros((2, 0), np.int64)]
+        for i in range(0, len(x), step):
+            a, b = np.divmod(np.flatnonzero(x[i : i + step] @ x[i:].T >= least), len(x) - i)
+            got.append(np.stack([a, b])[:, a < b] + i)
+        a, b = np.hstack(got)
+        return pa.table({"a": pa.array(v[a]), "b": pa.array(v[b])})
+
+    return run
+
+
+def close_pairs(vectors: DataFrame, min_sim: float, leaf_rows: int = 24_000, sample_rows: int = 32_768) -> DataFrame:
+    """Distinct ``(a, b)`` with ``a < b``: hashes of all pairs of different vectors with a product of at least
+    ``min_sim``, and a few just below it.
+
+    ``vectors`` has ``part_id`` and ``vec``, unit vectors or null. No pair is lost; a leaf is compared in full.
+    """
+    full = vectors.filter(F.col("vec").isNotNull())
+    total = full.count()
+    if total == 0:
+        return vectors.sparkSession.createDataFrame([], "a long, b long")
+    planes = fit_planes(sample_vectors(vectors, min(sample_rows, max(4096, total // 4)), total), total, allowed_distance(min_sim), leaf_rows)
+    routed = full.select(F.xxhash64("vec").alias("v"), "vec").mapInArrow(_to_leaves(planes), "leaf int, v long, steps binary")
+    return routed.groupBy("leaf").applyInArrow(_pairs_in_leaf(min_sim), "a long, b long").distinct()

@@ -1,10 +1,9 @@
 """Problem 2: records of evaluation splits that come back, same or almost so, in the training split.
 
-Method: winnowing. A record is a sequence of symbols: its vector, turned and cut into steps, gives one symbol per
-direction; its content and geometry hash are sequences whose whole length is one window, so their one fingerprint
-stands for the hash itself. Rolling hashes of runs of symbols are winnowed to their minima, minima are joined, seeds of
-a pair lie on one diagonal because their position is part of the hash, and the pair is aligned symbol by symbol for its
-coverage. An exact comparison of the vectors decides last.
+Method: a record's content and geometry hash are sequences whose whole length is one window, so their one fingerprint
+stands for the hash itself. Winnowed fingerprints of a vector's symbols lose pairs near the fixed threshold, so vectors
+meet in the leaves of :mod:`partloom.llm.borders`, which lose none. A pair is aligned symbol by symbol for its coverage:
+a vector, turned and cut into steps, gives one symbol per direction. An exact comparison of the vectors decides last.
 """
 
 from __future__ import annotations
@@ -18,13 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.ids import key128, part_ref, usable_hash
+from partloom.llm.borders import close_pairs
 from partloom.llm.vectors import BLOCKS, as_binary, as_matrix, joined_unit_vectors
 from partloom.session import materialize, table
 
 #: Symbols of a vector: number, step, and length of the runs that are hashed; window of the winnowing.
 SYMBOLS, STEP, RUN, WINDOW = 216, 0.02, 6, 8
-#: Share of symbols that may differ in parity before two aligned vectors are compared in full.
-ODD = 0.42
 
 
 def directions(dims: int, symbols: int = SYMBOLS, seed: int = 3) -> tuple[np.ndarray, np.ndarray]:
@@ -87,57 +85,6 @@ def listed_records(signatures: DataFrame, lists: DataFrame) -> DataFrame:
     return materialize(out.withColumn("cls", F.unhex(F.md5("vec"))), "listed")
 
 
-def fingerprints(records: DataFrame) -> DataFrame:
-    """Distinct ``(fp, v)`` with ``v`` a hash of the vector; copies of a vector in a batch are dropped before the shuffle."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = None
-        for b in batches:
-            first = np.unique(b.column("v").to_numpy(), return_index=True)[1]
-            m = as_matrix(b.column("vec"))[first]
-            for i in range(0, len(m), 4096):
-                turns = turns or directions(m.shape[1])
-                row, _, fp = winnow(symbols_of(m[i : i + 4096], *turns))
-                yield pa.record_batch({"fp": pa.array(fp), "v": b.column("v").take(pa.array(first[row + i]))})
-
-    prints = records.filter(F.col("vec").isNotNull()).select("vec", F.xxhash64("vec").alias("v")).mapInArrow(run, "fp long, v long")
-    return prints.repartition("fp").dropDuplicates(["fp", "v"])
-
-
-def chained(prints: DataFrame) -> DataFrame:
-    """``(a, b, seeds, reach)`` of pairs of different vectors with a common fingerprint, and how far their seeds reach."""
-    place = F.col("fp").bitwiseAND(255)
-    pairs = prints.select("fp", F.col("v").alias("a")).join(prints.select("fp", F.col("v").alias("b")), "fp").filter(F.col("a") < F.col("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("seeds"), (F.max(place) - F.min(place) + RUN).alias("reach"))
-
-
-def parities(records: DataFrame) -> DataFrame:
-    """``(v, w0, w1, ..)``: one bit per symbol of each distinct vector, in words of 64."""
-    words = -(-SYMBOLS // 64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turns = None
-        for b in batches:
-            m = as_matrix(b.column("vec"))
-            if not len(m):
-                continue
-            turns = turns or directions(m.shape[1])
-            bits = np.packbits(np.pad(symbols_of(m, *turns) & 1, ((0, 0), (0, words * 64 - SYMBOLS))).astype(bool), axis=1).view(np.int64)
-            yield pa.record_batch({"v": b.column("v"), **{f"w{k}": pa.array(bits[:, k].copy()) for k in range(words)}})
-
-    out = records.filter(F.col("vec").isNotNull()).select("vec", F.xxhash64("vec").alias("v")).mapInArrow(run, "v long, " + ", ".join(f"w{k} long" for k in range(words)))
-    return out.groupBy("v").agg(*[F.min(f"w{k}").alias(f"w{k}") for k in range(words)])
-
-
-def extended(pairs: DataFrame, bits: DataFrame) -> DataFrame:
-    """Pairs whose symbols, aligned along their whole length, differ in parity in a share of at most :data:`ODD`."""
-    words = [c for c in bits.columns if c != "v"]
-    for side in ("a", "b"):
-        pairs = pairs.join(bits.select(F.col("v").alias(side), *[F.col(w).alias(f"{side}_{w}") for w in words]), side)
-    odd = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-    return pairs.filter(odd <= int(ODD * SYMBOLS)).select("a", "b")
-
-
 def aligned(pairs: DataFrame, records: DataFrame, min_sim: float, broadcast_rows: int = 1_000_000) -> DataFrame:
     """``(a, b, coverage)`` by vector digests, of candidate pairs with at least ``min_sim``; coverage is the share of
     equal symbols. The vectors that occur in pairs are picked by a broadcast of their 8-byte hashes if these are at
@@ -173,7 +120,7 @@ def cross_split_cases(records: DataFrame, min_sim: float = 0.996) -> DataFrame:
     """
     keys = F.array_compact(F.array("c", "g", "cls", key128(F.lit("p"), F.col("part_id"))))
     rows = records.select("part_id", "held", F.explode(keys).alias("key")).distinct()
-    near = aligned(extended(chained(fingerprints(records)), parities(records)), records, min_sim)
+    near = aligned(close_pairs(records, min_sim), records, min_sim)
     ends = F.explode(F.array(F.struct(F.col("a").alias("kt"), F.col("b").alias("kh")), F.struct(F.col("b").alias("kt"), F.col("a").alias("kh"))))
     sides = rows.select("part_id", "key", F.explode("held").alias("h")).select("part_id", "key", "h.*")
     same = sides.groupBy("key").agg(F.max("train").alias("t"), F.max("held_out").alias("h")).filter("t and h").select(F.col("key").alias("kt"), F.col("key").alias("kh"), F.lit(1.0).alias("coverage"))
