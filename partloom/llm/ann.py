@@ -1,14 +1,14 @@
 """Problem 1: the k most similar vectors of every vector.
 
-Method: score-aware (anisotropic) product quantisation. Vectors fall into the cells of a k-means fitted on a bounded
-sample; residuals are coded with 16 words per subspace (four bits), chosen so that error along the vector, which moves
-the inner product most, costs more than error across it; cells near a query are scanned through the query's tables of
-word products, and the best are ranked again by exact products.
+Method: with a least similarity, vectors meet in the leaves of planes that lose no pair, and a leaf is compared in full.
+Without one, vectors fall into the cells of a k-means fitted on a bounded sample, and the cells near a query are scanned
+by exact products. The score-aware (anisotropic) product quantiser, with 16 words per subspace and error along the
+vector, which moves the inner product most, costing more than error across it, is kept for storing vectors in four bits a
+subspace (:func:`fit`, :func:`encode`); it ranks nothing here, since near-equal vectors get the same codes.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from partloom.llm.borders import SLACK, Planes, allowed_distance, fit_planes
 from partloom.llm.vectors import as_binary, as_matrix, digest, kmeans, nearest, same_rows, sample_vectors, unit_vectors
 from partloom.session import materialize, table
 
@@ -100,13 +101,19 @@ def _shards(centres: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
     return out
 
 
-def fit(sample: np.ndarray, total: int, cell_rows: int = 64, most_cells: int = 4096, shard_rows: int = 12_000, threshold: float = 0.3) -> Index:
-    """An index for ``total`` vectors from a bounded sample; ``threshold`` sets the weight of error along the vector."""
-    dims = sample.shape[1]
+def fit_cells(sample: np.ndarray, total: int, cell_rows: int = 64, most_cells: int = 4096, shard_rows: int = 12_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(centres, shard of each, cell of each sampled vector)`` for ``total`` vectors."""
     k = int(np.clip(total // cell_rows, 1, min(most_cells, max(1, len(sample) // 8))))
     centres = kmeans(sample, k)
     own = nearest(sample, centres)
     weight = np.bincount(own, minlength=len(centres)) * (total / max(1, len(sample)))
+    return centres, _shards(centres, weight, shard_rows), own
+
+
+def fit(sample: np.ndarray, total: int, threshold: float = 0.3) -> Index:
+    """Cells and words for ``total`` vectors from a bounded sample; ``threshold`` sets the weight of error along the vector."""
+    dims = sample.shape[1]
+    centres, shard_of, own = fit_cells(sample, total)
     eta = max(1.0, (dims - 1) * threshold**2 / (1 - threshold**2))
     spread = sample - sample.mean(0)
     turn = np.ascontiguousarray(np.linalg.eigh(spread.T @ spread)[1][:, ::-1], np.float32)
@@ -119,32 +126,32 @@ def fit(sample: np.ndarray, total: int, cell_rows: int = 64, most_cells: int = 4
         book[s, : len(words)] = words
     for _ in range(2):
         book = _fit_words(rest, part, encode(rest, part, book, eta), book, eta)
-    return Index(turn, centres, _shards(centres, weight, shard_rows), book, eta)
+    return Index(turn, centres, shard_of, book, eta)
 
 
-def _route(index: Index, probes: int, margin: float):
+def _route(centres: np.ndarray, shard_of: np.ndarray, probes: int, margin: float):
     """Rows for the shards: each vector goes to the shard of its cell, and as a visitor to those of other near cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        half = 0.5 * (index.centres**2).sum(1)
+        half = 0.5 * (centres**2).sum(1)
         p = min(probes, len(half))
         for b in batches:
             v = as_matrix(b.column("vec"))
             for i in range(0, len(v), 4096):
                 x = v[i : i + 4096]
-                score = x @ index.centres.T - half
+                score = x @ centres.T - half
                 cells = np.argpartition(-score, p - 1, axis=1)[:, :p] if p < len(half) else np.tile(np.arange(p), (len(x), 1))
                 near = np.take_along_axis(score, cells, 1)
                 home = cells[np.arange(len(x)), near.argmax(1)]
                 row, col = np.nonzero(near >= near.max(1, keepdims=True) - margin / 2)
                 cell = cells[row, col]
-                shard = index.shard_of[cell]
+                shard = shard_of[cell]
                 order = np.lexsort((cell, shard, row))
                 row, cell, shard = row[order], cell[order], shard[order]
                 first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])])
                 off = np.append(first, len(row)).astype(np.int32) * 2
                 near_cells = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(cell.astype(np.uint16).tobytes())])
-                here = index.shard_of[home[row[first]]] == shard[first]
+                here = shard_of[home[row[first]]] == shard[first]
                 yield pa.record_batch({
                     "shard": pa.array(shard[first], pa.int32()), "part_id": b.column("part_id").slice(i, len(x)).take(pa.array(row[first])), "vec": as_binary(x[row[first]]),
                     "home": pa.array(np.where(here, home[row[first]], -1), pa.int32()), "near_cells": near_cells,
@@ -153,73 +160,105 @@ def _route(index: Index, probes: int, margin: float):
     return run
 
 
+def _to_leaves(planes: Planes):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            v = as_matrix(b.column("vec"))
+            for i in range(0, len(v), 4096):
+                row, leaf = planes.leaves(v[i : i + 4096])
+                yield pa.record_batch({"leaf": pa.array(leaf, pa.int32()), "part_id": b.column("part_id").take(pa.array(row + i)), "vec": as_binary(v[row + i])})
+
+    return run
+
+
 _ROUTED = "shard int, part_id string, vec binary, home int, near_cells binary"
-_FOUND = "part_id string, other_id string, sim float, copy_of binary"
+_FOUND = "part_id string, other_id string, sim double, copy_of binary"
 
 
 def _ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def scan(v: np.ndarray, q: np.ndarray, probe_rows: np.ndarray, probe_cells: np.ndarray, cell: np.ndarray, index: Index, per_cell: int, rerank: int, block: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query, item, exact product)`` of the best items for each query among the cells it probes.
-
-    Each cell's codes are read through the query's tables: for every subspace the table row of the code's word is added
-    up for all queries of the cell at once. The best ``per_cell`` of each cell and ``rerank`` of all are multiplied out.
-    """
-    turned = v @ index.turn
-    codes = encode(turned - (index.centres @ index.turn)[cell], turned, index.book, index.eta)
+def best_columns(q: np.ndarray, v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """``(row of q, row of v)`` of the ``k`` largest products of each row of ``q`` that are at least ``least``, ties of
+    the rounded products to the lower row of ``v``. Where more than ``k`` are left, double precision decides."""
+    s = q @ v.T
+    row, col = np.divmod(np.flatnonzero(s >= least), s.shape[1])
+    full = np.flatnonzero(np.bincount(row, minlength=len(s)) > k)
+    if not len(full):
+        return row, col
+    few = ~np.isin(row, full)
+    wide = v.T.astype(np.float64)
+    rows, cols = [row[few]], [col[few]]
+    for i in range(0, len(full), max(1, 4_000_000 // s.shape[1])):
+        at = full[i : i + max(1, 4_000_000 // s.shape[1])]
+        key = np.rint(q[at].astype(np.float64) @ wide * 1e6).astype(np.int64) * s.shape[1] - np.arange(s.shape[1])
+        rows.append(np.repeat(at, k))
+        cols.append(np.argpartition(key, s.shape[1] - k, axis=1)[:, s.shape[1] - k :].ravel())
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _exact(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *[np.einsum("nd,nd->n", q[a[i : i + 65_536]], v[b[i : i + 65_536]], dtype=np.float64) for i in range(0, len(a), 65_536)]])
+
+
+def compare_all(v: np.ndarray, k: int, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, other, product)``: the ``k`` best rows of at least ``min_sim`` for each row, itself among them."""
+    step = max(16, 12_000_000 // len(v))
+    got = [np.zeros((2, 0), np.int64)]
+    for i in range(0, len(v), step):
+        a, b = best_columns(v[i : i + step], v, k, min_sim - SLACK)
+        got.append(np.stack([a + i, b]))
+    a, b = np.hstack(got)
+    return a, b, _exact(v, v, a, b)
+
+
+def scan(v: np.ndarray, q: np.ndarray, probe_rows: np.ndarray, probe_cells: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, item, product)`` of the ``k`` best items for each query among all in the cells it probes."""
     order = np.argsort(cell, kind="stable")
-    count = np.bincount(cell, minlength=len(index.centres))
+    count = np.bincount(cell, minlength=int(probe_cells.max(initial=0)) + 1)
     start = np.cumsum(count) - count
-    out = []
-    for lo in range(0, len(q), block):
-        qb = q[lo : lo + block]
-        tables = np.einsum("nsd,swd->swn", _subspaces(qb @ index.turn), index.book, optimize=True).astype(np.float32)
-        mine = (probe_rows >= lo) & (probe_rows < lo + block) & (count[probe_cells] > 0)
-        pr, pc = probe_rows[mine] - lo, probe_cells[mine]
-        by_cell = np.argsort(pc, kind="stable")
-        pr, pc = pr[by_cell], pc[by_cell]
-        got: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for cut in np.split(np.arange(len(pc)), np.flatnonzero(pc[1:] != pc[:-1]) + 1):
-            if not len(cut):
-                continue
-            c, who = pc[cut[0]], pr[cut]
-            items = order[start[c] : start[c] + count[c]]
-            for s0 in range(0, len(items), 4096):
-                part = items[s0 : s0 + 4096]
-                acc = np.repeat((qb[who] @ index.centres[c])[None, :], len(part), axis=0)
-                for s in range(tables.shape[0]):
-                    acc += np.take(np.take(tables[s], who, axis=1), codes[part, s], axis=0)
-                if len(part) > per_cell:
-                    best = np.argpartition(acc, len(part) - per_cell, axis=0)[len(part) - per_cell :]
-                else:
-                    best = np.repeat(np.arange(len(part))[:, None], len(who), axis=1)
-                got.append((np.broadcast_to(who, best.shape).ravel(), part[best].ravel(), np.take_along_axis(acc, best, 0).ravel()))
-        if not got:
+    by_cell = np.argsort(probe_cells, kind="stable")
+    pr, pc = probe_rows[by_cell], probe_cells[by_cell]
+    got = [np.zeros((2, 0), np.int64)]
+    for cut in np.split(np.arange(len(pc)), np.flatnonzero(pc[1:] != pc[:-1]) + 1):
+        if not len(cut) or not count[pc[cut[0]]]:
             continue
-        a, b, score = (np.concatenate(x) for x in zip(*got, strict=True))
-        ranked = np.lexsort((-score, a))
-        a, b = a[ranked], b[ranked]
-        keep = _ranges(np.bincount(a, minlength=len(qb))) < rerank
-        a, b = a[keep], b[keep]
-        exact = np.concatenate([np.einsum("nd,nd->n", qb[a[i : i + 65_536]], v[b[i : i + 65_536]]) for i in range(0, len(a), 65_536)])
-        out.append((a + lo, b, exact))
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
+        items = order[start[pc[cut[0]]] :][: count[pc[cut[0]]]]
+        step = max(16, 12_000_000 // len(items))
+        for i in range(0, len(cut), step):
+            who = pr[cut[i : i + step]]
+            a, b = best_columns(q[who], v[items], k, -2.0)
+            got.append(np.stack([who[a], items[b]]))
+    a, b = np.hstack(got)
+    exact = _exact(q, v, a, b)
+    ranked = np.lexsort((b, -np.round(exact, 6), a))
+    keep = ranked[_ranges(np.bincount(a, minlength=len(q))) < k]
+    return a[keep], b[keep], exact[keep]
+
+
+def _search(k: int, min_sim: float, copies: int):
+    """Rows of a leaf are all compared; those of a shard with what lies in the cells they probe."""
 
-
-def _search(index: Index, k: int, min_sim: float, per_cell: int, rerank: int, copies: int):
     def run(t: pa.Table) -> pa.Table:
         v = as_matrix(t.column("vec"))
-        home = t.column("home").to_numpy()
         names, rank = np.unique(np.array(t.column("part_id").to_pylist(), object).astype(str), return_inverse=True)
+        # classes of equal vectors, in the order of their first ids
         cls = same_rows(v)
+        low = np.full(cls.max() + 1, len(names))
+        np.minimum.at(low, cls, rank)
+        cls = np.argsort(np.lexsort((low,)))[cls]
         _, first = np.unique(cls, return_index=True)
-        probes = [np.frombuffer(x, np.uint16) for x in t.column("near_cells").take(pa.array(first)).to_pylist()]
-        size = np.array([len(x) for x in probes])
-        item_cls = np.flatnonzero(home[first] >= 0)
-        a, b, sim = scan(v[first[item_cls]], v[first], np.repeat(np.arange(len(first)), size), np.concatenate(probes).astype(np.int64), home[first[item_cls]], index, per_cell, rerank)
-        b = item_cls[b]
+        if "home" in t.column_names:
+            home = t.column("home").to_numpy()
+            probes = [np.frombuffer(x, np.uint16) for x in t.column("near_cells").take(pa.array(first)).to_pylist()]
+            size = np.array([len(x) for x in probes])
+            item_cls = np.flatnonzero(home[first] >= 0)
+            a, b, sim = scan(v[first[item_cls]], v[first], np.repeat(np.arange(len(first)), size), np.concatenate(probes).astype(np.int64), home[first[item_cls]], k + 1)
+            b = item_cls[b]
+        else:
+            item_cls = np.arange(len(first))
+            a, b, sim = compare_all(v[first], k + 1, min_sim)
         sim = np.where(a == b, 1.0, sim)
         if min_sim > -1:
             a, b, sim = a[sim >= min_sim], b[sim >= min_sim], sim[sim >= min_sim]
@@ -232,7 +271,7 @@ def _search(index: Index, k: int, min_sim: float, per_cell: int, rerank: int, co
         other = rows[start[b[wide]] + _ranges(held[b]), 1]
         asks = np.repeat(np.arange(len(wide)), n_rows[a[wide]])
         one = rows[start[a[wide[asks]]] + _ranges(n_rows[a[wide]]), 1]
-        other, s = other[asks], sim[wide[asks]].astype(np.float32)
+        other, s = other[asks], sim[wide[asks]]
         keep = one != other
         one, other, s = one[keep], other[keep], s[keep]
         order = np.lexsort((other, -np.round(s, 6), one))
@@ -245,31 +284,32 @@ def _search(index: Index, k: int, min_sim: float, per_cell: int, rerank: int, co
         marks = [digest(v[first[c]]) for c in many]
         return pa.table({
             "part_id": pa.array([*names[one], *[None] * len(ids)], pa.string()), "other_id": pa.array([*names[other], *names[ids]], pa.string()),
-            "sim": pa.array(np.r_[s, np.ones(len(ids), np.float32)], pa.float32()), "copy_of": pa.array([*[None] * len(one), *marks], pa.binary()),
+            "sim": pa.array(np.r_[s, np.ones(len(ids))], pa.float64()), "copy_of": pa.array([*[None] * len(one), *marks], pa.binary()),
         })
 
     return run
 
 
-def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes: int = 16, margin: float = 0.16, per_cell: int = 24, rerank: int = 64, sample_rows: int = 32_768, copies: int = 11) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes: int = 16, margin: float = 0.16, leaf_rows: int = 36_000, sample_rows: int = 32_768, copies: int = 11) -> DataFrame:
     """``(part_id, other_id, sim)``: for each part the ``k`` most similar other parts with at least ``min_sim``.
 
     ``vectors`` comes from :func:`unit_vectors`. Ties go to the smaller id; copies of one vector are compared once.
-    With a ``min_sim`` the margin shrinks with the distance it allows: two vectors that close differ little in how far
-    they are from two centres.
-    The loss: cells farther than ``margin`` (squared distance beyond the nearest) or beyond ``probes`` are not scanned,
-    and four-bit scores choose what is multiplied out; the README has the recall against brute force. The index is
-    fitted on at most ``sample_rows`` vectors, every vector is indexed. No vectors give no rows.
+    With a ``min_sim`` nothing is lost: vectors that similar meet in a leaf of :mod:`partloom.llm.borders`, and a leaf
+    is compared in full. Without one, cells farther than ``margin`` (squared distance beyond the nearest) or beyond
+    ``probes`` are not scanned; all items of the others are multiplied out. The README has the recall against brute
+    force. Cells and planes are fitted on at most ``sample_rows`` vectors. No vectors give no rows.
     """
     full = vectors.filter(F.col("vec").isNotNull())
     total = full.count()
     if total == 0:
         return vectors.sparkSession.createDataFrame([], "part_id string, other_id string, sim float")
+    sample = sample_vectors(vectors, min(sample_rows, max(4096, total // 4)), total)
     if min_sim > -1:
-        margin = min(margin, 0.5 * math.sqrt(2 * (1 - min_sim)))
-    index = fit(sample_vectors(vectors, min(sample_rows, max(4096, total // 4)), total), total)
-    routed = full.select("part_id", "vec").mapInArrow(_route(index, probes, margin), _ROUTED)
-    found = routed.groupBy("shard").applyInArrow(_search(index, k, min_sim, per_cell, rerank, copies), _FOUND)
+        planes = fit_planes(sample, total, allowed_distance(min_sim), leaf_rows)
+        found = full.select("part_id", "vec").mapInArrow(_to_leaves(planes), "leaf int, part_id string, vec binary").groupBy("leaf").applyInArrow(_search(k, min_sim, copies), _FOUND)
+    else:
+        routed = full.select("part_id", "vec").mapInArrow(_route(*fit_cells(sample, total)[:2], probes, margin), _ROUTED)
+        found = routed.groupBy("shard").applyInArrow(_search(k, min_sim, copies), _FOUND)
     extra = vectors.filter(F.col("copy_of").isNotNull()).select("part_id", "copy_of")
     if not extra.isEmpty():
         found = materialize(found, "found")
@@ -278,8 +318,8 @@ def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes:
     else:
         found = found.filter(F.col("copy_of").isNull()).drop("copy_of")
     best = Window.partitionBy("part_id").orderBy(F.desc(F.round("sim", 6)), "other_id")
-    found = found.filter(F.col("part_id") != F.col("other_id")).distinct()
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank")
+    found = found.filter(F.col("part_id") != F.col("other_id")).dropDuplicates(["part_id", "other_id"])
+    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).drop("rank").withColumn("sim", F.col("sim").cast("float"))
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:
