@@ -149,24 +149,31 @@ def density_clusters(vectors: DataFrame, min_sim: float = 0.96, min_size: int =
     return merged.join(sizes, "root").select("part_id", "cluster_id")
 
 
+def _digests(vectors: DataFrame) -> DataFrame:
+    """``(part_id, copy_of)``: the digest of each vector, as the parts without one name it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch({"part_id": b.column("part_id"), "copy_of": pa.array([digest(x) for x in as_matrix(b.column("vec"))], pa.binary())})
+
+    return vectors.select("part_id", "vec").mapInArrow(run, "part_id string, copy_of binary")
+
+
 def _with_copies(merged: DataFrame, vectors: DataFrame) -> DataFrame:
     """Adds the parts whose vector was dropped as one of many copies to the cluster of that vector."""
     extra = vectors.filter(F.col("copy_of").isNotNull()).select("part_id", "copy_of").distinct()
     if extra.isEmpty():
         return merged
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.record_batch({"part_id": b.column("part_id"), "copy_of": pa.array([digest(x) for x in as_matrix(b.column("vec"))], pa.binary())})
-
-    marked = vectors.filter(F.col("vec").isNotNull()).select("part_id", "vec").mapInArrow(run, "part_id string, copy_of binary")
+    marked = _digests(vectors.filter(F.col("vec").isNotNull()))
     root_of = marked.join(extra.select("copy_of").distinct(), "copy_of", "left_semi").groupBy("copy_of").agg(F.min("part_id").alias("part_id")).join(merged, "part_id").select("copy_of", "root")
     return merged.unionByName(extra.join(root_of, "copy_of").select("part_id", "root")).distinct()
 
 
 def medoids(clusters: DataFrame, vectors: DataFrame, top: int = 3) -> DataFrame:
     """``(cluster_id, n_parts, part_id, rank, typicality)``: the ``top`` members with the largest mean product to all
-    members of their cluster. For unit vectors that is the product with the mean vector, so one sum per cluster is enough."""
+    members of their cluster. For unit vectors that is the product with the mean vector, so one sum per cluster is enough.
+    Parts whose vector was dropped as one of many copies count in the size and in the mean."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -175,21 +182,31 @@ def medoids(clusters: DataFrame, vectors: DataFrame, top: int = 3) -> DataFrame:
             v = as_matrix(b.column("vec")).astype(np.float64)
             names, code = np.unique(np.array(b.column("cluster_id").to_pylist(), object).astype(str), return_inverse=True)
             sums = np.zeros((len(names), v.shape[1]))
-            np.add.at(sums, code, v)
-            yield pa.record_batch({"cluster_id": pa.array(names.tolist(), pa.string()), "n": pa.array(np.bincount(code)), "total": pa.array(sums.tolist(), pa.list_(pa.float64()))})
+            weight = b.column("weight").to_numpy().astype(np.float64)
+            np.add.at(sums, code, v * weight[:, None])
+            yield pa.record_batch({"cluster_id": pa.array(names.tolist(), pa.string()), "n": pa.array(np.bincount(code, weight).astype(np.int64)), "total": pa.array(sums.tolist(), pa.list_(pa.float64()))})
 
     def add_up(t: pa.Table) -> pa.Table:
         total = np.array(t.column("total").to_pylist()).sum(0)
         n = int(np.sum(t.column("n").to_numpy()))
-        return pa.table({"cluster_id": t.column("cluster_id").slice(0, 1), "n_parts": [n], "mean": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
+        return pa.table({"cluster_id": t.column("cluster_id").slice(0, 1), "mean": pa.array([(total / n).astype(np.float32).tobytes()], pa.binary())})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             s = np.einsum("nd,nd->n", as_matrix(b.column("vec")), as_matrix(b.column("mean"))) if b.num_rows else np.zeros(0)
             yield pa.record_batch({"cluster_id": b.column("cluster_id"), "n_parts": b.column("n_parts"), "part_id": b.column("part_id"), "typicality": pa.array(s, pa.float64())})
 
-    rows = materialize(clusters.join(vectors.filter(F.col("vec").isNotNull()).select("part_id", "vec").dropDuplicates(["part_id"]), "part_id"), "members")
-    means = rows.select("cluster_id", "vec").mapInArrow(partial, "cluster_id string, n long, total array<double>").groupBy("cluster_id").applyInArrow(add_up, "cluster_id string, n_parts long, mean binary")
+    clusters = materialize(clusters, "clusters")
+    sizes = clusters.groupBy("cluster_id").agg(F.count_distinct("part_id").alias("n_parts"))
+    kept = vectors.filter(F.col("vec").isNotNull()).select("part_id", "vec").dropDuplicates(["part_id"])
+    rows = materialize(clusters.join(kept, "part_id"), "members")
+    extra = vectors.filter(F.col("copy_of").isNotNull()).select("part_id", "copy_of").distinct().join(kept.select("part_id"), "part_id", "left_anti").groupBy("copy_of").agg(F.count("*").alias("more"))
+    extra = materialize(extra, "copies")
+    weighed = rows.withColumn("weight", F.lit(1).cast("long"))
+    if not extra.isEmpty():
+        first = _digests(rows).join(extra, "copy_of").groupBy("copy_of").agg(F.min("part_id").alias("part_id"), F.max("more").alias("more"))
+        weighed = rows.join(first.select("part_id", "more"), "part_id", "left").withColumn("weight", 1 + F.coalesce("more", F.lit(0)))
+    means = weighed.select("cluster_id", "vec", "weight").mapInArrow(partial, "cluster_id string, n long, total array<double>").groupBy("cluster_id").applyInArrow(add_up, "cluster_id string, mean binary").join(sizes, "cluster_id")
     scored = rows.join(means, "cluster_id").select("cluster_id", "n_parts", "part_id", "vec", "mean").mapInArrow(score, "cluster_id string, n_parts long, part_id string, typicality double")
     best = Window.partitionBy("cluster_id").orderBy(F.desc(F.round("typicality", 6)), "part_id")
     return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= top).withColumn("typicality", F.round("typicality", 5))
