@@ -98,6 +98,15 @@ def smallest_label(roots: DataFrame) -> DataFrame:
     return roots.join(low, "root").select("id", "component")
 
 
+def tied_groups(keyed: DataFrame, name: str = "part_id", label: str = "grp") -> DataFrame:
+    """``(name, label)`` of every row of ``(name, keys)`` that shares a key with another one, directly or through others.
+
+    The label is the smallest name of the group; null and empty lists of keys tie nothing.
+    """
+    nodes = with_ids(keyed.select(name, "keys"))
+    return label_by_name(contract(star_edges(nodes.select("id", F.explode("keys").alias("key"))), hook_to_neighbour), nodes, name, label)
+
+
 def label_by_name(roots: DataFrame, nodes: DataFrame, name: str, label: str) -> DataFrame:
     """``(name, label)``: each vertex by its name and the smallest name of its component (byte order)."""
     named = roots.join(nodes.select("id", F.col(name)), "id")

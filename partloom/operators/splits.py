@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from partloom.functions.scalars import cut_offs, seeded_order
 from partloom.operators.ranking import ranked
+from partloom.session import materialize
 
 
 def folds(parts: DataFrame, min_size: int) -> DataFrame:
@@ -23,21 +24,24 @@ def leave_one_domain_out(parts: DataFrame, min_size: int = 50, calib: float = 0.
 
     Test is the fold's domain. The pool is every other known domain without the strong groups and families of the test
     domain and without ``fam_iso_`` families. Of each pool domain the first families in seeded order, at least one, are
-    calib; calib takes whole strong groups; the rest is train. Rows without a domain belong to no fold.
+    calib, or where it has no family the first rows; calib takes whole strong groups; the rest is train. Rows without a
+    domain belong to no fold.
     """
-    rows = parts.filter(F.col("domain").isNotNull())
-    fold = folds(parts, min_size)
+    rows = materialize(parts.filter(F.col("domain").isNotNull()).select("part_id", "domain", "family", "grp"), "split-rows")
+    fold = folds(rows, min_size)
     test = rows.join(F.broadcast(fold), F.col("domain") == F.col("test_domain")).select("split_id", "part_id", "family", "grp")
     every = rows.withColumn("k", F.lit(1)).join(F.broadcast(fold.groupBy(F.lit(1).alias("k")).agg(F.collect_list(F.struct("split_id", "test_domain")).alias("fs"))), "k")
     pool = every.select("part_id", "domain", "family", "grp", F.explode("fs").alias("f")).select("part_id", "domain", "family", "grp", "f.*")
     pool = pool.filter((F.col("domain") != F.col("test_domain")) & ~F.coalesce(F.col("family").startswith("fam_iso_"), F.lit(False)))
     pool = pool.join(test.select("split_id", "grp").distinct(), ["split_id", "grp"], "left_anti")
-    pool = pool.join(test.filter(F.col("family").isNotNull()).select("split_id", "family").distinct(), ["split_id", "family"], "left_anti")
+    pool = materialize(pool.join(test.filter(F.col("family").isNotNull()).select("split_id", "family").distinct(), ["split_id", "family"], "left_anti"), "pool")
     fams = pool.filter(F.col("family").isNotNull()).select("split_id", "domain", "family").distinct()
-    order = Window.partitionBy("split_id", "domain").orderBy(seeded_order(F.col("family"), seed=seed), "family")
-    size = Window.partitionBy("split_id", "domain")
-    chosen = fams.withColumn("rn", F.row_number().over(order)).withColumn("m", F.count("*").over(size)).filter(F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("m") * calib)))
-    groups = pool.join(chosen.select("split_id", "domain", "family"), ["split_id", "domain", "family"], "left_semi").select("split_id", "grp").distinct().withColumn("is_calib", F.lit(True))
+    few = F.col("rn") <= F.greatest(F.lit(1), F.ceil(F.col("m") * calib))
+    chosen = ranked(fams.withColumn("place", seeded_order(F.col("family"), seed=seed)), ["split_id", "domain"], "place", "family").filter(few)
+    by_family = pool.join(chosen.select("split_id", "domain", "family"), ["split_id", "domain", "family"], "left_semi").select("split_id", "grp")
+    without = pool.join(fams.select("split_id", "domain").distinct(), ["split_id", "domain"], "left_anti").select("split_id", "domain", "grp", "part_id")
+    by_row = ranked(without.withColumn("place", seeded_order(F.col("part_id"), seed=seed)), ["split_id", "domain"], "place", "part_id").filter(few).select("split_id", "grp")
+    groups = by_family.unionByName(by_row).distinct().withColumn("is_calib", F.lit(True))
     split = pool.join(groups, ["split_id", "grp"], "left").select("split_id", F.when(F.col("is_calib"), "calib").otherwise("train").alias("subset"), "part_id")
     return split.unionByName(test.select("split_id", F.lit("test").alias("subset"), "part_id"))
 

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from partloom.functions import scalars as S
-from partloom.functions.ids import part_ref, usable_hash
+from partloom.functions.ids import family_key, key128, part_ref, usable_hash
 from partloom.operators import audit, cluster, stats
-from partloom.operators.graph import connected_components, label_by_name, star_edges, with_ids  # noqa: F401
+from partloom.operators.graph import tied_groups
 from partloom.session import table
 
 HASH = r"nullif(regexp_extract(lower({0}), '^\s*(?:[^:]*:)?\s*([0-9a-f]{{64}})\s*$', 1), '')"
@@ -232,10 +232,15 @@ def index_assembly(spark, d):
 def strong_groups(spark, d):
     """Parts joined by a canonical or a usable content hash, by the smallest part id."""
     p = parts(spark, d, "duplicate_canonical", "content_hash")
-    keys = F.array_compact(F.array(F.concat(F.lit("d:"), part_ref(F.col("duplicate_canonical"))), F.concat(F.lit("h:"), usable_hash(F.col("content_hash")))))
-    nodes = with_ids(p.select("part_id", keys.alias("keys")))
-    comps = connected_components(star_edges(nodes.select("id", F.explode("keys").alias("key"))))
-    return label_by_name(comps.withColumnRenamed("component", "root"), nodes, "part_id", "grp")
+    keys = F.array_compact(F.array(key128(F.lit("d"), part_ref(F.col("duplicate_canonical"))), key128(F.lit("h"), usable_hash(F.col("content_hash")))))
+    return tied_groups(p.select("part_id", keys.alias("keys")))
+
+
+def split_components(spark, d):
+    """Parts joined by a family or a usable content hash, by the smallest part id; noise and blank families join nothing."""
+    p = parts(spark, d, "family_id", "content_hash")
+    keys = F.array_compact(F.array(key128(F.lit("f"), family_key(F.col("family_id"))), key128(F.lit("h"), usable_hash(F.col("content_hash")))))
+    return tied_groups(p.select("part_id", keys.alias("keys")), label="component")
 
 
 MAJOR = """maj AS (SELECT c, f FROM (SELECT c, f, row_number() OVER (PARTITION BY c ORDER BY count(*) DESC, f) r FROM p WHERE c IS NOT NULL AND f IS NOT NULL {0} GROUP BY c, f) WHERE r = 1)"""
@@ -264,6 +269,17 @@ def _kernel(fmt: str, system: str) -> str:
     return f"CASE WHEN {fmt} = 'BREP' THEN 'OpenCascade'{cases} WHEN {fmt} = 'STEP' THEN 'STEP' ELSE 'UNKNOWN' END"
 
 
+STRONG_KEYS = f"SELECT DISTINCT part_id p, 'd:' || {REF.format('duplicate_canonical')} k FROM part_index_for_split WHERE {REF.format('duplicate_canonical')} IS NOT NULL UNION SELECT part_id, 'h:' || {HASH.format('content_hash')} FROM part_index_for_split WHERE {HASH.format('content_hash')} IS NOT NULL"
+FAM = r"lower(regexp_replace(family_id, '^\s+|\s+$', '', 'g'))"
+COMPONENT_KEYS = f"SELECT DISTINCT part_id p, 'f:' || {FAM} k FROM part_index_for_split WHERE {FAM} NOT IN ('', 'fam_-1') UNION SELECT part_id, 'h:' || {HASH.format('content_hash')} FROM part_index_for_split WHERE {HASH.format('content_hash')} IS NOT NULL"
+
+
+def _tied(name: str, keys: str) -> str:
+    """Groups of parts that share keys ``(p, k)``, as ``<name>_g(part_id, lo, n)``, by everything that is reached from each part."""
+    return f"""{name}_k AS ({keys}), {name}_o AS (SELECT p, min(p) OVER (PARTITION BY k) lo FROM {name}_k), {name}_e AS (SELECT DISTINCT p x, lo y FROM {name}_o UNION SELECT lo, p FROM {name}_o),
+      {name}_r AS (SELECT x, y FROM {name}_e UNION SELECT {name}_r.x, {name}_e.y FROM {name}_r JOIN {name}_e ON {name}_r.y = {name}_e.x), {name}_g AS (SELECT x AS part_id, min(y) lo, count(DISTINCT y) n FROM {name}_r GROUP BY x)"""
+
+
 FMT = "CASE WHEN lower(file_ext) IN ('.step','.stp','.stpz') THEN 'STEP' WHEN lower(file_ext) IN ('.brep','.brp') THEN 'BREP' ELSE 'UNKNOWN' END"
 H = HASH.format("content_hash")
 
@@ -274,7 +290,7 @@ QUERIES = {
         canonical_multi_family, canonical_purity, family_breadth, group_metrics_top20, noise_ratio_by_dataset, noise_ratio_by_kernel, lodo_readiness, topn_distribution,
         topn_binned, describe_groups, null_rates, dup_key_rows, keep_first, domain_build, sanitize_tokens, date_from_text, ts_coalesce_source, path_segments, kernel_ladder,
         unit_labels, unknown_units, timestamp_sources, timestamp_parse_rate, monthly_counts, ts_quality, unknown_domains, distinct_totals, fill_from_index, release_dates,
-        noise_policy, no_geometry_naming, oversize_families, audit_verdict, index_assembly, strong_groups,
+        noise_policy, no_geometry_naming, oversize_families, audit_verdict, index_assembly, strong_groups, split_components,
     )
 }
 
@@ -329,7 +345,6 @@ SQL = {
         SELECT r AS repeated_ids, s AS split_hashes, round(w, 6) AS worst_gap, CASE WHEN r > 0 OR s > 0 THEN 'FAIL' WHEN w > 0 THEN 'PASS_WITH_WARNINGS' ELSE 'PASS' END AS verdict FROM i, h, g""",
     "index_assembly": """SELECT part_id, rel_path, coalesce(source_dataset, 'unknown') AS source_dataset, coalesce(format, 'UNKNOWN') AS format, file_ext, coalesce(kernel, 'UNKNOWN') AS kernel, coalesce(geom_hash, '') AS geom_hash, has_points::INT AS has_points
         FROM (SELECT DISTINCT part_id, rel_path, source_dataset, content_hash, has_points, geom_hash FROM signatures) LEFT JOIN (SELECT part_id, file_ext, format, kernel FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY ingested_at, file_ext) r FROM metas) WHERE r = 1) USING (part_id)""",
-    "strong_groups": f"""WITH RECURSIVE k AS (SELECT DISTINCT part_id p, 'd:' || {REF.format('duplicate_canonical')} k FROM part_index_for_split WHERE {REF.format('duplicate_canonical')} IS NOT NULL UNION SELECT part_id, 'h:' || {H} FROM part_index_for_split WHERE {H} IS NOT NULL),
-        e AS (SELECT DISTINCT a.p x, b.p y FROM k a JOIN k b USING (k)), r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x)
-        SELECT x AS part_id, min(y) AS grp FROM r GROUP BY x HAVING count(DISTINCT y) > 1""",
+    "strong_groups": f"WITH RECURSIVE {_tied('s', STRONG_KEYS)} SELECT part_id, lo AS grp FROM s_g WHERE n > 1",
+    "split_components": f"WITH RECURSIVE {_tied('s', COMPONENT_KEYS)} SELECT part_id, lo AS component FROM s_g WHERE n > 1",
 }

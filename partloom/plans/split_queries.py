@@ -7,19 +7,18 @@ from pyspark.sql import functions as F
 
 from partloom.functions.ids import part_ref, usable_hash
 from partloom.operators import audit, splits
-from partloom.plans.index_queries import HASH, REF, parts
-from partloom.session import table
+from partloom.plans.index_queries import COMPONENT_KEYS, HASH, REF, STRONG_KEYS, _tied, parts, split_components, strong_groups
+from partloom.session import materialize, table
 
 SEED = 42
 
 
 def split_base(spark, d) -> DataFrame:
-    """``part_id, domain, family, grp, ts`` of every part; the strong group is the smallest part of its canonical."""
+    """``part_id, domain, family, grp, hash, ts`` of every part; strong groups are tied by canonical or content hash."""
     dom = table(spark, d, "domains").select("part_id", "source_dataset", "timestamp").distinct()
-    p = parts(spark, d, "duplicate_canonical", "family_id").withColumn("canonical", part_ref(F.col("duplicate_canonical")))
-    low = p.filter(F.col("canonical").isNotNull()).groupBy("canonical").agg(F.min("part_id").alias("grp"))
-    p = p.join(low, "canonical", "left").select("part_id", F.col("family_id").alias("family"), F.coalesce("grp", "part_id").alias("grp"))
-    return dom.join(p, "part_id", "left").select("part_id", F.col("source_dataset").alias("domain"), "family", F.coalesce("grp", "part_id").alias("grp"), F.col("timestamp").alias("ts"))
+    p = parts(spark, d, "content_hash", "family_id").select("part_id", F.col("family_id").alias("family"), usable_hash(F.col("content_hash")).alias("hash"))
+    rows = dom.join(p, "part_id", "left").join(strong_groups(spark, d), "part_id", "left")
+    return rows.select("part_id", F.col("source_dataset").alias("domain"), "family", F.coalesce("grp", "part_id").alias("grp"), "hash", F.col("timestamp").alias("ts"))
 
 
 def lodo_membership(spark, d):
@@ -31,9 +30,10 @@ def lodo_fold_sizes(spark, d):
 
 
 def lodo_fold_meta(spark, d):
-    """Per fold whether families and strong groups of test stay out of train and calib."""
-    m = lodo_membership(spark, d).join(split_base(spark, d).select("part_id", "family", "grp"), "part_id").withColumn("protocol", F.lit("lodo"))
-    return audit.disjoint_flags(m.withColumn("subset", F.when(F.col("subset") == "test", "test").otherwise("fit")), "family", "grp").select("split_id", "key", "disjoint")
+    """Per fold whether families, strong groups and hashes of test stay out of train and calib."""
+    base = materialize(split_base(spark, d), "split-base")
+    m = splits.leave_one_domain_out(base, 30, 0.1, SEED).join(base.select("part_id", "family", "grp", "hash"), "part_id").withColumn("protocol", F.lit("lodo"))
+    return audit.disjoint_flags(m.withColumn("subset", F.when(F.col("subset") == "test", "test").otherwise("fit")), "family", "grp", "hash").select("split_id", "key", "disjoint")
 
 
 def temporal_split(spark, d):
@@ -53,8 +53,8 @@ def temporal_per_domain(spark, d):
 
 
 def component_banned_lodo(spark, d):
-    base = split_base(spark, d)
-    return splits.banned_components(base, base.select("part_id", F.col("grp").alias("component")).distinct(), 30, 0.1, SEED)
+    """Leave one domain out; components tied by family or content hash that test has are banned from the pool."""
+    return splits.banned_components(split_base(spark, d), split_components(spark, d), 30, 0.1, SEED)
 
 
 def members(spark, d) -> DataFrame:
@@ -139,15 +139,15 @@ def parts_in_index(spark, d):
     return lists.join(known, "part_id", "left_semi").agg(F.lit("known").alias("state"), F.count("*").alias("n")).unionByName(lists.join(known, "part_id", "left_anti").agg(F.lit("unknown").alias("state"), F.count("*").alias("n")))
 
 
-BASE = f"""p AS (SELECT DISTINCT part_id, {REF.format('duplicate_canonical')} c, family_id f FROM part_index_for_split),
-  q AS (SELECT part_id, f, CASE WHEN c IS NULL THEN part_id ELSE min(part_id) OVER (PARTITION BY c) END g FROM p),
-  b AS (SELECT d.part_id, d.source_dataset AS domain, q.f AS family, coalesce(q.g, d.part_id) AS grp, d.timestamp AS ts FROM (SELECT DISTINCT part_id, source_dataset, timestamp FROM domains) d LEFT JOIN q USING (part_id))"""
+BASE = f"""{_tied("s", STRONG_KEYS)}, p AS (SELECT DISTINCT part_id, family_id f, {HASH.format('content_hash')} h FROM part_index_for_split),
+  b AS (SELECT d.part_id, d.source_dataset AS domain, p.f AS family, coalesce(s_g.lo, d.part_id) AS grp, p.h AS hash, d.timestamp AS ts FROM (SELECT DISTINCT part_id, source_dataset, timestamp FROM domains) d LEFT JOIN p USING (part_id) LEFT JOIN s_g USING (part_id))"""
 FOLDS = "fold AS (SELECT (row_number() OVER (ORDER BY domain) - 1)::INT AS split_id, domain AS td FROM (SELECT domain FROM b WHERE domain IS NOT NULL GROUP BY 1 HAVING count(*) >= 30))"
-LODO = f"""WITH {BASE}, {FOLDS}, test AS (SELECT split_id, part_id, family, grp FROM b JOIN fold ON domain = td),
+LODO = f"""WITH RECURSIVE {BASE}, {FOLDS}, test AS (SELECT split_id, part_id, family, grp FROM b JOIN fold ON domain = td),
   pool AS (SELECT f.split_id, b.* FROM b, fold f WHERE b.domain IS NOT NULL AND b.domain <> f.td AND NOT coalesce(starts_with(b.family, 'fam_iso_'), false)
     AND NOT EXISTS (SELECT 1 FROM test t WHERE t.split_id = f.split_id AND t.grp = b.grp) AND NOT EXISTS (SELECT 1 FROM test t WHERE t.split_id = f.split_id AND t.family = b.family)),
   fam AS (SELECT *, row_number() OVER (PARTITION BY split_id, domain ORDER BY md5('{SEED}:' || family), family) rn, count(*) OVER (PARTITION BY split_id, domain) m FROM (SELECT DISTINCT split_id, domain, family FROM pool WHERE family IS NOT NULL)),
-  cg AS (SELECT DISTINCT pool.split_id, grp FROM pool JOIN fam USING (split_id, domain, family) WHERE rn <= greatest(1, ceil(m * 0.1))),
+  nofam AS (SELECT split_id, grp, row_number() OVER (PARTITION BY split_id, domain ORDER BY md5('{SEED}:' || part_id), part_id) rn, count(*) OVER (PARTITION BY split_id, domain) m FROM pool WHERE (split_id, domain) NOT IN (SELECT (split_id, domain) FROM fam)),
+  cg AS (SELECT pool.split_id, grp FROM pool JOIN fam USING (split_id, domain, family) WHERE rn <= greatest(1, ceil(m * 0.1)) UNION SELECT split_id, grp FROM nofam WHERE rn <= greatest(1, ceil(m * 0.1))),
   lodo AS (SELECT split_id, CASE WHEN cg.grp IS NULL THEN 'train' ELSE 'calib' END AS subset, part_id FROM pool LEFT JOIN cg USING (split_id, grp) UNION ALL SELECT split_id, 'test', part_id FROM test)"""
 
 
@@ -159,7 +159,7 @@ def _cut(m: str, rn: str, tf: float = 0.5, cf: float = 0.4) -> str:
 
 
 def _temporal(base: str, iso: str) -> str:
-    return f"""WITH {BASE}{base}, r AS (SELECT *, coalesce(family, grp, part_id) AS unit FROM b2 WHERE ts IS NOT NULL),
+    return f"""WITH RECURSIVE {BASE}{base}, r AS (SELECT *, coalesce(family, grp, part_id) AS unit FROM b2 WHERE ts IS NOT NULL),
       u AS (SELECT unit, min(ts) fst, starts_with(unit, 'fam_iso_') iso FROM r GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY iso ORDER BY fst, unit) rn, count(*) OVER (PARTITION BY iso) m FROM u)
       SELECT part_id, unit, CASE WHEN iso THEN {iso} ELSE {_cut('m', 'rn')} END AS subset FROM r JOIN w USING (unit)"""
 
@@ -188,15 +188,15 @@ QUERIES = {
 SQL = {
     "lodo_membership": f"{LODO} SELECT * FROM lodo",
     "lodo_fold_sizes": f"{LODO} SELECT split_id, subset, count(*) AS n FROM lodo GROUP BY 1, 2",
-    "lodo_fold_meta": f"""{LODO}, x AS (SELECT split_id, CASE WHEN subset = 'test' THEN 1 ELSE 0 END t, family, grp FROM lodo JOIN b USING (part_id)),
-        y AS (SELECT split_id, 'family' AS key, family AS v, count(DISTINCT t) n FROM x WHERE family IS NOT NULL GROUP BY ALL UNION ALL SELECT split_id, 'grp', grp, count(DISTINCT t) FROM x WHERE grp IS NOT NULL GROUP BY ALL)
+    "lodo_fold_meta": f"""{LODO}, x AS (SELECT split_id, CASE WHEN subset = 'test' THEN 1 ELSE 0 END t, family, grp, hash FROM lodo JOIN b USING (part_id)),
+        y AS (SELECT split_id, 'family' AS key, family AS v, count(DISTINCT t) n FROM x WHERE family IS NOT NULL GROUP BY ALL UNION ALL SELECT split_id, 'grp', grp, count(DISTINCT t) FROM x WHERE grp IS NOT NULL GROUP BY ALL UNION ALL SELECT split_id, 'hash', hash, count(DISTINCT t) FROM x WHERE hash IS NOT NULL GROUP BY ALL)
         SELECT split_id, key, max(n) <= 1 AS disjoint FROM y GROUP BY 1, 2""",
     "temporal_split": _temporal(", b2 AS (SELECT * FROM b)", "'test'"),
     "iso_relax": _temporal(", s AS (SELECT family FROM b GROUP BY 1 HAVING count(*) = 1), b2 AS (SELECT part_id, domain, CASE WHEN family IN (SELECT family FROM s WHERE family IS NOT NULL) THEN 'fam_iso_' || part_id ELSE family END AS family, grp, ts FROM b)", "CASE WHEN rn <= ceil(ceil(m * 0.1) * 0.6) THEN 'calib' WHEN rn <= ceil(m * 0.1) THEN 'train' ELSE 'test' END"),
-    "temporal_per_domain": f"""WITH {BASE}, r AS (SELECT *, coalesce(family, grp, part_id) AS unit FROM b WHERE ts IS NOT NULL AND domain IS NOT NULL),
+    "temporal_per_domain": f"""WITH RECURSIVE {BASE}, r AS (SELECT *, coalesce(family, grp, part_id) AS unit FROM b WHERE ts IS NOT NULL AND domain IS NOT NULL),
         u AS (SELECT unit, min(ts) fst, min(domain) home, starts_with(unit, 'fam_iso_') iso FROM r GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY home, iso ORDER BY fst, unit) rn, count(*) OVER (PARTITION BY home, iso) m FROM u)
         SELECT part_id, unit, home, CASE WHEN iso THEN 'test' ELSE {_cut('m', 'rn')} END AS subset FROM r JOIN w USING (unit)""",
-    "component_banned_lodo": f"""WITH {BASE}, {FOLDS}, c AS (SELECT DISTINCT part_id, grp AS component FROM b), t AS (SELECT split_id, part_id, component FROM b JOIN c USING (part_id) JOIN fold ON domain = td),
+    "component_banned_lodo": f"""WITH RECURSIVE {BASE}, {FOLDS}, {_tied('c', COMPONENT_KEYS)}, c AS (SELECT DISTINCT part_id, coalesce(lo, part_id) AS component FROM b LEFT JOIN c_g USING (part_id)), t AS (SELECT split_id, part_id, component FROM b JOIN c USING (part_id) JOIN fold ON domain = td),
         pool AS (SELECT f.split_id, part_id FROM b JOIN c USING (part_id), fold f WHERE domain IS NOT NULL AND domain <> f.td AND NOT EXISTS (SELECT 1 FROM t WHERE t.split_id = f.split_id AND t.component = c.component)),
         w AS (SELECT *, row_number() OVER (PARTITION BY split_id ORDER BY md5('{SEED}:' || part_id), part_id) rn, count(*) OVER (PARTITION BY split_id) m FROM pool)
         SELECT split_id, CASE WHEN rn <= floor(m * 0.1) THEN 'calib' ELSE 'train' END AS subset, part_id FROM w UNION ALL SELECT split_id, 'test', part_id FROM t""",

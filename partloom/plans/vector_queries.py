@@ -158,13 +158,13 @@ def bbox_ratio(spark, d):
 
 
 def hist64(spark, d):
-    """Distances of lines from their supplier's mean in 64 equal bins, as a share of the supplier's lines."""
+    """Distances of lines from their supplier's mean in 64 equal bins: lines in the bin, and all lines of the supplier."""
     x = table(spark, d, "lineitem").select("l_suppkey", (F.col("l_quantity") / 50).cast("double").alias("q"))
     mean = x.groupBy("l_suppkey").agg(F.avg("q").alias("m"))
     bin_ = F.least(F.lit(64), F.width_bucket(F.round(F.abs(F.col("q") - F.col("m")), 9), F.lit(0.0), F.lit(1.0), F.lit(64))).cast("int")
     b = x.join(mean, "l_suppkey").groupBy("l_suppkey", bin_.alias("bin")).agg(F.count("*").alias("n"))
     total = b.groupBy("l_suppkey").agg(F.sum("n").alias("t"))
-    return b.join(total, "l_suppkey").select("l_suppkey", "bin", F.round(F.col("n") / F.col("t"), 6).alias("share"))
+    return b.join(total, "l_suppkey").select("l_suppkey", "bin", "n", F.col("t").alias("total"))
 
 
 def roundness(spark, d):
@@ -365,7 +365,7 @@ SQL = {
     "face_type_hist": f"WITH {FACES} SELECT part_id, " + ", ".join(f"round(avg((kind = '{k}')::INT), 6) AS {k}" for k in ("plane", "cylinder", "cone")) + " FROM f GROUP BY 1",
     "primitive_kinds": f"SELECT p.kind AS kind, count(*) AS n, round(avg(p.params['radius']), 4) AS mean_radius FROM (SELECT unnest(primitives) p FROM {HOLES}) GROUP BY 1",
     "bbox_ratio": "WITH b AS (SELECT l_suppkey, list_sort([(max(l_quantity) - min(l_quantity))::DOUBLE, (max(l_extendedprice / 1000) - min(l_extendedprice / 1000))::DOUBLE, (max(l_discount * 100) - min(l_discount * 100))::DOUBLE]) s FROM lineitem GROUP BY 1) SELECT l_suppkey, round(s[1] / (s[3] + 1e-12), 6) AS r1, round(s[2] / (s[3] + 1e-12), 6) AS r2 FROM b",
-    "hist64": "WITH x AS (SELECT l_suppkey, l_quantity::DOUBLE / 50 q FROM lineitem), m AS (SELECT l_suppkey, avg(q) m FROM x GROUP BY 1), b AS (SELECT l_suppkey, least(64, floor(round(abs(q - m), 9) * 64) + 1)::INT AS bin, count(*) n FROM x JOIN m USING (l_suppkey) GROUP BY 1, 2) SELECT l_suppkey, bin, round(n / sum(n) OVER (PARTITION BY l_suppkey), 6) AS share FROM b",
+    "hist64": "WITH x AS (SELECT l_suppkey, l_quantity::DOUBLE / 50 q FROM lineitem), m AS (SELECT l_suppkey, avg(q) m FROM x GROUP BY 1), b AS (SELECT l_suppkey, least(64, floor(round(abs(q - m), 9) * 64) + 1)::INT AS bin, count(*) n FROM x JOIN m USING (l_suppkey) GROUP BY 1, 2) SELECT l_suppkey, bin, n, (sum(n) OVER (PARTITION BY l_suppkey))::BIGINT AS total FROM b",
     "roundness": f"WITH {FACES} SELECT part_id, round(1 - least(1.0, stddev_pop(radius) / (avg(radius) + 1e-6)), 6) AS roundness, round(max(depth) - min(depth), 6) AS extent FROM f GROUP BY 1",
     "mean_of_means": f"WITH {FACES}, k AS (SELECT part_id, kind, avg(ax) x, avg(ay) y FROM f GROUP BY 1, 2) SELECT part_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM k GROUP BY 1",
     "coaxial_best_match": f"WITH {FACES}, {COAX} SELECT part_id, face_no, cone_no, round(coax_dot, 6) AS coax_dot FROM x",

@@ -9,6 +9,7 @@ from partloom.functions import scalars as S
 from partloom.functions import vectors as V
 from partloom.functions.ids import family_key, part_ref, usable_hash
 from partloom.operators import audit, candidates, cluster, shapes, simjoin, splits, stats
+from partloom.operators.graph import tied_groups
 
 
 def _one(spark, col):
@@ -156,6 +157,21 @@ def test_lodo_keeps_groups_apart(spark):
         assert len(ids) == len(set(ids)) and "q1" not in ids
 
 
+def test_calib_by_row_without_families_and_hash_across_domains(spark):
+    rows = [(f"p{i}", f"d{i % 3}", None if i % 3 == 1 else f"f{i}", f"p{i}", None) for i in range(60)]
+    parts = spark.createDataFrame(rows, "part_id string, domain string, family string, grp string, ts date")
+    m = splits.leave_one_domain_out(parts, 10, 0.2).join(parts, "part_id").collect()
+    for k, n in ((0, 4), (2, 4)):
+        assert sum(r["subset"] == "calib" and r["domain"] == "d1" for r in m if r["split_id"] == k) == n
+    # a canonical in d0 and d1, whose second part shares a hash with d2: no side of a fold has a part of the three without the others
+    keyed = spark.createDataFrame([("p0", ["c"]), ("p1", ["c", "h"]), ("p2", ["h"]), ("p3", []), ("p4", None)], "part_id string, keys array<string>")
+    groups = tied_groups(keyed)
+    assert {tuple(r) for r in groups.collect()} == {("p0", "p0"), ("p1", "p0"), ("p2", "p0")}
+    tied = parts.drop("grp").join(groups, "part_id", "left").withColumn("grp", F.coalesce("grp", "part_id"))
+    m = splits.leave_one_domain_out(tied, 10, 0.2).filter(F.col("part_id").isin("p0", "p1", "p2")).collect()
+    assert sorted((r["split_id"], r["part_id"], r["subset"]) for r in m) == [(0, "p0", "test"), (1, "p1", "test"), (2, "p2", "test")]
+
+
 def test_temporal_order_and_home(spark):
     parts = _parts(spark)
     m = splits.temporal(parts).join(parts.select("part_id", "ts"), "part_id").collect()
