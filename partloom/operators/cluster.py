@@ -1,12 +1,10 @@
-"""Families: density clusters over neighbour pairs, names of noise and of parts without geometry, splits of large ones, repair."""
+"""Families: density clusters over neighbour pairs, names of noise and of parts without geometry, repair."""
 
 from __future__ import annotations
 
 from functools import reduce
 from itertools import product
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,29 +129,3 @@ def family_major(parts: DataFrame, canonical: str = "duplicate_canonical", famil
     """``parts`` with ``family_vote``: the majority family of the canonical, else the part's own."""
     major = majority(parts, canonical, family).withColumnRenamed(family, "_major")
     return parts.join(major, canonical, "left").withColumn("family_vote", F.coalesce("_major", family)).drop("_major")
-
-
-def size_limit(total: int, max_fraction: float, max_size: int) -> int:
-    return max(1, min(int(max_fraction * total), max_size))
-
-
-def split_oversize(labelled: DataFrame, features: str, limit: int, seed: int = 42, most_rounds: int = 4) -> DataFrame:
-    """``(id, family)``: clusters above ``limit`` rows are cut by k-means until they fit or no longer divide.
-
-    ``labelled`` is ``(id, label, features array)``. Names are ``fam_<label>``, cut ones ``fam_<label>__s<piece>``. Each
-    round works on the oversize clusters only, of which there can be at most rows over ``limit``.
-    """
-    rows = materialize(labelled.select("id", F.concat(F.lit("fam_"), "label").alias("family"), features), "families")
-    for _ in range(most_rounds):
-        sizes = rows.groupBy("family").agg(F.count("*").alias("n")).filter(F.col("n") > limit).collect()
-        if not sizes:
-            break
-        names = [r["family"] for r in sizes]
-        done = rows.filter(~F.col("family").isin(names))
-        for r in sizes:
-            part = rows.filter(F.col("family") == r["family"]).withColumn("_v", array_to_vector(F.col(features)))
-            model = KMeans(k=max(2, -(-r["n"] // limit)), seed=seed, featuresCol="_v", predictionCol="_piece").fit(part)
-            glue = "__s" if "__s" not in r["family"] else "_"
-            done = done.unionByName(model.transform(part).select("id", F.concat("family", F.lit(glue), "_piece").alias("family"), features))
-        rows = materialize(done, "families")
-    return rows.select("id", "family")

@@ -124,17 +124,6 @@ def test_neighbours_against_brute_force(spark):
     assert simjoin.nearest_of_queries(df.limit(0), df, "k", "v", 4).count() == 0
 
 
-def test_large_families_are_cut(spark):
-    rng = np.random.default_rng(2)
-    rows = [(i, 0, (rng.normal(size=2) + (5 if i % 2 else 0)).tolist()) for i in range(40)] + [(100, 1, [0.0, 0.0])]
-    got = cluster.split_oversize(spark.createDataFrame(rows, "id long, label int, features array<double>"), "features", 25).collect()
-    sizes = {}
-    for r in got:
-        sizes[r["family"]] = sizes.get(r["family"], 0) + 1
-    assert len(got) == 41 and max(sizes.values()) <= 25 and "fam_1" in sizes
-    assert cluster.size_limit(1000, 0.06, 6000) == 60 and cluster.size_limit(3, 0.06, 6000) == 1
-
-
 def _parts(spark):
     rows = [(f"p{i}", f"d{i % 3}", f"f{i % 7}" if i % 5 else None, f"g{i % 11}", date(2020, 1, 1 + i % 28) if i % 6 else None) for i in range(90)]
     rows += [("q1", None, "f1", "q1", date(2020, 2, 1)), ("q2", "tiny", "f9", "q2", None), ("q3", "d0", "fam_iso_1", "q3", date(2020, 2, 2))]
