@@ -1,10 +1,14 @@
 """Problem 1: the k most similar vectors of every vector.
 
-Method: with a least similarity, vectors meet in the leaves of planes that lose no pair, and a leaf is compared in full.
-Without one, vectors fall into the cells of a k-means fitted on a bounded sample, and the cells near a query are scanned
-by exact products. The score-aware (anisotropic) product quantiser, with 16 words per subspace and error along the
-vector, which moves the inner product most, costing more than error across it, is kept for storing vectors in four bits a
-subspace (:func:`fit`, :func:`encode`); it ranks nothing here, since near-equal vectors get the same codes.
+Method: score-aware anisotropic quantisation. Residuals to the centres of cells get four-bit codes, one of 16 words for
+every two dimensions; the words are fitted so that error along the vector, which moves the inner product most, costs more
+than error across it. A query scans the codes: the sum of its table entries, which is its product with the decoded vector,
+is compared with what it could at most be off. That bound is tight because the error along the vector is small: an item
+with error ``p`` along itself and ``o`` across has a product of at least ``t`` only if the scan gives at least
+``t (1 - p) - sqrt(1 - t^2) o``. What passes is reranked by exact products, so the codes lose nothing where they are scanned.
+
+With a least similarity, vectors meet in the places of :mod:`partloom.operators.borders`, which lose no pair. Without one,
+they fall into the cells of a k-means fitted on a bounded sample, and the cells near a query are scanned.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from partloom.llm.borders import SLACK, Planes, allowed_distance, fit_planes
-from partloom.llm.vectors import as_binary, as_matrix, digest, kmeans, nearest, same_rows, sample_vectors, unit_vectors
+from partloom.operators.borders import SLACK, allowed_distance, planes_for, routed, sides
+from partloom.operators.unit_vectors import as_binary, as_matrix, digest, kmeans, nearest, same_rows, sample_vectors, unit_vectors
 from partloom.session import materialize, table
 
 WORDS, WIDTH = 16, 2
@@ -26,16 +30,27 @@ WORDS, WIDTH = 16, 2
 
 @dataclass(frozen=True)
 class Index:
-    """Fitted on a bounded sample: cell centres, the shard (task) of each cell, a rotation that spreads the variance over
-    the subspaces, and the codebook ``[subspace, word, 2]`` of rotated residuals."""
+    """Fitted on a bounded sample: a rotation that spreads the variance over the subspaces, and the codebook
+    ``[subspace, word, 2]`` of rotated residuals over the spread of their cell."""
 
     turn: np.ndarray
-    centres: np.ndarray
-    shard_of: np.ndarray
     book: np.ndarray
     eta: float
 
 
+@dataclass(frozen=True)
+class Coded:
+    """Decoded codes of items, and the error of each along and across its own direction."""
+
+    back: np.ndarray
+    along: np.ndarray
+    across: np.ndarray
+
+    def least(self, item: np.ndarray, t: np.ndarray | float) -> np.ndarray:
+        """What a scan gives at least where the product is at least ``t``; for a negative ``t`` there is no bound."""
+        return np.where(np.asarray(t) < 0, -np.inf, t * (1 - self.along[item]) - np.sqrt(np.maximum(0.0, 1 - np.square(t))) * self.across[item] - SLACK)
+
+
 def _subspaces(m: np.ndarray) -> np.ndarray:
     pad = -m.shape[1] % WIDTH
     return np.pad(m, ((0, 0), (0, pad))).reshape(len(m), -1, WIDTH)
@@ -101,32 +116,59 @@ def _shards(centres: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
     return out
 
 
-def fit_cells(sample: np.ndarray, total: int, cell_rows: int = 64, most_cells: int = 4096, shard_rows: int = 12_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(centres, shard of each, cell of each sampled vector)`` for ``total`` vectors."""
+def fit_cells(sample: np.ndarray, total: int, cell_rows: int = 64, most_cells: int = 4096, shard_rows: int = 12_000) -> tuple[np.ndarray, np.ndarray]:
+    """``(centres, shard of each)`` for ``total`` vectors; at most ``most_cells``, and a cell for every 8 vectors of the sample."""
     k = int(np.clip(total // cell_rows, 1, min(most_cells, max(1, len(sample) // 8))))
     centres = kmeans(sample, k)
-    own = nearest(sample, centres)
-    weight = np.bincount(own, minlength=len(centres)) * (total / max(1, len(sample)))
-    return centres, _shards(centres, weight, shard_rows), own
+    weight = np.bincount(nearest(sample, centres), minlength=len(centres)) * (total / max(1, len(sample)))
+    return centres, _shards(centres, weight, shard_rows)
+
+
+def _cells_of(v: np.ndarray, cell_rows: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(centres, cell of each row, spread of each cell)`` of the vectors of one task; the spread is never 0."""
+    centres = kmeans(v if len(v) <= 8192 else v[:: len(v) // 8192 + 1], max(1, len(v) // cell_rows), rounds=3)
+    own = nearest(v, centres)
+    square = ((v - centres[own]) ** 2).sum(1)
+    n = np.maximum(1, np.bincount(own, minlength=len(centres)))
+    return centres, own, np.sqrt(np.bincount(own, square, minlength=len(centres)) / n + 1e-12).astype(np.float32)
 
 
-def fit(sample: np.ndarray, total: int, threshold: float = 0.3) -> Index:
-    """Cells and words for ``total`` vectors from a bounded sample; ``threshold`` sets the weight of error along the vector."""
+def fit(sample: np.ndarray, threshold: float = 0.3, book_rows: int = 8192) -> Index:
+    """Rotation and words from a bounded sample in random order, of which the words take ``book_rows``; ``threshold`` sets
+    the weight of error along the vector."""
     dims = sample.shape[1]
-    centres, shard_of, own = fit_cells(sample, total)
     eta = max(1.0, (dims - 1) * threshold**2 / (1 - threshold**2))
     spread = sample - sample.mean(0)
     turn = np.ascontiguousarray(np.linalg.eigh(spread.T @ spread)[1][:, ::-1], np.float32)
-    part = sample[:4096] @ turn
-    rest = part - (centres @ turn)[own[:4096]]
+    part = sample[:book_rows]
+    centres, own, scale = _cells_of(part)
+    rest, unit = ((part - centres[own]) @ turn) / scale[own, None], part @ turn
     subs = _subspaces(rest)
     book = np.zeros((subs.shape[1], WORDS, WIDTH), np.float32)
     for s in range(subs.shape[1]):
         words = kmeans(subs[:, s], WORDS, rounds=8)
         book[s, : len(words)] = words
     for _ in range(2):
-        book = _fit_words(rest, part, encode(rest, part, book, eta), book, eta)
-    return Index(turn, centres, shard_of, book, eta)
+        book = _fit_words(rest, unit, encode(rest, unit, book, eta), book, eta)
+    return Index(turn, book, eta)
+
+
+def coded(v: np.ndarray, index: Index) -> Coded:
+    """Four-bit codes of the vectors of one task, by residuals to cells of their own, decoded again.
+
+    Each cell scales the words by its spread, so near-equal vectors get codes as different as any others do.
+    """
+    centres, own, scale = _cells_of(v)
+    back = np.empty_like(v)
+    for i in range(0, len(v), 8192):
+        part, c = v[i : i + 8192], own[i : i + 8192]
+        codes = encode(((part - centres[c]) @ index.turn) / scale[c, None], part @ index.turn, index.book, index.eta)
+        words = np.concatenate([index.book[s][codes[:, s]] for s in range(codes.shape[1])], 1)[:, : v.shape[1]]
+        back[i : i + 8192] = centres[c] + (words * scale[c, None]) @ index.turn.T
+    error = v - back
+    along = np.einsum("nd,nd->n", error, v)
+    across = np.sqrt(np.maximum(0, np.einsum("nd,nd->n", error, error) - along**2))
+    return Coded(back, along, across)
 
 
 def _route(centres: np.ndarray, shard_of: np.ndarray, probes: int, margin: float):
@@ -149,8 +191,8 @@ def _route(centres: np.ndarray, shard_of: np.ndarray, probes: int, margin: float
                 order = np.lexsort((cell, shard, row))
                 row, cell, shard = row[order], cell[order], shard[order]
                 first = np.flatnonzero(np.r_[True, (row[1:] != row[:-1]) | (shard[1:] != shard[:-1])])
-                off = np.append(first, len(row)).astype(np.int32) * 2
-                near_cells = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(cell.astype(np.uint16).tobytes())])
+                off = np.append(first, len(row)).astype(np.int32) * 4
+                near_cells = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(off.tobytes()), pa.py_buffer(cell.astype(np.int32).tobytes())])
                 here = shard_of[home[row[first]]] == shard[first]
                 yield pa.record_batch({
                     "shard": pa.array(shard[first], pa.int32()), "part_id": b.column("part_id").slice(i, len(x)).take(pa.array(row[first])), "vec": as_binary(x[row[first]]),
@@ -160,17 +202,6 @@ def _route(centres: np.ndarray, shard_of: np.ndarray, probes: int, margin: float
     return run
 
 
-def _to_leaves(planes: Planes):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            v = as_matrix(b.column("vec"))
-            for i in range(0, len(v), 4096):
-                row, leaf = planes.leaves(v[i : i + 4096])
-                yield pa.record_batch({"leaf": pa.array(leaf, pa.int32()), "part_id": b.column("part_id").take(pa.array(row + i)), "vec": as_binary(v[row + i])})
-
-    return run
-
-
 _ROUTED = "shard int, part_id string, vec binary, home int, near_cells binary"
 _FOUND = "part_id string, other_id string, sim double, copy_of binary"
 
@@ -179,66 +210,63 @@ def _ranges(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
-def best_columns(q: np.ndarray, v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(row of q, row of v)`` of the ``k`` largest products of each row of ``q`` that are at least ``least``, ties of
-    the rounded products to the lower row of ``v``. Where more than ``k`` are left, double precision decides."""
-    s = q @ v.T
-    row, col = np.divmod(np.flatnonzero(s >= least), s.shape[1])
-    full = np.flatnonzero(np.bincount(row, minlength=len(s)) > k)
-    if not len(full):
-        return row, col
-    few = ~np.isin(row, full)
-    wide = v.T.astype(np.float64)
-    rows, cols = [row[few]], [col[few]]
-    for i in range(0, len(full), max(1, 4_000_000 // s.shape[1])):
-        at = full[i : i + max(1, 4_000_000 // s.shape[1])]
-        key = np.rint(q[at].astype(np.float64) @ wide * 1e6).astype(np.int64) * s.shape[1] - np.arange(s.shape[1])
-        rows.append(np.repeat(at, k))
-        cols.append(np.argpartition(key, s.shape[1] - k, axis=1)[:, s.shape[1] - k :].ravel())
-    return np.concatenate(rows), np.concatenate(cols)
-
-
 def _exact(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0), *[np.einsum("nd,nd->n", q[a[i : i + 65_536]], v[b[i : i + 65_536]], dtype=np.float64) for i in range(0, len(a), 65_536)]])
 
 
-def compare_all(v: np.ndarray, k: int, min_sim: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row, other, product)``: the ``k`` best rows of at least ``min_sim`` for each row, itself among them."""
-    step = max(16, 12_000_000 // len(v))
-    got = [np.zeros((2, 0), np.int64)]
-    for i in range(0, len(v), step):
-        a, b = best_columns(v[i : i + step], v, k, min_sim - SLACK)
-        got.append(np.stack([a + i, b]))
-    a, b = np.hstack(got)
-    return a, b, _exact(v, v, a, b)
+def scan(q: np.ndarray, v: np.ndarray, items: np.ndarray, codes: Coded, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of q, item, product)`` of the ``k`` best of ``items`` for each query, of at least ``least``, and some more.
+
+    Codes are scanned first; exact products of the best by the codes give the product that others must reach, and only
+    what can reach it is multiplied out. Products that differ by less than 1e-6 are all kept.
+    """
+    rows, found, products = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+    back = codes.back[items].T
+    enough = codes.least(items, least)
+    step = max(16, 4_000_000 // max(1, len(items)))
+    for i in range(0, len(q), step):
+        s = q[i : i + step] @ back
+        row, col = np.divmod(np.flatnonzero(s >= enough), max(1, len(items)))
+        full = np.flatnonzero(np.bincount(row, minlength=len(s)) > k)
+        if len(full):
+            best = np.argpartition(-s[full] / (1 - codes.along[items]), k - 1, axis=1)[:, :k]
+            exact = _exact(q, v, np.repeat(full + i, k), items[best.ravel()]).reshape(-1, k)
+            reach = np.full(len(s), least)
+            reach[full] = np.maximum(least, exact.min(1) - 2e-6)
+            keep = s[row, col] >= codes.least(items[col], reach[row])
+            row, col = row[keep], col[keep]
+        rows.append(row + i)
+        found.append(items[col])
+        products.append(_exact(q, v, row + i, items[col]))
+    a, b, exact = np.concatenate(rows), np.concatenate(found), np.concatenate(products)
+    return a, b, exact
+
+
+def _first(a: np.ndarray, b: np.ndarray, exact: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` largest products of each query, ties of the rounded ones to the lower item."""
+    ranked = np.lexsort((b, -np.round(exact, 6), a))
+    keep = ranked[_ranges(np.bincount(a, minlength=n)) < k]
+    return a[keep], b[keep], exact[keep]
 
 
-def scan(v: np.ndarray, q: np.ndarray, probe_rows: np.ndarray, probe_cells: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def scan_cells(v: np.ndarray, q: np.ndarray, codes: Coded, probe_rows: np.ndarray, probe_cells: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(query, item, product)`` of the ``k`` best items for each query among all in the cells it probes."""
     order = np.argsort(cell, kind="stable")
     count = np.bincount(cell, minlength=int(probe_cells.max(initial=0)) + 1)
     start = np.cumsum(count) - count
     by_cell = np.argsort(probe_cells, kind="stable")
     pr, pc = probe_rows[by_cell], probe_cells[by_cell]
-    got = [np.zeros((2, 0), np.int64)]
+    got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for cut in np.split(np.arange(len(pc)), np.flatnonzero(pc[1:] != pc[:-1]) + 1):
-        if not len(cut) or not count[pc[cut[0]]]:
-            continue
-        items = order[start[pc[cut[0]]] :][: count[pc[cut[0]]]]
-        step = max(16, 12_000_000 // len(items))
-        for i in range(0, len(cut), step):
-            who = pr[cut[i : i + step]]
-            a, b = best_columns(q[who], v[items], k, -2.0)
-            got.append(np.stack([who[a], items[b]]))
-    a, b = np.hstack(got)
-    exact = _exact(q, v, a, b)
-    ranked = np.lexsort((b, -np.round(exact, 6), a))
-    keep = ranked[_ranges(np.bincount(a, minlength=len(q))) < k]
-    return a[keep], b[keep], exact[keep]
+        if len(cut) and count[pc[cut[0]]]:
+            items = order[start[pc[cut[0]]] :][: count[pc[cut[0]]]]
+            a, b, exact = scan(q[pr[cut]], v, items, codes, min(k, len(items)), -1.0)
+            got.append((pr[cut][a], b, exact))
+    return _first(*(np.concatenate(x) for x in zip(*got, strict=True)), k, len(q))
 
 
-def _search(k: int, min_sim: float, copies: int):
-    """Rows of a leaf are all compared; those of a shard with what lies in the cells they probe."""
+def _search(index: Index, k: int, min_sim: float, copies: int):
+    """Rows of a place are all compared; those of a shard with what lies in the cells they probe."""
 
     def run(t: pa.Table) -> pa.Table:
         v = as_matrix(t.column("vec"))
@@ -249,16 +277,23 @@ def _search(k: int, min_sim: float, copies: int):
         np.minimum.at(low, cls, rank)
         cls = np.argsort(np.lexsort((low,)))[cls]
         _, first = np.unique(cls, return_index=True)
-        if "home" in t.column_names:
+        one = v[first]
+        if "home" in t.column_names and "near_cells" in t.column_names:
             home = t.column("home").to_numpy()
-            probes = [np.frombuffer(x, np.uint16) for x in t.column("near_cells").take(pa.array(first)).to_pylist()]
+            probes = [np.frombuffer(x, np.int32) for x in t.column("near_cells").take(pa.array(first)).to_pylist()]
             size = np.array([len(x) for x in probes])
             item_cls = np.flatnonzero(home[first] >= 0)
-            a, b, sim = scan(v[first[item_cls]], v[first], np.repeat(np.arange(len(first)), size), np.concatenate(probes).astype(np.int64), home[first[item_cls]], k + 1)
+            items = one[item_cls]
+            a, b, sim = scan_cells(items, one, coded(items, index), np.repeat(np.arange(len(first)), size), np.concatenate(probes).astype(np.int64), home[first[item_cls]], k + 1) if len(items) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
             b = item_cls[b]
         else:
-            item_cls = np.arange(len(first))
-            a, b, sim = compare_all(v[first], k + 1, min_sim)
+            item_cls, codes = np.arange(len(first)), coded(one, index)
+            got = []
+            for asks, items in sides(t.column("place")[0].as_py(), t.column("block").to_numpy()[first]):
+                if len(asks) and len(items):
+                    a, b, sim = scan(one[asks], one, items, codes, min(k + 1, len(items)), min_sim)
+                    got.append((asks[a], b, sim))
+            a, b, sim = _first(*(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *got, strict=True)), k + 1, len(first))
         sim = np.where(a == b, 1.0, sim)
         if min_sim > -1:
             a, b, sim = a[sim >= min_sim], b[sim >= min_sim], sim[sim >= min_sim]
@@ -294,22 +329,24 @@ def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes:
     """``(part_id, other_id, sim)``: for each part the ``k`` most similar other parts with at least ``min_sim``.
 
     ``vectors`` comes from :func:`unit_vectors`. Ties go to the smaller id; copies of one vector are compared once.
-    With a ``min_sim`` nothing is lost: vectors that similar meet in a leaf of :mod:`partloom.llm.borders`, and a leaf
-    is compared in full. Without one, cells farther than ``margin`` (squared distance beyond the nearest) or beyond
-    ``probes`` are not scanned; all items of the others are multiplied out. The README has the recall against brute
-    force. Cells and planes are fitted on at most ``sample_rows`` vectors. No vectors give no rows.
+    With a ``min_sim`` nothing is lost: vectors that similar meet in a place, whose codes are scanned in full. Without
+    one, cells farther than ``margin`` (squared distance beyond the nearest) or beyond ``probes`` are not scanned; the
+    README has the recall against brute force. Codebook, cells and planes are fitted on at most ``sample_rows`` vectors;
+    places hold a bounded number of vectors. No vectors give no rows.
     """
     full = vectors.filter(F.col("vec").isNotNull())
     total = full.count()
     if total == 0:
         return vectors.sparkSession.createDataFrame([], "part_id string, other_id string, sim float")
     sample = sample_vectors(vectors, min(sample_rows, max(4096, total // 4)), total)
+    index = fit(sample)
     if min_sim > -1:
-        planes = fit_planes(sample, total, allowed_distance(min_sim), leaf_rows)
-        found = full.select("part_id", "vec").mapInArrow(_to_leaves(planes), "leaf int, part_id string, vec binary").groupBy("leaf").applyInArrow(_search(k, min_sim, copies), _FOUND)
+        planes = planes_for(full.select("part_id", "vec"), total, allowed_distance(min_sim) / 2, leaf_rows, sample_rows)
+        rows = routed(full.select("part_id", F.xxhash64("vec").alias("v"), "vec"), planes, "v").drop("home", "v")
+        found = rows.groupBy("place").applyInArrow(_search(index, k, min_sim, copies), _FOUND)
     else:
-        routed = full.select("part_id", "vec").mapInArrow(_route(*fit_cells(sample, total)[:2], probes, margin), _ROUTED)
-        found = routed.groupBy("shard").applyInArrow(_search(k, min_sim, copies), _FOUND)
+        rows = full.select("part_id", "vec").mapInArrow(_route(*fit_cells(sample, total), probes, margin), _ROUTED)
+        found = rows.groupBy("shard").applyInArrow(_search(index, k, min_sim, copies), _FOUND)
     extra = vectors.filter(F.col("copy_of").isNotNull()).select("part_id", "copy_of")
     if not extra.isEmpty():
         found = materialize(found, "found")

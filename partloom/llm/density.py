@@ -15,23 +15,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from partloom.llm.ann import _shards
-from partloom.llm.vectors import as_binary, as_matrix, digest, kmeans, nearest, same_rows, sample_vectors, unit_vectors
+from partloom.operators.borders import allowed_distance
+from partloom.operators.families import local_clusters
 from partloom.operators.graph import contract, hook_to_neighbour, star_edges
+from partloom.operators.unit_vectors import as_binary, as_matrix, digest, kmeans, nearest, same_rows, sample_vectors, unit_vectors
 from partloom.session import materialize, table
 
 
-def _fit_cells(sample: np.ndarray, total: int, dims: int, cell_rows: int, shard_rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _fit_cells(sample: np.ndarray, total: int, dims: int, cell_rows: int, shard_rows: int, most_cells: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """``(axes, centres, shard_of)``: principal axes, cells in the reduced space, and the partition of each cell."""
     spread = sample - sample.mean(0)
     axes = np.ascontiguousarray(np.linalg.eigh(spread.T @ spread)[1][:, ::-1][:, :dims], np.float32)
     low = sample @ axes
-    centres = kmeans(low, int(np.clip(total // cell_rows, 1, min(2048, max(1, len(sample) // 8)))))
+    centres = kmeans(low, int(np.clip(total // cell_rows, 1, min(most_cells, max(1, len(sample) // 8)))))
     weight = np.bincount(nearest(low, centres), minlength=len(centres)) * (total / len(sample))
     return axes, centres, _shards(centres, weight, shard_rows)
 
 
-def _spread(axes: np.ndarray, centres: np.ndarray, shard_of: np.ndarray, margin: float):
-    """Each vector goes to the partition of its cell and to every partition with a cell that is hardly farther."""
+def _spread(axes: np.ndarray, centres: np.ndarray, shard_of: np.ndarray, margin: float | None, eps: float):
+    """Each vector goes to the partition of its cell and to every partition with a cell that is hardly farther, or without
+    a ``margin`` with a cell whose border to its own is within half of ``eps``: of two linked vectors in different cells
+    one at least is that close to the border between them, so each link lies in some partition."""
+    apart = None
+    if margin is None:
+        square = (centres**2).sum(1)
+        apart = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * (centres @ centres.T))) * (eps / 2 + 1e-5) + 1e-5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         half = 0.5 * (centres**2).sum(1)
@@ -40,7 +48,8 @@ def _spread(axes: np.ndarray, centres: np.ndarray, shard_of: np.ndarray, margin:
             for i in range(0, len(v), 4096):
                 x = v[i : i + 4096]
                 score = (x @ axes) @ centres.T - half
-                row, cell = np.nonzero(score >= score.max(1, keepdims=True) - margin / 2)
+                allowed = margin / 2 if apart is None else apart[score.argmax(1)]
+                row, cell = np.nonzero(score >= score.max(1, keepdims=True) - allowed)
                 pair = np.unique(np.stack([row, shard_of[cell]], 1), axis=0)
                 row, shard = pair[:, 0], pair[:, 1]
                 shared = np.bincount(row, minlength=len(x))[row] > 1
@@ -49,71 +58,6 @@ def _spread(axes: np.ndarray, centres: np.ndarray, shard_of: np.ndarray, margin:
     return run
 
 
-class _Sets:
-    """Union of point sets, whole arrays of links at a time."""
-
-    def __init__(self, n: int):
-        self.up = np.arange(n)
-
-    def link(self, a: np.ndarray, b: np.ndarray) -> None:
-        while len(a):
-            a, b = self.up[a], self.up[b]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            open_ = lo != hi
-            lo, hi = lo[open_], hi[open_]
-            np.minimum.at(self.up, hi, lo)
-            while (self.up[self.up] != self.up).any():
-                self.up = self.up[self.up]
-            a, b = lo, hi
-
-
-def local_clusters(v: np.ndarray, min_sim: float, cell_rows: int = 48) -> np.ndarray:
-    """Label of each row: rows share one if links of at least ``min_sim`` join them, directly or through others.
-
-    Rows first link to a typical row of their small cell, and these to each other. Sets that remain are compared only
-    where their centres and radii leave room for a link, so a dense region costs one pass, not all its pairs.
-    """
-    n = len(v)
-    sets = _Sets(n)
-    eps = float(np.sqrt(max(0.0, 2 * (1 - min_sim)))) + 1e-6
-    centres = kmeans(v if n <= 8192 else v[:: n // 8192 + 1], max(1, n // cell_rows), rounds=3)
-    own = nearest(v, centres)
-    closeness = np.einsum("nd,nd->n", v, centres[own])
-    order = np.lexsort((-closeness, own))
-    first = order[np.r_[True, own[order][1:] != own[order][:-1]]]
-    hub = np.zeros(len(centres), np.int64)
-    hub[own[first]] = first
-    near = np.einsum("nd,nd->n", v, v[hub[own]]) >= min_sim
-    sets.link(np.flatnonzero(near), hub[own[near]])
-    for i in range(0, len(first), 2048):
-        a, b = np.nonzero(v[first[i : i + 2048]] @ v[first].T >= min_sim)
-        sets.link(first[a + i], first[b])
-
-    _, label = np.unique(sets.up, return_inverse=True)
-    size = np.bincount(label)
-    by = np.argsort(label, kind="stable")
-    start = np.cumsum(size) - size
-    mid = np.add.reduceat(v[by], start, axis=0) / size[:, None]
-    gap = np.sqrt(np.maximum(0, ((v - mid[label]) ** 2).sum(1)))
-    radius = np.zeros(len(size))
-    np.maximum.at(radius, label, gap)
-    square = (mid * mid).sum(1)
-    step = max(1, 4_000_000 // len(size))
-    for i in range(0, len(size), step):
-        dist2 = square[i : i + step, None] + square[None, :] - 2 * (mid[i : i + step] @ mid.T)
-        room = (radius[i : i + step, None] + radius[None, :] + eps) ** 2
-        for a, others in ((a + i, np.flatnonzero(ok)) for a, ok in enumerate(dist2 <= room) if ok.sum() > 1):
-            rows = by[start[a] : start[a] + size[a]]
-            others = others[(others < a) & (sets.up[by[start[others]]] != sets.up[rows[0]])]
-            if not len(others):
-                continue
-            mates = np.concatenate([by[start[o] : start[o] + size[o]] for o in others])
-            for lo in range(0, len(rows), 2048):
-                x, y = np.nonzero(v[rows[lo : lo + 2048]] @ v[mates].T >= min_sim)
-                sets.link(rows[x + lo], mates[y])
-    return sets.up
-
-
 def _cluster(min_sim: float):
     def run(t: pa.Table) -> pa.Table:
         v = as_matrix(t.column("vec"))
@@ -128,19 +72,21 @@ def _cluster(min_sim: float):
     return run
 
 
-def density_clusters(vectors: DataFrame, min_sim: float = 0.96, min_size: int = 8, dims: int = 32, margin: float = 0.06, shard_rows: int = 12_000, sample_rows: int = 16_384) -> DataFrame:
+def density_clusters(vectors: DataFrame, min_sim: float = 0.96, min_size: int = 8, dims: int = 32, margin: float | None = 0.06, shard_rows: int = 12_000, sample_rows: int = 16_384, most_cells: int = 2048) -> DataFrame:
     """``(part_id, cluster_id)`` of the parts in clusters of at least ``min_size``; the id is the smallest part id.
 
     ``vectors`` comes from :func:`unit_vectors`. Two vectors link if their product is at least ``min_sim``. Partitions
     overlap by ``margin`` (squared distance beyond the nearest cell, in the reduced space, which never lengthens a
-    distance). Axes and cells are fitted on at most ``sample_rows`` vectors. Copies of one vector are clustered once.
+    distance). With ``margin`` None they overlap by what a link can span, which loses none and costs more copies. Axes and
+    at most ``most_cells`` cells are fitted on at most ``sample_rows`` vectors; a partition is a cell at least, so beyond
+    ``most_cells * shard_rows`` vectors both should grow with the table. Copies of one vector are clustered once.
     """
     full = vectors.filter(F.col("vec").isNotNull())
     total = full.count()
     if total == 0:
         return vectors.sparkSession.createDataFrame([], "part_id string, cluster_id string")
-    axes, centres, shard_of = _fit_cells(sample_vectors(vectors, min(sample_rows, max(2048, total // 4)), total), total, dims, 128, shard_rows)
-    routed = full.select("part_id", "vec").mapInArrow(_spread(axes, centres, shard_of, margin), "shard int, part_id string, vec binary, shared boolean")
+    axes, centres, shard_of = _fit_cells(sample_vectors(vectors, min(sample_rows, max(2048, total // 4)), total), total, dims, 128, shard_rows, most_cells)
+    routed = full.select("part_id", "vec").mapInArrow(_spread(axes, centres, shard_of, margin, allowed_distance(min_sim)), "shard int, part_id string, vec binary, shared boolean")
     found = materialize(routed.groupBy("shard").applyInArrow(_cluster(min_sim), "part_id string, local_id long, shared boolean"), "local")
     roots = contract(star_edges(found.filter("shared"), "part_id", "local_id"), hook_to_neighbour)
     merged = found.join(roots.withColumnRenamed("id", "local_id"), "local_id", "left").select("part_id", F.coalesce("root", "local_id").alias("root")).distinct()

@@ -2,7 +2,7 @@
 
 Method: a record's content and geometry hash are sequences whose whole length is one window, so their one fingerprint
 stands for the hash itself. Winnowed fingerprints of a vector's symbols lose pairs near the fixed threshold, so vectors
-meet in the leaves of :mod:`partloom.llm.borders`, which lose none. A pair is aligned symbol by symbol for its coverage:
+meet in the leaves of :mod:`partloom.operators.borders`, which lose none. A pair is aligned symbol by symbol for its coverage:
 a vector, turned and cut into steps, gives one symbol per direction. An exact comparison of the vectors decides last.
 """
 
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.ids import key128, part_ref, usable_hash
-from partloom.llm.borders import close_pairs
-from partloom.llm.vectors import BLOCKS, as_binary, as_matrix, joined_unit_vectors
+from partloom.operators.borders import close_pairs
+from partloom.operators.unit_vectors import BLOCKS, as_binary, as_matrix, joined_unit_vectors
 from partloom.session import materialize, table
 
 #: Symbols of a vector: number, step, and length of the runs that are hashed; window of the winnowing.

@@ -3,8 +3,8 @@
 import numpy as np
 
 from partloom.llm import overlap
-from partloom.llm.borders import allowed_distance, fit_planes
-from partloom.llm.vectors import BLOCKS
+from partloom.operators.borders import allowed_distance, fit_planes
+from partloom.operators.unit_vectors import BLOCKS
 
 SCHEMA = "part_id string, content_hash string, geom_hash string, d2_hist array<double>, bbox_ratio array<double>, surf_hist array<double>, dih_hist array<double>"
 
@@ -22,9 +22,9 @@ def test_close_vectors_meet_in_a_leaf():
     x = rng.normal(size=(40, 24))[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 24)) * 0.15
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     y = np.array([_turned(v, 0.9961, rng) for v in x[:2000]], np.float32)
-    planes = fit_planes(x[:1500], 4000, allowed_distance(0.996), 300)
-    row, leaf = planes.leaves(np.vstack([x[:2000], y]))
-    assert len(np.unique(leaf)) > 5 and len(row) < 4 * 4000
+    planes = fit_planes(x[:1500], 4000, allowed_distance(0.996) / 2, 300)
+    row, leaf, home = planes.leaves(np.vstack([x[:2000], y]))
+    assert home.sum() == 4000 and len(np.unique(leaf)) > 5 and len(row) < 4 * 4000
     at = [set() for _ in range(4000)]
     for r, k in zip(row.tolist(), leaf.tolist(), strict=True):
         at[r].add(k)

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 
 from partloom.llm import ann
-from partloom.llm.vectors import as_binary
+from partloom.operators.unit_vectors import as_binary
 
 
 @pytest.mark.parametrize(("min_sim", "least"), [(0.996, 1.0), (-1.0, 0.9)])

@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 
 from partloom.llm import density
-from partloom.llm.vectors import BLOCKS, unit_vectors
+from partloom.operators.unit_vectors import BLOCKS, unit_vectors
 
 
 def test_copies_count_in_size_and_mean(spark):

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from partloom.llm import ann, density, overlap
-from partloom.llm.vectors import BLOCKS, as_matrix, unit_vectors
+from partloom.operators.unit_vectors import BLOCKS, as_matrix, unit_vectors
 from partloom.session import table
 
 SCHEMA = "part_id string, source_dataset string, content_hash string, geom_hash string, d2_hist array<double>, bbox_ratio array<double>, surf_hist array<double>, dih_hist array<double>, vec int, shard int"
@@ -106,20 +106,26 @@ def test_recall_on_the_signatures(spark, min_sim):
     assert hit >= (0.9 if min_sim < 0 else 0.999) * sum(map(len, want.values()))
 
 
-def test_error_along_the_vector_is_kept_small():
+def test_error_along_the_vector_is_kept_small_and_bounds_the_scan():
     rng = np.random.default_rng(0)
-    x = rng.normal(size=(3000, 40)).astype(np.float32)
+    x = (rng.normal(size=(30, 40))[rng.integers(0, 30, 3000)] + rng.normal(size=(3000, 40)) * 0.3).astype(np.float32)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    errors = {}
+    along = {}
     for threshold in (0.0, 0.3):
-        ix = ann.fit(x, 3000, threshold=threshold)
-        own = ann.nearest(x, ix.centres)
-        turned = x @ ix.turn
-        rest = turned - (ix.centres @ ix.turn)[own]
-        codes = ann.encode(rest, turned, ix.book, ix.eta)
-        back = np.concatenate([ix.book[s][codes[:, s]] for s in range(codes.shape[1])], 1)
-        errors[threshold] = np.abs(((rest - back) * turned).sum(1)).mean()
-    assert codes.max() < 16 and errors[0.3] < 0.7 * errors[0.0]
+        codes = ann.coded(x, ann.fit(x, threshold=threshold))
+        along[threshold] = np.abs(codes.along).mean()
+    assert along[0.3] < 0.7 * along[0.0]
+    s, exact = x @ codes.back.T, x.astype(np.float64) @ x.T
+    for t in (0.0, 0.5, 0.9, 0.99):
+        a, b = np.nonzero(exact >= t)
+        assert (s[a, b] >= codes.least(b, t)).all()
+    a, b = np.nonzero(s >= codes.least(np.arange(3000), 0.9))
+    assert len(a) < 1.6 * (exact >= 0.9).sum()  # the bound is tight enough to be of use
+    for least, k in ((0.9, 5), (-1.0, 5)):
+        got = ann._first(*ann.scan(x[:500], x, np.arange(3000), codes, k, least), k, 500)
+        for i in range(500):
+            want = [j for j in np.lexsort((np.arange(3000), -np.round(exact[i], 6)))[:k] if exact[i, j] >= least]
+            assert got[1][(got[0] == i) & (got[2] >= least)].tolist() == want
 
 
 def _clusters(v, least, size):
@@ -144,6 +150,9 @@ def test_clusters_and_medoids(spark):
     clusters = density.density_clusters(v, 0.96, 8)
     want = _clusters(_vectors(rows, ("bbox_ratio",)), 0.96, 8)
     assert {tuple(r) for r in clusters.select("part_id", "cluster_id").collect()} == want
+    for margin in (None, 0.06):  # many small partitions
+        parts = density.density_clusters(v, 0.96, 8, margin=margin, shard_rows=20)
+        assert {tuple(r) for r in parts.select("part_id", "cluster_id").collect()} == want
     vec = _vectors(rows, ("bbox_ratio",))
     for r in density.medoids(clusters, v, 1).collect():
         mates = [p for p, c in want if c == r["cluster_id"]]
