@@ -40,11 +40,22 @@ class Index:
 
 @dataclass(frozen=True)
 class Coded:
-    """Decoded codes of items, and the error of each along and across its own direction."""
+    """Decoded codes of items, and the error of each along and across its own direction; for the first subspaces alone the
+    rotated vectors, their decoded codes, and the length of the error."""
 
     back: np.ndarray
     along: np.ndarray
     across: np.ndarray
+    lead: np.ndarray
+    lead_back: np.ndarray
+    lead_error: np.ndarray
+
+    def near_lead(self, items: np.ndarray, least: float) -> np.ndarray:
+        """Columns whose product with ``(lead, -|lead|^2 / 2, 1)`` of a query is negative where the first subspaces alone
+        show that the product is below ``least``: they lie farther apart than the whole vectors may, plus the error."""
+        back = self.lead_back[items]
+        room = allowed_distance(least) + self.lead_error[items] + SLACK
+        return np.column_stack([back, np.ones(len(items)), (room**2 - (back**2).sum(1)) / 2 + SLACK]).astype(np.float32)
 
     def least(self, item: np.ndarray, t: np.ndarray | float) -> np.ndarray:
         """What a scan gives at least where the product is at least ``t``; for a negative ``t`` there is no bound."""
@@ -153,10 +164,11 @@ def fit(sample: np.ndarray, threshold: float = 0.3, book_rows: int = 8192) -> In
     return Index(turn, book, eta)
 
 
-def coded(v: np.ndarray, index: Index) -> Coded:
+def coded(v: np.ndarray, index: Index, lead: int = 16) -> Coded:
     """Four-bit codes of the vectors of one task, by residuals to cells of their own, decoded again.
 
-    Each cell scales the words by its spread, so near-equal vectors get codes as different as any others do.
+    Each cell scales the words by its spread, so near-equal vectors get codes as different as any others do. ``lead``
+    is the number of leading dimensions that a scan looks at first.
     """
     centres, own, scale = _cells_of(v)
     back = np.empty_like(v)
@@ -168,7 +180,8 @@ def coded(v: np.ndarray, index: Index) -> Coded:
     error = v - back
     along = np.einsum("nd,nd->n", error, v)
     across = np.sqrt(np.maximum(0, np.einsum("nd,nd->n", error, error) - along**2))
-    return Coded(back, along, across)
+    turned, turned_back = v @ index.turn[:, :lead], back @ index.turn[:, :lead]
+    return Coded(back, along, across, turned, turned_back, np.sqrt(((turned - turned_back) ** 2).sum(1)))
 
 
 def _route(centres: np.ndarray, shard_of: np.ndarray, probes: int, margin: float):
@@ -214,32 +227,51 @@ def _exact(q: np.ndarray, v: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.nda
     return np.concatenate([np.zeros(0), *[np.einsum("nd,nd->n", q[a[i : i + 65_536]], v[b[i : i + 65_536]], dtype=np.float64) for i in range(0, len(a), 65_536)]])
 
 
-def scan(q: np.ndarray, v: np.ndarray, items: np.ndarray, codes: Coded, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(row of q, item, product)`` of the ``k`` best of ``items`` for each query, of at least ``least``, and some more.
+def scan(asks: np.ndarray, v: np.ndarray, items: np.ndarray, codes: Coded, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(row of asks, item, product)`` of the ``k`` best of ``items`` for each query, of at least ``least``, and some more.
 
-    Codes are scanned first; exact products of the best by the codes give the product that others must reach, and only
-    what can reach it is multiplied out. Products that differ by less than 1e-6 are all kept.
+    ``asks`` and ``items`` are rows of ``v``. The codes of the first subspaces are scanned, then all codes of what is left;
+    exact products of the best by the codes give the product that others must reach, and only what can reach it is
+    multiplied out. Products that differ by less than 1e-6 are all kept.
     """
     rows, found, products = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
-    back = codes.back[items].T
+    back, width = codes.back[items], len(items)
     enough = codes.least(items, least)
-    step = max(16, 4_000_000 // max(1, len(items)))
-    for i in range(0, len(q), step):
-        s = q[i : i + step] @ back
-        row, col = np.divmod(np.flatnonzero(s >= enough), max(1, len(items)))
-        full = np.flatnonzero(np.bincount(row, minlength=len(s)) > k)
+    near = codes.near_lead(items, least).T if least > 0 else None
+    step = max(16, 4_000_000 // max(1, width))
+    for i in range(0, len(asks), step):
+        at = asks[i : i + step]
+        s = None
+        if near is not None:
+            lead = codes.lead[at]
+            hit = np.flatnonzero(np.column_stack([lead, -(lead**2).sum(1) / 2, np.ones(len(at), np.float32)]).astype(np.float32) @ near >= 0)
+            row, col = np.divmod(hit, width)
+        if near is None or len(hit) * 16 > len(at) * width:
+            s = v[at] @ back.T
+            row, col = np.divmod(np.flatnonzero(s >= enough), width)
+            sums = s[row, col]
+        else:
+            sums = np.concatenate([np.zeros(0, np.float32), *[np.einsum("nd,nd->n", v[at[row[j : j + 65_536]]], back[col[j : j + 65_536]]) for j in range(0, len(row), 65_536)]])
+            keep = sums >= enough[col]
+            row, col, sums = row[keep], col[keep], sums[keep]
+        count = np.bincount(row, minlength=len(at))
+        full = np.flatnonzero(count > k)
         if len(full):
-            best = np.argpartition(-s[full] / (1 - codes.along[items]), k - 1, axis=1)[:, :k]
-            exact = _exact(q, v, np.repeat(full + i, k), items[best.ravel()]).reshape(-1, k)
-            reach = np.full(len(s), least)
+            if s is None:
+                order = np.lexsort((-sums / (1 - codes.along[items[col]]), row))
+                start = np.cumsum(count) - count
+                best = col[order[start[full][:, None] + np.arange(k)]]
+            else:
+                best = np.argpartition(-s[full] / (1 - codes.along[items]), k - 1, axis=1)[:, :k]
+            exact = _exact(v, v, np.repeat(at[full], k), items[best.ravel()]).reshape(-1, k)
+            reach = np.full(len(at), least)
             reach[full] = np.maximum(least, exact.min(1) - 2e-6)
-            keep = s[row, col] >= codes.least(items[col], reach[row])
+            keep = sums >= codes.least(items[col], reach[row])
             row, col = row[keep], col[keep]
         rows.append(row + i)
         found.append(items[col])
-        products.append(_exact(q, v, row + i, items[col]))
-    a, b, exact = np.concatenate(rows), np.concatenate(found), np.concatenate(products)
-    return a, b, exact
+        products.append(_exact(v, v, at[row], items[col]))
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(products)
 
 
 def _first(a: np.ndarray, b: np.ndarray, exact: np.ndarray, k: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -249,8 +281,9 @@ def _first(a: np.ndarray, b: np.ndarray, exact: np.ndarray, k: int, n: int) -> t
     return a[keep], b[keep], exact[keep]
 
 
-def scan_cells(v: np.ndarray, q: np.ndarray, codes: Coded, probe_rows: np.ndarray, probe_cells: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``(query, item, product)`` of the ``k`` best items for each query among all in the cells it probes."""
+def scan_cells(v: np.ndarray, codes: Coded, probe_rows: np.ndarray, probe_cells: np.ndarray, items: np.ndarray, cell: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``(query, item, product)`` of the ``k`` best items for each query among all in the cells it probes; ``items`` are
+    rows of ``v`` in the cells ``cell``."""
     order = np.argsort(cell, kind="stable")
     count = np.bincount(cell, minlength=int(probe_cells.max(initial=0)) + 1)
     start = np.cumsum(count) - count
@@ -259,10 +292,10 @@ def scan_cells(v: np.ndarray, q: np.ndarray, codes: Coded, probe_rows: np.ndarra
     got = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for cut in np.split(np.arange(len(pc)), np.flatnonzero(pc[1:] != pc[:-1]) + 1):
         if len(cut) and count[pc[cut[0]]]:
-            items = order[start[pc[cut[0]]] :][: count[pc[cut[0]]]]
-            a, b, exact = scan(q[pr[cut]], v, items, codes, min(k, len(items)), -1.0)
+            own = items[order[start[pc[cut[0]]] :][: count[pc[cut[0]]]]]
+            a, b, exact = scan(pr[cut], v, own, codes, min(k, len(own)), -1.0)
             got.append((pr[cut][a], b, exact))
-    return _first(*(np.concatenate(x) for x in zip(*got, strict=True)), k, len(q))
+    return _first(*(np.concatenate(x) for x in zip(*got, strict=True)), k, len(v))
 
 
 def _search(index: Index, k: int, min_sim: float, copies: int):
@@ -283,15 +316,13 @@ def _search(index: Index, k: int, min_sim: float, copies: int):
             probes = [np.frombuffer(x, np.int32) for x in t.column("near_cells").take(pa.array(first)).to_pylist()]
             size = np.array([len(x) for x in probes])
             item_cls = np.flatnonzero(home[first] >= 0)
-            items = one[item_cls]
-            a, b, sim = scan_cells(items, one, coded(items, index), np.repeat(np.arange(len(first)), size), np.concatenate(probes).astype(np.int64), home[first[item_cls]], k + 1) if len(items) else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-            b = item_cls[b]
+            a, b, sim = scan_cells(one, coded(one, index), np.repeat(np.arange(len(first)), size), np.concatenate(probes).astype(np.int64), item_cls, home[first[item_cls]], k + 1)
         else:
             item_cls, codes = np.arange(len(first)), coded(one, index)
             got = []
             for asks, items in sides(t.column("place")[0].as_py(), t.column("block").to_numpy()[first]):
                 if len(asks) and len(items):
-                    a, b, sim = scan(one[asks], one, items, codes, min(k + 1, len(items)), min_sim)
+                    a, b, sim = scan(asks, one, items, codes, min(k + 1, len(items)), min_sim)
                     got.append((asks[a], b, sim))
             a, b, sim = _first(*(np.concatenate(x) for x in zip((np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), *got, strict=True)), k + 1, len(first))
         sim = np.where(a == b, 1.0, sim)
@@ -325,7 +356,7 @@ def _search(index: Index, k: int, min_sim: float, copies: int):
     return run
 
 
-def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes: int = 16, margin: float = 0.16, leaf_rows: int = 36_000, sample_rows: int = 32_768, copies: int = 11) -> DataFrame:
+def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes: int = 16, margin: float = 0.16, leaf_rows: int = 48_000, sample_rows: int = 32_768, copies: int = 11) -> DataFrame:
     """``(part_id, other_id, sim)``: for each part the ``k`` most similar other parts with at least ``min_sim``.
 
     ``vectors`` comes from :func:`unit_vectors`. Ties go to the smaller id; copies of one vector are compared once.
@@ -343,7 +374,7 @@ def most_similar(vectors: DataFrame, k: int = 10, min_sim: float = -1.0, probes:
     if min_sim > -1:
         planes = planes_for(full.select("part_id", "vec"), total, allowed_distance(min_sim) / 2, leaf_rows, sample_rows)
         rows = routed(full.select("part_id", F.xxhash64("vec").alias("v"), "vec"), planes, "v").drop("home", "v")
-        found = rows.groupBy("place").applyInArrow(_search(index, k, min_sim, copies), _FOUND)
+        found = rows.repartition(planes.tasks(), "place").groupBy("place").applyInArrow(_search(index, k, min_sim, copies), _FOUND)
     else:
         rows = full.select("part_id", "vec").mapInArrow(_route(*fit_cells(sample, total), probes, margin), _ROUTED)
         found = rows.groupBy("shard").applyInArrow(_search(index, k, min_sim, copies), _FOUND)

@@ -87,7 +87,8 @@ def density_clusters(vectors: DataFrame, min_sim: float = 0.96, min_size: int =
         return vectors.sparkSession.createDataFrame([], "part_id string, cluster_id string")
     axes, centres, shard_of = _fit_cells(sample_vectors(vectors, min(sample_rows, max(2048, total // 4)), total), total, dims, 128, shard_rows, most_cells)
     routed = full.select("part_id", "vec").mapInArrow(_spread(axes, centres, shard_of, margin, allowed_distance(min_sim)), "shard int, part_id string, vec binary, shared boolean")
-    found = materialize(routed.groupBy("shard").applyInArrow(_cluster(min_sim), "part_id string, local_id long, shared boolean"), "local")
+    tasks = int(min(20_000, max(8, 3 * (shard_of.max() + 1))))  # some more than partitions, so that few of them share a task
+    found = materialize(routed.repartition(tasks, "shard").groupBy("shard").applyInArrow(_cluster(min_sim), "part_id string, local_id long, shared boolean"), "local")
     roots = contract(star_edges(found.filter("shared"), "part_id", "local_id"), hook_to_neighbour)
     merged = found.join(roots.withColumnRenamed("id", "local_id"), "local_id", "left").select("part_id", F.coalesce("root", "local_id").alias("root")).distinct()
     merged = _with_copies(merged, vectors)
