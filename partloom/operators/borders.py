@@ -79,6 +79,11 @@ class Planes:
         return row, place, own, home
 
 
+    def tasks(self) -> int:
+        """Partitions for the places: some more than places, so that few of them share a task."""
+        return int(min(20_000, max(8, 3 * (self.blocks * (self.blocks + 1) // 2).sum())))
+
+
 def _best_plane(x: np.ndarray, reach: float, axes: int = 16) -> tuple[float, np.ndarray, float]:
     """``(cost, normal, offset)`` of the plane that sends the fewest rows to both sides for what it divides."""
     mid = x - x.mean(0)
@@ -277,7 +282,7 @@ def close_pairs(vectors: DataFrame, min_sim: float, leaf_rows: int = 24_000, sam
         return vectors.sparkSession.createDataFrame([], "a long, b long")
     planes = planes_for(full.select("part_id", "vec"), total, allowed_distance(min_sim) / 2, leaf_rows, sample_rows)
     rows = routed(full.select(F.xxhash64("vec").alias("v"), "vec"), planes, "v", narrow=True)
-    return rows.groupBy("place").applyInArrow(_pairs_in_place(min_sim), "a long, b long").distinct()
+    return rows.repartition(planes.tasks(), "place").groupBy("place").applyInArrow(_pairs_in_place(min_sim), "a long, b long").distinct()
 
 
 def best_columns(q: np.ndarray, v: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray]:
@@ -331,6 +336,6 @@ def best_links(vectors: DataFrame, k: int, min_sim: float, leaf_rows: int = 24_0
         return vectors.sparkSession.createDataFrame([], "part_id string, other_id string, sim double")
     planes = planes_for(vectors, total, allowed_distance(min_sim) / 2, leaf_rows, sample_rows)
     rows = routed(vectors.select("part_id", F.xxhash64("vec").alias("v"), "vec"), planes, "v")
-    found = rows.groupBy("place").applyInArrow(_best_in_place(k, min_sim), "part_id string, other_id string, sim double").dropDuplicates(["part_id", "other_id"])
+    found = rows.repartition(planes.tasks(), "place").groupBy("place").applyInArrow(_best_in_place(k, min_sim), "part_id string, other_id string, sim double").dropDuplicates(["part_id", "other_id"])
     best = Window.partitionBy("part_id").orderBy(F.desc(F.round("sim", 6)), "other_id")
     return found.withColumn("_rank", F.row_number().over(best)).filter(F.col("_rank") <= k).drop("_rank")
