@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,21 +27,70 @@ def _date(y: Column, m: Column, d: Column) -> Column:
     return F.to_date(F.try_make_timestamp(part(y), part(m), part(d), F.lit(0), F.lit(0), F.lit(0)))
 
 
+# Dates of this century in a text, tried in this order, with the groups of year, month and day.
+_DAY, _MONTH = r"(3[01]|[12]\d|0?[1-9])", r"(1[0-2]|0?[1-9])"
+TEXT_DATES = (
+    (rf"(20\d{{2}})[-_/.]{_MONTH}[-_/.]{_DAY}", (1, 2, 3)),
+    (r"(20\d{2})(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])", (1, 2, 3)),
+    (rf"{_DAY}[-_/.]{_MONTH}[-_/.](20\d{{2}})", (3, 2, 1)),
+)
+
+
 def date_from_text(c: Column) -> Column:
-    """First valid date of this century in a text: year-month-day with ``-_/.``, then ``yyyymmdd``, then day-month-year."""
-    ymd, packed, dmy = r"(20\d{2})[-_/.](\d{1,2})[-_/.](\d{1,2})", r"(20\d{2})(\d{2})(\d{2})", r"(\d{1,2})[-_/.](\d{1,2})[-_/.](20\d{2})"
-    pick = lambda p, i, j, k: _date(F.regexp_extract(c, p, i), F.regexp_extract(c, p, j), F.regexp_extract(c, p, k))
-    return F.coalesce(pick(ymd, 1, 2, 3), pick(packed, 1, 2, 3), pick(dmy, 3, 2, 1))
+    """First date of this century in a text: year-month-day with ``-_/.``, then ``yyyymmdd``, then day-month-year; what
+    cannot be a month or a day is passed over, and where the date found is none (30 February) the next form is tried."""
+    return F.coalesce(*[_date(*[F.regexp_extract(c, p, g) for g in groups]) for p, groups in TEXT_DATES])
 
 
 # Formats of explicit timestamps, in the order they are tried on the text before its first point.
-EXPLICIT_FORMATS = ("yyyy-M-d HH:mm:ss", "yyyy-M-d'T'HH:mm:ss", "yyyy-M-d", "yyyy/M/d HH:mm:ss", "yyyy/M/d", "d-M-yyyy")
+EXPLICIT_FORMATS = ("yyyy-M-d", "yyyy/M/d", "yyyy-M-d H:mm:ss", "yyyy/M/d H:mm:ss", "d-M-yyyy", "d/M/yyyy")
+# Formats of the lenient reading (month first), tried after these on the text without weekday, fraction and zone.
+LENIENT_FORMATS = (
+    "yyyy-M-d'T'H:mm:ss", "yyyy-M-d H:mm:ss", "yyyy/M/d H:mm:ss", "yyyy-M-d'T'H:mm", "yyyy-M-d H:mm", "M/d/yyyy H:mm:ss", "M/d/yyyy H:mm", "d/M/yyyy H:mm", "M-d-yyyy H:mm:ss",
+    "d/M/yyyy H:mm:ss", "d-M-yyyy H:mm:ss", "d MMM yyyy H:mm:ss", "d MMM yyyy", "d MMMM yyyy H:mm:ss", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy",
+)
 
 
 def explicit_date(c: Column) -> Column:
-    """Date of a timestamp text by the first fitting format; zone marks and fractions are not read, other texts give null."""
-    t = F.regexp_replace(F.trim(F.split(c, r"\.").getItem(0)), r"\s+", " ")
-    return F.coalesce(*[F.to_date(F.try_to_timestamp(t, F.lit(f))) for f in EXPLICIT_FORMATS])
+    """Date of a timestamp text: by the first fitting format of :data:`EXPLICIT_FORMATS`, else by a lenient reading.
+
+    The lenient reading drops a weekday in front, a fraction and a zone mark behind, and takes the date as written; it
+    knows :data:`LENIENT_FORMATS` and the packed forms ``yyyyMMdd`` and ``yyyyMMddTHHmmss``. Other texts give null.
+    """
+    first = F.regexp_replace(F.trim(F.split(c, r"\.").getItem(0)), r"\s+", " ")
+    t = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.trim(c), r"\s+", " "), r"^[A-Za-z]{3,9}, ", ""), r"(?:\.\d+)? ?(?:Z|UTC|GMT|[+-]\d{2}:?\d{2})?$", "")
+    read = lambda x, f: F.to_date(F.try_to_timestamp(x, F.lit(f)))
+    packed = F.when(t.rlike(r"^\d{8}(T\d{6})?$"), read(F.substring(t, 1, 8), "yyyyMMdd"))
+    return F.coalesce(*[read(first, f) for f in EXPLICIT_FORMATS], packed, *[read(t, f) for f in LENIENT_FORMATS])
+
+
+# Fixed value: the date and time texts of the ISO form, with the groups of date, hour, minute, second, fraction and offset.
+ISO = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::(\d{2})(?::(\d{2})(?:\.(\d{3}|\d{6}))?)?)?([+-]\d{2}:\d{2})?)?$"
+PACKED = r"^(\d{4})(\d{2})(\d{2})T(\d{2})(\d{2})(\d{2})$"
+
+
+def iso_time(c: Column) -> tuple[Column, Column]:
+    """``(time, aware)`` of an ISO or packed text: in UTC if it has an offset, else as written; null for other texts."""
+    t = F.regexp_replace(F.trim(c), PACKED, "$1-$2-$3T$4:$5:$6")
+    part = lambda k, empty: F.coalesce(F.nullif(F.regexp_extract(t, ISO, k), F.lit("")), F.lit(empty))
+    text = F.concat(part(1, ""), F.lit(" "), part(2, "00"), F.lit(":"), part(3, "00"), F.lit(":"), part(4, "00"), F.lit("."), F.rpad(part(5, "0"), 6, "0"))
+    zone = F.regexp_extract(t, ISO, 6)
+    minutes = (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 5, 2).try_cast("int")) * F.when(zone.startswith("-"), -1).otherwise(1)
+    local = F.when(t.rlike(ISO), F.try_to_timestamp(text, F.lit("yyyy-MM-dd HH:mm:ss.SSSSSS")))
+    shifted = F.timestamp_micros(F.unix_micros(local) - F.coalesce(minutes, F.lit(0)).cast("long") * 60_000_000)
+    return shifted, F.length(zone) > 0
+
+
+def header_datetime(c: Column) -> Column:
+    """ISO text of a header's date and time: with ``+00:00`` where the text had an offset, as written where it had none."""
+    time, aware = iso_time(c)
+    text = F.regexp_replace(F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
+    return F.when(time.isNotNull(), F.concat(text, F.when(aware, "+00:00").otherwise("")))
+
+
+def tolerance_degrees(dot: float) -> float:
+    """The angle in degrees at which two unit axes have a product of ``dot``."""
+    return math.degrees(math.acos(max(-1.0, min(1.0, dot))))
 
 
 def dated(stamps: list[Column], path: Column | None = None, release: Column | None = None) -> tuple[Column, Column]:

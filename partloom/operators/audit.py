@@ -84,13 +84,26 @@ def candidate_checks(candidates: DataFrame) -> DataFrame:
 def verdict(index: DataFrame, recommended: list[str]) -> DataFrame:
     """One row: repeated ids or hashes with several canonicals fail, missing recommended values warn."""
     ids = index.groupBy("part_id").agg(F.count("*").alias("n")).agg(F.count_if(F.col("n") > 1).alias("repeated_ids"))
-    hashes = many_per_group(index.distinct(), "content_hash", "duplicate_canonical").agg(F.count("*").alias("split_hashes"))
+    hashes = many_per_group(index.select("content_hash", "duplicate_canonical").distinct(), "content_hash", "duplicate_canonical").agg(F.count("*").alias("split_hashes"))
     gaps = index.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in recommended]).select(F.greatest(*recommended).alias("worst_gap"))
     row = ids.join(F.broadcast(hashes)).join(F.broadcast(gaps))
     state = F.when((F.col("repeated_ids") > 0) | (F.col("split_hashes") > 0), "FAIL").when(F.col("worst_gap") > 0, "PASS_WITH_WARNINGS").otherwise("PASS")
     return row.select("repeated_ids", "split_hashes", F.round("worst_gap", 6).alias("worst_gap"), state.alias("verdict"))
 
 
+def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
+    """Wanted columns that a table does not have, in their order; letter case counts."""
+    have = set(df.columns)
+    return [c for c in wanted if c not in have]
+
+
+def column_check(df: DataFrame, required: list[str], recommended: list[str]) -> DataFrame:
+    """``(column_name, need, present)`` of the columns a table must have and should have."""
+    gone = set(missing_columns(df, [*required, *recommended]))
+    rows = [(c, need, c not in gone) for need, names in (("required", required), ("recommended", recommended)) for c in names]
+    return df.sparkSession.createDataFrame(rows, "column_name string, need string, present boolean")
+
+
 def oversize(df: DataFrame, by: str, max_fraction: float, max_size: int) -> DataFrame:
     """Groups above ``max(1, min(max_size, fraction of all rows))``."""
     total = df.agg(F.count("*").alias("total"))

@@ -140,6 +140,23 @@ def ts_coalesce_source(spark, d):
     return p.select("part_id", F.date_format(day, "yyyy-MM-dd").alias("day"), tag.alias("source"))
 
 
+def header_datetimes(spark, d):
+    """The header's date and time of every metadata row as ISO text, in UTC where it has an offset."""
+    m = table(spark, d, "metas").select("part_id", "created_at_header").distinct()
+    return m.select("part_id", S.header_datetime(F.col("created_at_header")).alias("created"))
+
+
+def utc_times(spark, d):
+    """File times and header times in microseconds UTC, null where the text is none; without an offset they are UTC."""
+    m = table(spark, d, "metas").select("part_id", "file_mtime_utc", "created_at_header").distinct()
+    return m.select("part_id", *[F.unix_micros(S.iso_time(F.col(c))[0]).alias(a) for c, a in (("file_mtime_utc", "mtime_us"), ("created_at_header", "created_us"))])
+
+
+def column_check(spark, d):
+    """Columns of the part index that it must have and should have, and whether they are there."""
+    return audit.column_check(table(spark, d, "part_index_for_split"), ["part_id", "content_hash", "family_id", "duplicate_canonical"], ["unit", "author", "tolerance"])
+
+
 def path_segments(spark, d):
     return parts(spark, d, "rel_path").select("part_id", S.path_dataset(F.col("rel_path")).alias("dataset"), S.path_repo(F.col("rel_path")).alias("repo"), S.flat_name(F.col("rel_path")).alias("file_name"), S.short_md5(F.col("rel_path")).alias("short_name"))
 
@@ -247,17 +264,39 @@ MAJOR = """maj AS (SELECT c, f FROM (SELECT c, f, row_number() OVER (PARTITION B
 BASE = "WITH p AS (SELECT DISTINCT part_id, duplicate_canonical c, family_id f FROM part_index_for_split)"
 MANY = "AND c IN (SELECT c FROM p WHERE c IS NOT NULL GROUP BY c HAVING count(DISTINCT f) > 1)"
 TOKEN = r"CASE WHEN {0} IS NULL OR trim({0}) = '' OR lower(trim({0})) = 'nan' THEN 'NA' ELSE regexp_replace(regexp_replace(lower(trim({0})), '\s+', '_', 'g'), '[^a-z0-9_\-.]', '-', 'g') END"
-FORMATS = ("%Y-%m-%d %H:%M:%S", "%Y-%m-%dT%H:%M:%S", "%Y-%m-%d", "%Y/%m/%d %H:%M:%S", "%Y/%m/%d", "%d-%m-%Y")
+FORMATS = ("%Y-%m-%d", "%Y/%m/%d", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%d-%m-%Y", "%d/%m/%Y")
+LENIENT = ("%Y-%m-%dT%H:%M:%S", "%Y-%m-%d %H:%M:%S", "%Y/%m/%d %H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M", "%m/%d/%Y %H:%M:%S", "%m/%d/%Y %H:%M", "%d/%m/%Y %H:%M", "%m-%d-%Y %H:%M:%S", "%d/%m/%Y %H:%M:%S", "%d-%m-%Y %H:%M:%S", "%d %b %Y %H:%M:%S", "%d %b %Y", "%d %B %Y %H:%M:%S", "%d %B %Y", "%b %d, %Y", "%B %d, %Y")
 
 
 def _explicit(c: str) -> str:
-    return "coalesce(" + ", ".join(f"try_strptime(regexp_replace(trim(split_part({c}, '.', 1)), '\\s+', ' ', 'g'), '{f}')" for f in FORMATS) + ")"
+    first = f"regexp_replace(trim(split_part({c}, '.', 1)), '\\s+', ' ', 'g')"
+    bare = f"regexp_replace(regexp_replace(regexp_replace(trim({c}), '\\s+', ' ', 'g'), '^[A-Za-z]{{3,9}}, ', ''), '(\\.[0-9]+)? ?(Z|UTC|GMT|[+-][0-9][0-9]:?[0-9][0-9])?$', '')"
+    packed = f"CASE WHEN regexp_full_match({bare}, '[0-9]{{8}}(T[0-9]{{6}})?') THEN try_strptime({bare}[:8], '%Y%m%d') END"
+    read = lambda x, f: f"CASE WHEN regexp_matches({x}, '(^|[^0-9])[0-9]{{4}}([^0-9]|$)') THEN try_strptime({x}, '{f}') END"
+    return "coalesce(" + ", ".join([*(read(first, f) for f in FORMATS), packed, *(read(bare, f) for f in LENIENT)]) + ")"
 
 
 def _text_date(c: str) -> str:
-    pick = lambda p, y, m, k: f"try_cast(nullif(concat(lpad(nullif(regexp_extract({c}, '{p}', {y}), ''), 4, '0'), '-', lpad(nullif(regexp_extract({c}, '{p}', {m}), ''), 2, '0'), '-', lpad(nullif(regexp_extract({c}, '{p}', {k}), ''), 2, '0')), '--') AS DATE)"
-    ymd, packed, dmy = r"(20\d{2})[-_/.](\d{1,2})[-_/.](\d{1,2})", r"(20\d{2})(\d{2})(\d{2})", r"(\d{1,2})[-_/.](\d{1,2})[-_/.](20\d{2})"
-    return f"coalesce({pick(ymd, 1, 2, 3)}, {pick(packed, 1, 2, 3)}, {pick(dmy, 3, 2, 1)})"
+    def pick(p: str, y: int, m: int, k: int) -> str:
+        part = lambda g, n: f"lpad(nullif(regexp_extract({c}, '{p}', {g}), ''), {n}, '0')"
+        return f"try_cast({part(y, 4)} || '-' || {part(m, 2)} || '-' || {part(k, 2)} AS DATE)"
+
+    year, month, day = "(20[0-9][0-9])", "(10|11|12|0?[1-9])", "(30|31|[12][0-9]|0?[1-9])"
+    gap = "[-_/.]"
+    return f"coalesce({pick(year + gap + month + gap + day, 1, 2, 3)}, {pick(year + '(0[1-9]|1[0-2])(0[1-9]|[12][0-9]|3[01])', 1, 2, 3)}, {pick(day + gap + month + gap + year, 3, 2, 1)})"
+
+
+def _aware(c: str) -> str:
+    return f"regexp_matches(trim({c}), '[0-9][+-][0-9][0-9]:[0-9][0-9]$') AND length(trim({c})) > 13"
+
+
+def _iso(c: str) -> str:
+    """Date and time of an ISO or packed text by casts, less its offset."""
+    iso = "[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}(:[0-9]{2}(:[0-9]{2}([.]([0-9]{3}|[0-9]{6}))?)?)?([+-][0-9]{2}:[0-9]{2})?)?"
+    body = f"regexp_replace(trim({c}), '([0-9])[+-][0-9]{{2}}:[0-9]{{2}}$', '\\1')"
+    full = f"CASE length({body}) WHEN 10 THEN {body} || ' 00:00:00' WHEN 13 THEN {body} || ':00:00' WHEN 16 THEN {body} || ':00' ELSE {body} END"
+    off = f"CASE WHEN {_aware(c)} THEN (trim({c})[-6:-6] || '1')::INT * (trim({c})[-5:-4]::INT * 60 + trim({c})[-2:]::INT) ELSE 0 END"
+    return f"CASE WHEN regexp_full_match(trim({c}), '{iso}') THEN try_cast({full} AS TIMESTAMP) - to_minutes({off}) WHEN regexp_full_match(trim({c}), '[0-9]{{8}}T[0-9]{{6}}') THEN try_strptime(trim({c}), '%Y%m%dT%H%M%S') END"
 
 
 def _normal_unit(c: str) -> str:
@@ -288,7 +327,7 @@ QUERIES = {
     for f in (
         majority_label_repair, family_major_lookup, repair_report, family_hist_pct, exact_dup_groups, dup_group_members, dup_singleton_ratio, hash_multi_canonical,
         canonical_multi_family, canonical_purity, family_breadth, group_metrics_top20, noise_ratio_by_dataset, noise_ratio_by_kernel, lodo_readiness, topn_distribution,
-        topn_binned, describe_groups, null_rates, dup_key_rows, keep_first, domain_build, sanitize_tokens, date_from_text, ts_coalesce_source, path_segments, kernel_ladder,
+        topn_binned, describe_groups, null_rates, dup_key_rows, keep_first, domain_build, sanitize_tokens, date_from_text, ts_coalesce_source, header_datetimes, utc_times, column_check, path_segments, kernel_ladder,
         unit_labels, unknown_units, timestamp_sources, timestamp_parse_rate, monthly_counts, ts_quality, unknown_domains, distinct_totals, fill_from_index, release_dates,
         noise_policy, no_geometry_naming, oversize_families, audit_verdict, index_assembly, strong_groups, split_components,
     )
@@ -324,6 +363,9 @@ SQL = {
     "date_from_text": f"SELECT part_id, strftime({_text_date('timestamp')}, '%Y-%m-%d') AS day FROM (SELECT DISTINCT part_id, timestamp FROM part_index_for_split)",
     "ts_coalesce_source": f"""SELECT part_id, strftime(coalesce(e::DATE, t), '%Y-%m-%d') AS day, CASE WHEN e IS NOT NULL THEN 'explicit' WHEN t IS NOT NULL THEN 'path' ELSE 'none' END AS source
         FROM (SELECT part_id, coalesce({_explicit('timestamp')}, {_explicit('created_at_header')}) e, {_text_date('rel_path')} t FROM (SELECT DISTINCT part_id, timestamp, created_at_header, rel_path FROM part_index_for_split))""",
+    "header_datetimes": f"SELECT part_id, CASE WHEN u IS NOT NULL THEN replace(strftime(u, '%Y-%m-%dT%H:%M:%S.%f'), '.000000', '') || CASE WHEN aware THEN '+00:00' ELSE '' END END AS created FROM (SELECT part_id, {_iso('created_at_header')} u, {_aware('created_at_header')} aware FROM (SELECT DISTINCT part_id, created_at_header FROM metas))",
+    "utc_times": f"SELECT part_id, epoch_us({_iso('file_mtime_utc')}) AS mtime_us, epoch_us({_iso('created_at_header')}) AS created_us FROM (SELECT DISTINCT part_id, file_mtime_utc, created_at_header FROM metas)",
+    "column_check": "WITH w AS (SELECT unnest(['part_id', 'content_hash', 'family_id', 'duplicate_canonical', 'unit', 'author', 'tolerance']) AS column_name), c AS (SELECT column_name FROM information_schema.columns WHERE table_name = 'part_index_for_split') SELECT column_name, CASE WHEN column_name IN ('unit', 'author', 'tolerance') THEN 'recommended' ELSE 'required' END AS need, column_name IN (SELECT column_name FROM c) AS present FROM w",
     "path_segments": f"SELECT part_id, CASE WHEN contains(rel_path, '/') THEN split_part(rel_path, '/', 1) ELSE 'unknown' END AS dataset, nullif(split_part(rel_path, '/', 2), '') AS repo, replace(rel_path, '/', '__') AS file_name, md5(rel_path)[:16] AS short_name FROM {PARTS}",
     "kernel_ladder": f"SELECT part_id, {FMT} AS format, {_kernel(f'({FMT})', 'originating_system')} AS kernel FROM {PARTS}",
     "unit_labels": f"SELECT part_id, CASE WHEN contains(upper(unit), 'INCH') THEN 'inch' WHEN contains(upper(unit), 'MILLI') AND contains(upper(unit), 'METRE') THEN 'mm' WHEN contains(upper(unit), 'METRE') THEN 'm' END AS inferred, {_normal_unit('unit')} AS normalised FROM {PARTS}",

@@ -30,6 +30,14 @@ def test_keys(spark):
 def test_dates_and_tokens(spark):
     rows = [("2021-03-04", date(2021, 3, 4)), ("2021-3-4", date(2021, 3, 4)), ("x 20210304 y", date(2021, 3, 4)), ("04-03-2021", date(2021, 3, 4)), ("2021-02-30", None), ("x", None), (None, None), ("1999-01-01", None)]
     assert [r["d"] for r in spark.createDataFrame(rows, "a string, w date").select(S.date_from_text(F.col("a")).alias("d")).collect()] == [w for _, w in rows]
+    more = [("2021-13-40/2022-05-06", date(2022, 5, 6)), ("04/03/2021", date(2021, 3, 4)), ("2021-05-31", date(2021, 5, 31)), ("2021-02-30 20200102", date(2020, 1, 2))]
+    assert [r["d"] for r in spark.createDataFrame(more, "a string, w date").select(S.date_from_text(F.col("a")).alias("d")).collect()] == [w for _, w in more]
+    told = [("2021-03-04", date(2021, 3, 4)), ("2021-3-4", date(2021, 3, 4)), ("2021/03/04 05:06:07", date(2021, 3, 4)), ("04-03-2021", date(2021, 3, 4)), ("04/03/2021", date(2021, 3, 4)), ("20210304", date(2021, 3, 4)),
+            ("2021-02-30", None), ("x", None), (None, None), ("04/13/2021 5:06", date(2021, 4, 13)), ("Thu, 12 Oct 2023 07:31:57 +0100", date(2023, 10, 12)), ("20131125T203407Z", date(2013, 11, 25)), ("1590101025", None), ("2021-03-04T05:06:07.5+02:00", date(2021, 3, 4))]
+    assert [r["d"] for r in spark.createDataFrame(told, "a string, w date").select(S.explicit_date(F.col("a")).alias("d")).collect()] == [w for _, w in told]
+    heads = [("2021-03-04T05:06:07+02:00", "2021-03-04T03:06:07+00:00"), ("2021-03-04 05:06", "2021-03-04T05:06:00"), ("20210304T050607", "2021-03-04T05:06:07"), ("2021-03-04", "2021-03-04T00:00:00"), ("2021-02-30T00:00:00", None), ("4/3/2021", None), (None, None)]
+    assert [r["d"] for r in spark.createDataFrame(heads, "a string, w string").select(S.header_datetime(F.col("a")).alias("d")).collect()] == [w for _, w in heads]
+    assert round(S.tolerance_degrees(0.995), 2) == 5.73 and S.tolerance_degrees(2) == 0
     toks = [("  Solid Works! ", "solid_works-"), ("", "NA"), (None, "NA"), ("NaN", "NA")]
     assert [r["t"] for r in spark.createDataFrame(toks, "a string, w string").select(S.sanitize_token(F.col("a")).alias("t")).collect()] == [w for _, w in toks]
     day, tag = S.dated([F.lit("2021/03/04 05:06:07")], F.lit("p/2020-01-01/f"))
