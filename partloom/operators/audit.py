@@ -69,8 +69,9 @@ def worst(df: DataFrame, score: str, *ties: str, n: int = 5) -> DataFrame:
     return df.orderBy(score, *ties).limit(n)
 
 
-def candidate_checks(candidates: DataFrame) -> DataFrame:
-    """Broken records: missing id, negative diameter or depth, quality outside 0 to 1, no primitives."""
+def candidate_checks(candidates: DataFrame, *keep: str) -> DataFrame:
+    """Broken records: missing id, negative diameter or depth, quality outside 0 to 1, no primitives; ``keep`` names
+    further columns to carry along."""
     bad = F.array_compact(F.array(
         F.when(F.col("hole_id").isNull(), F.lit("no_id")),
         F.when(F.col("D0") < 0, F.lit("negative_D0")),
@@ -78,7 +79,7 @@ def candidate_checks(candidates: DataFrame) -> DataFrame:
         F.when(F.col("q").isNull() | (F.col("q") < 0) | (F.col("q") > 1), F.lit("q_range")),
         F.when(F.col("primitives").isNull() | (F.size("primitives") == 0), F.lit("no_primitives")),
     ))
-    return candidates.select("hole_id", F.explode(bad).alias("problem"))
+    return candidates.select("hole_id", *keep, F.explode(bad).alias("problem"))
 
 
 def verdict(index: DataFrame, recommended: list[str]) -> DataFrame:

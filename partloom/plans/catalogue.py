@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from partloom.operators import timestamps, units
-from partloom.plans import family_queries, index_queries, split_queries, vector_queries
+from partloom.plans import family_queries, index_queries, source_queries, split_queries, vector_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_found": timestamps.p4_found,
@@ -18,5 +18,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **split_queries.QUERIES,
     **vector_queries.QUERIES,
     **family_queries.QUERIES,
+    **source_queries.QUERIES,
 }
-SQL: dict[str, str] = {**index_queries.SQL, **split_queries.SQL, **vector_queries.SQL, **family_queries.SQL}
+SQL: dict[str, str] = {**index_queries.SQL, **split_queries.SQL, **vector_queries.SQL, **family_queries.SQL, **source_queries.SQL}

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.scalars import classify_error
+from partloom.operators.ranking import ranked
 
 
 class _TooLong(Exception):
@@ -26,11 +27,15 @@ def run_files(files: DataFrame, worker: Callable[[str, bytes], list[dict]], fiel
 
     ``fields`` is the schema of the worker's rows. A file without rows has one row of status ``no_cand``; one that
     raises or takes longer than ``seconds`` one of status ``failed`` with the kind of its error; the others ``written``.
-    Large files are dealt first, so they do not come last; Spark repeats tasks whose executor is lost.
+    Large files are dealt evenly and come first in each task; Spark repeats tasks whose executor is lost. A worker that
+    hangs in native code is not ended by ``seconds``; ``spark.task.reaper.enabled`` and a task timeout of the cluster are.
     """
     names = [f.split()[0] for f in fields.split(", ")]
     if largest_first and "length" in files.columns:
-        files = files.orderBy(F.desc("length"), key)
+        # sizes alone are sorted; the contents go straight to the task that their rank in the order gives them
+        tasks = max(1, files.sparkSession.sparkContext.defaultParallelism * 4)
+        place = ranked(files.select(key, "length"), [], F.desc("length"), key).select(key, "rn")
+        files = files.join(place, key).repartition(tasks, F.pmod("rn", F.lit(tasks))).sortWithinPartitions("rn")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         signal.signal(signal.SIGALRM, _alarm)

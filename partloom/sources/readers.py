@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,9 +52,10 @@ def part_files(spark: SparkSession, root: str, fraction: float | None = None, co
 
 
 def file_contents(spark: SparkSession, root: str, prefix: int = 300_000) -> DataFrame:
-    """``(path, content_hash, text)`` of the part files: SHA-256 of the whole file and its first bytes as text; packed files have no text."""
+    """``(path, content_hash, text)`` of the part files: SHA-256 of the whole file and its first bytes read as UTF-8 without
+    what is no UTF-8 (a replacement mark of the file itself goes as well); packed files have no text."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).filter(extension(F.col("path")).isin(*PART_FILES))
-    text = F.when(extension(F.col("path")) != ".stpz", F.decode(F.substring("content", 1, prefix), "ISO-8859-1"))
+    text = F.when(extension(F.col("path")) != ".stpz", F.replace(F.make_valid_utf8(F.substring("content", 1, prefix).cast("string")), F.lit("\ufffd"), F.lit("")))
     return files.select("path", F.sha2("content", 256).alias("content_hash"), text.alias("text"))
 
 
@@ -80,18 +81,19 @@ def part_index(spark: SparkSession, folder: str, schema: T.StructType | str) ->
     return None
 
 
-def keyed_last(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key, of the rows without any empty field."""
+def keyed_last(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """The last row of each key in the given order, of the rows without any empty field."""
     full = df.dropna().filter(" AND ".join(f"trim(cast(`{c}` as string)) <> ''" for c in df.columns))
-    rank = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]))
     return full.withColumn("_rank", rank).filter("_rank = 1").drop("_rank")
 
 
 def id_lists(spark: SparkSession, root: str) -> DataFrame:
-    """``(protocol, split_id, subset, part_id)`` of ``<protocol>/split_<k>/<subset>.txt``; blank lines and other folders are left out."""
+    """``(protocol, split_id, subset, part_id)`` of ``<protocol>/split_<k>/<subset>.txt`` and of the folders that
+    :func:`partloom.sources.sinks.write_splits` writes; blank lines and other folders are left out."""
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(root).select("value", F.input_file_name().alias("path"))
-    shape = r"([^/]+)/split_(\d+)/(train|calib|test)\.txt$"
-    out = lines.select(F.regexp_extract("path", shape, 1).alias("protocol"), F.regexp_extract("path", shape, 2).alias("k"), F.regexp_extract("path", shape, 3).alias("subset"), F.trim("value").alias("part_id"))
+    shape = r"(?:protocol=)?([^/=]+)/split_(?:id=)?(\d+)/(?:subset=)?(train|calib|test)(?:\.txt|/[^/]+)$"
+    out = lines.select(F.regexp_extract("path", shape, 1).alias("protocol"), F.regexp_extract("path", shape, 2).alias("k"), F.regexp_extract("path", shape, 3).alias("subset"), F.regexp_replace("value", r"^\s+|\s+$", "").alias("part_id"))
     return out.filter((F.col("subset") != "") & (F.col("part_id") != "")).select("protocol", F.col("k").cast("int").alias("split_id"), "subset", "part_id")
 
 
@@ -103,9 +105,9 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> tuple[Da
     return parsed.filter("row._bad IS NULL").select("row.*", "path").drop("_bad"), parsed.filter("row._bad IS NOT NULL").select("value", "path")
 
 
-def json_map(spark: SparkSession, path: str, value: str) -> DataFrame:
-    """``(key, value)`` rows of a JSON object; ``value`` is the type of its values."""
-    whole = spark.read.text(path, wholetext=True)
+def json_map(spark: SparkSession, path: str, value: str, whole: bool = True) -> DataFrame:
+    """``(key, value)`` rows of a JSON object; ``value`` is the type of its values. Without ``whole`` each line is an object."""
+    whole = spark.read.text(path, wholetext=whole)
     return whole.select(F.explode(F.from_json("value", f"map<string,{value}>")))
 
 
@@ -116,6 +118,13 @@ def report_metrics(spark: SparkSession, path: str, patterns: dict[str, str]) ->
     return text.select("path", *[number(p).alias(k) for k, p in patterns.items()])
 
 
+def report_json(spark: SparkSession, path: str, name: str, value: str) -> DataFrame:
+    """``(path, key, value)`` of the JSON object that a report's line ``name: {...}`` holds; what is no JSON gives no rows."""
+    text = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("path"))
+    found = F.regexp_extract("value", rf"{name}:\s*(\{{.*\}})", 1)
+    return text.select("path", F.explode(F.from_json(found, f"map<string,{value}>")))
+
+
 # Names a column may have, by the role it plays; the first name that is there is taken.
 SYNONYMS = {
     "part_id": ("part_id", "id", "part", "uid"), "family": ("family_major", "family_id", "family", "cluster"), "canonical": ("duplicate_canonical", "canonical", "dup_canonical"),
@@ -147,6 +156,15 @@ def changed_only(listing: DataFrame, done: DataFrame) -> DataFrame:
     return listing.join(done.select("path", "size", "modified"), ["path", "size", "modified"], "left_anti")
 
 
+def refreshed(listing: DataFrame, cache: DataFrame, work: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Results of all listed files: those of ``cache`` whose path, size and time are still the same, and ``work`` on the others.
+
+    ``cache`` and what ``work`` gives have the columns ``path, size, modified`` and their results.
+    """
+    kept = cache.join(listing.select("path", "size", "modified"), ["path", "size", "modified"], "left_semi")
+    return kept.unionByName(work(changed_only(listing, cache)))
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     """At most ``n`` rows in the order of a seeded hash: the same in every run and on every cluster."""
     return df.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))), key).limit(n)

@@ -11,15 +11,15 @@ from partloom.sources.readers import CANDIDATES
 
 
 def arriving(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
-    """Candidates of new files in a folder, with the time they were read."""
-    return spark.readStream.schema(CANDIDATES).option("maxFilesPerTrigger", files_per_batch).json(folder).withColumn("seen_at", F.current_timestamp())
+    """Candidates of new files in a folder, with the time of their file."""
+    return spark.readStream.schema(CANDIDATES).option("maxFilesPerTrigger", files_per_batch).json(folder).withColumn("written_at", F.col("_metadata.file_modification_time"))
 
 
 def problems_per_window(stream: DataFrame, width: str = "1 minute", late: str = "10 minutes") -> DataFrame:
-    """Broken records per kind of problem and window of arrival."""
-    bad = candidate_checks(stream.select("hole_id", "D0", "H0", "q", "primitives"))
-    timed = bad.withColumn("at", F.current_timestamp())
-    return timed.withWatermark("at", late).groupBy(F.window("at", width), "problem").agg(F.count("*").alias("n"))
+    """Broken records per kind of problem and window of the time their file was written; a file that arrives ``late``
+    after newer ones no longer counts."""
+    bad = candidate_checks(stream.withWatermark("written_at", late), "written_at")
+    return bad.groupBy(F.window("written_at", width), "problem").agg(F.count("*").alias("n"))
 
 
 def keep_sound(stream: DataFrame, out: str, checkpoint: str) -> StreamingQuery:

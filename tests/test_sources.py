@@ -89,3 +89,33 @@ def test_maps_reports_and_names(spark, tmp_path):
     assert got == {"p": "/root/x/y", "q": None}
     assert readers.keyed_last(spark.createDataFrame([("k", "a", 1), ("k", "b", 2), ("k", "", 3), ("l", None, 1)], "k string, v string, n int"), "k", "n").first()["v"] == "b"
     assert readers.seeded_sample(spark.range(50), "id", 7).count() == 7
+
+
+def test_text_keeps_accents_and_drops_what_is_no_utf8(spark, tmp_path):
+    (tmp_path / "a.stp").write_bytes("FILE_NAME('Müller \xff".encode("latin-1").replace("Müller".encode("latin-1"), "Müller".encode()) + b"')")
+    assert readers.file_contents(spark, str(tmp_path)).first()["text"] == "FILE_NAME('Müller ')"
+
+
+def test_files_per_part_failures_maps_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a/b", 1), ("a/b", 2), ("c", 3)], "part_id string, n int")
+    also = spark.createDataFrame([("none",), ("c",)], "part_id string")
+    for _ in range(2):
+        sinks.write_per_part(rows, str(tmp_path / "p"), also=also)
+    back = {(r["file"], r["value"]) for r in spark.read.text(str(tmp_path / "p")).collect()}
+    assert back == {("a__b", '{"part_id":"a/b","n":1}'), ("a__b", '{"part_id":"a/b","n":2}'), ("c", '{"part_id":"c","n":3}'), ("none", "")}
+    done = spark.createDataFrame([("x", "failed", "timeout", "too\tlong"), ("y", "written", None, None)], "path string, status string, error string, message string")
+    sinks.write_failures(done, str(tmp_path / "f"))
+    assert [r["value"] for r in spark.read.text(str(tmp_path / "f")).collect()] == ["x\ttimeout\ttoo long"]
+    sinks.write_json_map(rows, "n", "part_id", str(tmp_path / "m"), pieces=2)
+    assert {tuple(r) for r in readers.json_map(spark, str(tmp_path / "m"), "string", whole=False).collect()} == {("1", "a/b"), ("2", "a/b"), ("3", "c")}
+    text = sinks.report("run", {"recall": 0.5, "eval_tolerances": {"axis": 5.73}}, {"rows": rows})
+    (tmp_path / "r.md").write_text(text)
+    assert readers.report_metrics(spark, str(tmp_path / "r.md"), {"recall": r"recall:\s*([0-9.]+)"}).first()["recall"] == 0.5
+    assert [(r["key"], r["value"]) for r in readers.report_json(spark, str(tmp_path / "r.md"), "eval_tolerances", "double").collect()] == [("axis", 5.73)]
+
+
+def test_cached_and_new_results_are_united(spark):
+    listing = spark.createDataFrame([("a", 1, "t"), ("b", 2, "t"), ("c", 3, "u")], "path string, size int, modified string")
+    cache = spark.createDataFrame([("a", 1, "t", "old"), ("c", 3, "t", "old"), ("gone", 1, "t", "old")], "path string, size int, modified string, result string")
+    got = readers.refreshed(listing, cache, lambda df: df.withColumn("result", F.lit("new")))
+    assert {(r["path"], r["result"]) for r in got.collect()} == {("a", "old"), ("b", "new"), ("c", "new")}
