@@ -37,6 +37,56 @@ def pair_distance_histogram(points: DataFrame, pairs: int = 20_000, bins: int =
     return both.groupBy("part_id", bin_.alias("bin")).agg(F.round(F.count("*") / F.lit(pairs), 6).alias("share"))
 
 
+def box_ratios(points: DataFrame, key: str = "part_id") -> DataFrame:
+    """``(key, r1, r2)``: the shorter sides of the box around a part's points over the longest plus 1e-12, shortest first."""
+    side = points.groupBy(key).agg(*[(F.max(c) - F.min(c)).cast("double").alias(c) for c in AXES])
+    s = F.sort_array(F.array(*AXES))
+    return side.select(key, *[(s[i] / (s[2] + 1e-12)).alias(f"r{i + 1}") for i in (0, 1)])
+
+
+# Kinds of surfaces; any other is the last.
+SURFACES = ("plane", "cylinder", "cone", "sphere", "torus", "free")
+
+
+def surface_histogram(faces: DataFrame, key: str = "part_id") -> DataFrame:
+    """``(key, <kind>..)``: the share of each of :data:`SURFACES` among a part's faces; null and unknown kinds are free."""
+    kind = F.when(F.col("kind").isin(*SURFACES), F.col("kind")).otherwise(SURFACES[-1])
+    return faces.groupBy(key).agg(*[F.avg((kind == k).cast("int")).alias(k) for k in SURFACES])
+
+
+def _along(points: DataFrame, axes: DataFrame, by: list[str]) -> DataFrame:
+    """Points with ``t``, their place along the unit axis of their group, and ``r``, their distance from it; the axis goes
+    through ``ox, oy, oz`` where ``axes`` has these, else through the origin."""
+    size = F.sqrt(F.col("ax") * F.col("ax") + F.col("ay") * F.col("ay") + F.col("az") * F.col("az")) + 1e-12
+    origin = [F.col(f"o{c}") if f"o{c}" in axes.columns else F.lit(0.0) for c in AXES]
+    unit = axes.select(*by, *[(F.col(f"a{c}") / size).alias(f"u{c}") for c in AXES], *[o.alias(f"o{c}") for o, c in zip(origin, AXES, strict=True)])
+    rows = points.select(*by, *AXES).join(unit, by)
+    rows = rows.select(*by, *[(F.col(c) - F.col(f"o{c}")).alias(c) for c in AXES], *[f"u{c}" for c in AXES])
+    t = sum((F.col(c) * F.col(f"u{c}") for c in AXES), F.lit(0.0))
+    square = sum((F.col(c) * F.col(c) for c in AXES), F.lit(0.0))
+    return rows.select(*by, t.alias("t"), F.sqrt(F.greatest(F.lit(0.0), square - t * t)).alias("r"))
+
+
+def extent_along(points: DataFrame, axes: DataFrame, *by: str) -> DataFrame:
+    """``(by.., extent)``: how far the points of a group reach along the group's axis ``ax, ay, az``."""
+    return _along(points, axes, list(by)).groupBy(*by).agg((F.max("t") - F.min("t")).alias("extent"))
+
+
+def roundness(points: DataFrame, axes: DataFrame, *by: str, least: int = 1) -> DataFrame:
+    """``(by.., roundness)``: one less the relative deviation of the points' distances from the group's axis, at least 0, of
+    groups of ``least`` points or more. The surveyed form measures from the origin, as an axis without a place does."""
+    spread = F.stddev_pop("r") / (F.avg("r") + 1e-6)
+    return _along(points, axes, list(by)).groupBy(*by).agg((1 - F.least(F.lit(1.0), spread)).alias("roundness"), F.count("*").alias("_n")).filter(F.col("_n") >= least).drop("_n")
+
+
+def mean_of_centres(circles: DataFrame, parts: DataFrame, key: str = "part_id", face: str = "face_no") -> DataFrame:
+    """``(key, x, y, z)``: the mean over a part's faces of the mean of their circles' centres ``x, y, z``; parts without
+    circles have the origin. ``parts`` holds the keys."""
+    per = circles.groupBy(key, face).agg(*[F.avg(c).alias(c) for c in AXES])
+    mean = per.groupBy(key).agg(*[F.avg(c).alias(c) for c in AXES])
+    return parts.select(key).distinct().join(mean, key, "left").select(key, *[F.coalesce(c, F.lit(0.0)).alias(c) for c in AXES])
+
+
 def dihedral_histogram(edges: DataFrame, bins: int = 36, digits: int = 6) -> DataFrame:
     """``(part_id, bin, share)``: angles between the normals of the two faces that meet in an edge, in bins over half a turn.
 

@@ -110,6 +110,21 @@ def balance_check(spark, d):
     return audit.balance(per)
 
 
+def candidate_coverage(spark, d):
+    """Candidates per listed part with any: mean, median, p90 and most, and the share of parts without a usable one."""
+    m = members(spark, d).select("protocol", "split_id", "subset", "part_id").distinct()
+    holes = table(spark, d, "hole_candidates").dropDuplicates(["hole_id"]).groupBy("part_id").agg(F.count("*").alias("n"), F.count_if(F.col("D0") > 0).alias("usable"))
+    rows = m.join(holes, "part_id")
+    return rows.groupBy("protocol", "split_id", "subset").agg(F.count("*").alias("n_parts"), F.round(F.avg("n"), 6).alias("mean"), F.median("n").alias("p50"), F.round(F.percentile("n", F.lit(0.9)), 6).alias("p90"), F.max("n").alias("most"), F.round(F.avg((F.col("usable") == 0).cast("int")), 6).alias("empty_rate"))
+
+
+def status_by_subset(spark, d):
+    """Listed parts by subset and status: written, failed (no usable candidate) or no_cand."""
+    b = balance_check(spark, d)
+    wide = b.select("protocol", "split_id", "subset", F.explode(F.array(*[F.struct(F.lit(k).alias("status"), F.col(k).alias("n")) for k in ("written", "failed", "no_cand")])).alias("x"))
+    return wide.select("protocol", "split_id", "subset", "x.*").filter("n > 0")
+
+
 def split_balance(spark, d):
     """Whether all subsets of a split balance, and its totals."""
     b = balance_check(spark, d)
@@ -181,7 +196,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         lodo_membership, lodo_fold_sizes, lodo_fold_meta, temporal_split, iso_relax, temporal_per_domain, component_banned_lodo, leak_ids, leak_family, leak_hash, leak_canonical_true,
-        disjoint_flags, lodo_single_domain, coverage_audit, worst5, balance_check, split_balance, rebuild_status, split_report, parts_in_index,
+        disjoint_flags, lodo_single_domain, coverage_audit, worst5, balance_check, split_balance, candidate_coverage, status_by_subset, rebuild_status, split_report, parts_in_index,
     )
 }
 
@@ -211,6 +226,8 @@ SQL = {
     "coverage_audit": f"{MEMBERS} {COVERAGE}",
     "worst5": f"{MEMBERS} {COVERAGE} ORDER BY coverage, protocol, split_id, subset LIMIT 5",
     "split_balance": f"{MEMBERS}, {BALANCE} SELECT protocol, split_id, bool_and(expected = written + no_cand + failed) AS balanced, sum(expected)::BIGINT AS expected, sum(written)::BIGINT AS written FROM e GROUP BY 1, 2",
+    "candidate_coverage": f"{MEMBERS}, h AS (SELECT part_id, count(*) n, count(*) FILTER (D0 > 0) u FROM (SELECT DISTINCT ON (hole_id) * FROM hole_candidates) GROUP BY 1) SELECT protocol, split_id, subset, count(*) AS n_parts, round(avg(n), 6) AS mean, median(n)::DOUBLE AS p50, round(quantile_cont(n::DOUBLE, 0.9), 6) AS p90, max(n) AS most, round(avg((u = 0)::INT), 6) AS empty_rate FROM l JOIN h USING (part_id) GROUP BY 1, 2, 3",
+    "status_by_subset": f"{MEMBERS}, {BALANCE}, u AS (SELECT protocol, split_id, subset, 'written' AS status, written AS n FROM e UNION ALL SELECT protocol, split_id, subset, 'failed', failed FROM e UNION ALL SELECT protocol, split_id, subset, 'no_cand', no_cand FROM e) SELECT * FROM u WHERE n > 0",
     "rebuild_status": f"{MEMBERS}, x AS (SELECT DISTINCT part_id FROM l) SELECT CASE WHEN part_id IN (SELECT part_id FROM hole_candidates) THEN 'skip_exists' WHEN part_id NOT IN (SELECT part_id FROM signatures) THEN 'skip_unresolved' ELSE 'ok' END AS status, count(*) AS n FROM x GROUP BY 1",
     "balance_check": f"{MEMBERS}, {BALANCE} SELECT *, expected = written + no_cand + failed AS balanced FROM e",
     "split_report": f"{MEMBERS} SELECT coalesce(protocol, 'all') AS protocol, coalesce(split_id, -1) AS split_id, coalesce(subset, 'all') AS subset, count(*) AS n FROM l GROUP BY ROLLUP (protocol, split_id, subset)",

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -130,8 +132,8 @@ def normalised_points(spark, d):
 
 
 def pair_distances(spark, d):
-    """Histogram of the distances of 512 seeded pairs of points per brand."""
-    return shapes.pair_distance_histogram(shapes.normalised_points(_points(spark, d)), pairs=512)
+    """Histogram of the distances of 20,000 seeded pairs of points per brand."""
+    return shapes.pair_distance_histogram(shapes.normalised_points(_points(spark, d)))
 
 
 def thinned_points(spark, d):
@@ -139,9 +141,10 @@ def thinned_points(spark, d):
 
 
 def face_type_hist(spark, d):
-    """Share of each face kind per part."""
-    f = faces(spark, d)
-    return f.groupBy("part_id").agg(*[F.round(F.avg((F.col("kind") == k).cast("int")), 6).alias(k) for k in ("plane", "cylinder", "cone")])
+    """Share of each kind of surface per part; line numbers stand for the kinds."""
+    kind = F.element_at(F.array(*[F.lit(k) for k in shapes.SURFACES]), (F.col("l_linenumber") % 6 + 1).cast("int"))
+    f = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("part_id"), kind.alias("kind"))
+    return shapes.surface_histogram(f).select("part_id", *[F.round(k, 6).alias(k) for k in shapes.SURFACES])
 
 
 def primitive_kinds(spark, d):
@@ -150,11 +153,15 @@ def primitive_kinds(spark, d):
     return h.groupBy("p.kind").agg(F.count("*").alias("n"), F.round(F.avg(F.try_element_at("p.params", F.lit("radius"))), 4).alias("mean_radius"))
 
 
+def _lines_as_points(spark, d) -> DataFrame:
+    """Order lines as points of their supplier."""
+    x = table(spark, d, "lineitem")
+    return x.select("l_suppkey", F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice") / 1000).cast("double").alias("y"), (F.col("l_discount") * 100).cast("double").alias("z"))
+
+
 def bbox_ratio(spark, d):
     """Ratios of the sides of the box around each supplier's lines, shortest over longest first."""
-    x = table(spark, d, "lineitem").groupBy("l_suppkey").agg(*[(F.max(c) - F.min(c)).cast("double").alias(a) for a, c in (("sx", "l_quantity"), ("sy", F.col("l_extendedprice") / 1000), ("sz", F.col("l_discount") * 100))])
-    s = F.sort_array(F.array("sx", "sy", "sz"))
-    return x.select("l_suppkey", F.round(s[0] / (s[2] + 1e-12), 6).alias("r1"), F.round(s[1] / (s[2] + 1e-12), 6).alias("r2"))
+    return shapes.box_ratios(_lines_as_points(spark, d), "l_suppkey").select("l_suppkey", F.round("r1", 6).alias("r1"), F.round("r2", 6).alias("r2"))
 
 
 def hist64(spark, d):
@@ -168,14 +175,17 @@ def hist64(spark, d):
 
 
 def roundness(spark, d):
-    """How even the radii of a part's faces are: one less the relative deviation, at least 0."""
-    return faces(spark, d).groupBy("part_id").agg(F.round(1 - F.least(F.lit(1.0), F.stddev_pop("radius") / (F.avg("radius") + 1e-6)), 6).alias("roundness"), F.round(F.max("depth") - F.min("depth"), 6).alias("extent"))
+    """How even the distances of a supplier's points from a slanted axis are, and how far they reach along it."""
+    points = _lines_as_points(spark, d)
+    axes = points.select("l_suppkey").distinct().select("l_suppkey", F.lit(1.2).alias("ax"), F.lit(0.0).alias("ay"), F.lit(1.6).alias("az"), *[F.lit(v).alias(f"o{c}") for c, v in (("x", 5.0), ("y", 2.0), ("z", 0.0))])
+    r = shapes.roundness(points, axes, "l_suppkey").join(shapes.extent_along(points, axes, "l_suppkey"), "l_suppkey")
+    return r.select("l_suppkey", F.round("roundness", 6).alias("roundness"), F.round("extent", 6).alias("extent"))
 
 
 def mean_of_means(spark, d):
-    """Mean centre of a part over the means of its face kinds, not over its faces."""
-    per = faces(spark, d).groupBy("part_id", "kind").agg(F.avg("ax").alias("x"), F.avg("ay").alias("y"))
-    return per.groupBy("part_id").agg(F.round(F.avg("x"), 6).alias("x"), F.round(F.avg("y"), 6).alias("y"))
+    """Mean centre of an order over the means of its face kinds, not over its faces; orders without cones have the origin."""
+    circles = faces(spark, d).filter(F.col("kind") == "cone").select("part_id", F.col("face_no").alias("no"), (F.col("face_no") % 2).alias("face_no"), F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z"))
+    return shapes.mean_of_centres(circles, faces(spark, d)).select("part_id", *[F.round(c, 6).alias(c) for c in ("x", "y", "z")])
 
 
 def coaxial_best_match(spark, d):
@@ -187,9 +197,11 @@ def hole_extraction(spark, d):
 
 
 def candidates_agg(spark, d):
-    """One candidate a part: median diameter, total depth and mean axis."""
-    c = candidates.one_per_part(faces(spark, d))
-    return c.select("part_id", F.round("D0", 6).alias("D0"), F.round("H0", 6).alias("H0"), *[F.round(x, 6).alias(x) for x in ("ax", "ay", "az")], "q")
+    """One candidate a part: median diameter, total depth, mean axis, and the mean centre of its cones as the base."""
+    f = faces(spark, d)
+    centres = shapes.mean_of_centres(f.filter(F.col("kind") == "cone").select("part_id", "face_no", F.col("ax").alias("x"), F.col("ay").alias("y"), F.col("az").alias("z")), f)
+    c = candidates.one_per_part(f, centres=centres)
+    return c.select("part_id", F.round("D0", 6).alias("D0"), F.round("H0", 6).alias("H0"), "alpha0", *[F.round(x, 6).alias(x) for x in ("ax", "ay", "az", "bx", "by", "bz")], "q")
 
 
 def candidate_quality(spark, d):
@@ -245,6 +257,55 @@ def weighted_recall(spark, d):
     return per.agg(F.count("*").alias("n_parts"), F.round(F.sum(F.coalesce("hits", F.lit(0)) / F.col("n") * F.greatest(F.lit(1), F.col("n"))) / F.sum(F.greatest(F.lit(1), F.col("n"))), 6).alias("recall"))
 
 
+def _runs(spark, d, truth, pairs) -> DataFrame:
+    """A run a part: depths stand for its time, over 200 it times out, and with a single face it errs."""
+    f = faces(spark, d)
+    hit = candidates.matched(pairs, 5.73, 8.0, 0.7).groupBy("part_id").agg(F.count("*").alias("hits"))
+    per = f.groupBy("part_id").agg(F.count_if(F.col("face_no") % 2 == 1).alias("n_true"), F.count_if(F.col("face_no") % 2 == 0).alias("n_found"), F.sum("depth").alias("ms"), F.count("*").alias("n_faces"))
+    status = F.when(F.col("n_faces") == 1, "error").when(F.col("ms") > 200, "timeout").otherwise("ok")
+    return per.join(hit, "part_id", "left").select("part_id", status.alias("status"), F.coalesce("hits", F.lit(0)).alias("hits"), "n_true", "ms", "n_found")
+
+
+def stress_evaluation(spark, d):
+    """Recall with timeouts, median time and candidates per part of a run over all parts; depths stand for the time."""
+    e = candidates.evaluation(_runs(spark, d, *_truth(spark, d)))
+    return e.select(F.round("recall", 6).alias("recall"), F.round("median_ms", 4).alias("median_ms"), F.round("per_part", 6).alias("per_part"), "n")
+
+
+def real_evaluation(spark, d):
+    """The same over the hole candidates, where nothing is known to be true: candidates per part and the median depth."""
+    h = table(spark, d, "hole_candidates").dropDuplicates(["hole_id"])
+    runs = h.groupBy("part_id").agg(F.count("*").alias("n_found"), F.median("H0").alias("ms")).select(F.when(F.col("ms").isNull(), "error").otherwise("ok").alias("status"), F.lit(0).alias("hits"), F.lit(0).alias("n_true"), "ms", "n_found")
+    e = candidates.evaluation(runs)
+    return e.select(F.round("recall", 6).alias("recall"), F.round("median_ms", 4).alias("median_ms"), F.round("per_part", 6).alias("per_part"), "n")
+
+
+def tuning_trials(spark, d):
+    """Trials of wider axis tolerances, and whether each is accepted against the base setting."""
+    truth, pairs = _truth(spark, d)
+    grid = candidates.recall_grid(truth, pairs, [5.73, 6.23, 6.73], [0.7])
+    per_part = faces(spark, d).groupBy("part_id").agg(F.count_if(F.col("face_no") % 2 == 0).alias("k")).agg(F.avg("k").alias("per_part"))
+    trials = grid.join(F.broadcast(per_part)).select(F.col("tol").alias("setting"), "recall", F.lit(0.0).alias("median_ms"), F.round("per_part", 6).alias("per_part"))
+    base = trials.filter("setting = 5.73").first().asDict()
+    return candidates.accepted(trials, base, 0.05).select("setting", "recall", "per_part", "ok")
+
+
+def recall_with_centres(spark, d):
+    """True holes that a candidate of their part matches in axis, depth and base; the bases are axis components in millimetres."""
+    f = faces(spark, d).select("*", *[(F.col(f"a{c}") * 10).alias(f"b{c}") for c in "xyz"])
+    truth = f.filter(F.col("face_no") % 2 == 1).withColumn("gt_id", F.col("face_no")).withColumn("tilt", F.col("semi_angle"))
+    return candidates.matched(candidates.pair_measures(truth, f.filter(F.col("face_no") % 2 == 0)), 5.73, 8.0, 0.7, centre=(0.01, 0.2))
+
+
+def report_samples(spark, d):
+    """At most 20 rows of negative depth, 200 without a diameter and 200 without any primitive, in order of their id."""
+    h = table(spark, d, "hole_candidates").dropDuplicates(["hole_id"])
+    kind = F.when(F.col("D0").isNull(), "no_candidate").when(F.col("primitives").isNull() | (F.size("primitives") == 0), "parse_error").when(F.col("H0").isNull() | (F.col("H0") < 0), "error")
+    rows = h.select("hole_id", kind.alias("kind")).filter(F.col("kind").isNotNull())
+    caps = {"error": 20, "no_candidate": 200, "parse_error": 200}
+    return reduce(DataFrame.unionByName, [rows.filter(F.col("kind") == k).orderBy("hole_id").limit(n) for k, n in caps.items()])
+
+
 def face_probe(spark, d):
     return candidates.probe(faces(spark, d))
 
@@ -341,7 +402,7 @@ QUERIES = {
     for f in (
         vec_l2, block_norm, block_dims, bbox_spread, knn_topk, cosine_pairs, kth_distance, auto_eps, eps_neighbours, dbscan_core, dbscan_labels, normalised_points, pair_distances, thinned_points, face_type_hist, primitive_kinds, bbox_ratio,
         hist64, roundness, mean_of_means, coaxial_best_match, hole_extraction, candidates_agg, candidate_quality, record_validation, candidate_totals, capped_sample, recall_match, recall_wilson,
-        param_grid, tuned_setting, weighted_recall, face_probe, no_candidate_sums, geom_hash_classes, staged_tuning, report_pass, stress_set, status_counts, status_rollup, latency_quantiles,
+        param_grid, tuned_setting, weighted_recall, face_probe, stress_evaluation, real_evaluation, tuning_trials, recall_with_centres, report_samples, no_candidate_sums, geom_hash_classes, staged_tuning, report_pass, stress_set, status_counts, status_rollup, latency_quantiles,
     )
 }
 
@@ -357,22 +418,24 @@ SQL = {
     "eps_neighbours": f"{BOXES} SELECT * FROM g",
     "dbscan_core": f"{BOXES} SELECT degree >= {BOX_MIN} AS core, count(*) AS n FROM g GROUP BY 1",
     "normalised_points": f"WITH {POINTS} SELECT part_id, point_id, round(x, 6) AS x, round(y, 6) AS y, round(z, 6) AS z FROM n",
-    "pair_distances": f"""WITH {POINTS}, o AS (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY point_id) no, count(*) OVER (PARTITION BY part_id) size FROM n), d AS (SELECT part_id, size, unnest(range(1, 513)) draw FROM (SELECT DISTINCT part_id, size FROM o) WHERE size >= 4),
+    "pair_distances": f"""WITH {POINTS}, o AS (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY point_id) no, count(*) OVER (PARTITION BY part_id) size FROM n), d AS (SELECT part_id, size, unnest(range(1, 20001)) draw FROM (SELECT DISTINCT part_id, size FROM o) WHERE size >= 4),
         k AS (SELECT part_id, ('0x' || md5('i42:' || part_id || ':' || draw)[:8])::BIGINT % size + 1 AS i, ('0x' || md5('j42:' || part_id || ':' || draw)[:8])::BIGINT % size + 1 AS j FROM d),
         b AS (SELECT k.part_id, least(64, floor(least(1.0, round(sqrt((a.x - c.x) * (a.x - c.x) + (a.y - c.y) * (a.y - c.y) + (a.z - c.z) * (a.z - c.z)) / sqrt(3.0), 9)) * 64) + 1)::INT AS bin FROM k JOIN o a ON a.part_id = k.part_id AND a.no = k.i JOIN o c ON c.part_id = k.part_id AND c.no = k.j)
-        SELECT part_id, bin, round(count(*) / 512, 6) AS share FROM b GROUP BY 1, 2""",
+        SELECT part_id, bin, round(count(*) / 20000, 6) AS share FROM b GROUP BY 1, 2""",
     "thinned_points": f"WITH {POINTS} SELECT part_id, point_id FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY md5('0:' || part_id || ':' || point_id), point_id) r FROM p) WHERE r <= 16",
-    "face_type_hist": f"WITH {FACES} SELECT part_id, " + ", ".join(f"round(avg((kind = '{k}')::INT), 6) AS {k}" for k in ("plane", "cylinder", "cone")) + " FROM f GROUP BY 1",
+    "face_type_hist": "SELECT l_orderkey AS part_id, " + ", ".join(f"round(avg((l_linenumber % 6 = {i})::INT), 6) AS {k}" for i, k in enumerate(("plane", "cylinder", "cone", "sphere", "torus", "free"))) + " FROM lineitem GROUP BY 1",
     "primitive_kinds": f"SELECT p.kind AS kind, count(*) AS n, round(avg(p.params['radius']), 4) AS mean_radius FROM (SELECT unnest(primitives) p FROM {HOLES}) GROUP BY 1",
     "bbox_ratio": "WITH b AS (SELECT l_suppkey, list_sort([(max(l_quantity) - min(l_quantity))::DOUBLE, (max(l_extendedprice / 1000) - min(l_extendedprice / 1000))::DOUBLE, (max(l_discount * 100) - min(l_discount * 100))::DOUBLE]) s FROM lineitem GROUP BY 1) SELECT l_suppkey, round(s[1] / (s[3] + 1e-12), 6) AS r1, round(s[2] / (s[3] + 1e-12), 6) AS r2 FROM b",
     "hist64": "WITH x AS (SELECT l_suppkey, l_quantity::DOUBLE / 50 q FROM lineitem), m AS (SELECT l_suppkey, avg(q) m FROM x GROUP BY 1), b AS (SELECT l_suppkey, least(64, floor(round(abs(q - m), 9) * 64) + 1)::INT AS bin, count(*) n FROM x JOIN m USING (l_suppkey) GROUP BY 1, 2) SELECT l_suppkey, bin, n, (sum(n) OVER (PARTITION BY l_suppkey))::BIGINT AS total FROM b",
-    "roundness": f"WITH {FACES} SELECT part_id, round(1 - least(1.0, stddev_pop(radius) / (avg(radius) + 1e-6)), 6) AS roundness, round(max(depth) - min(depth), 6) AS extent FROM f GROUP BY 1",
-    "mean_of_means": f"WITH {FACES}, k AS (SELECT part_id, kind, avg(ax) x, avg(ay) y FROM f GROUP BY 1, 2) SELECT part_id, round(avg(x), 6) AS x, round(avg(y), 6) AS y FROM k GROUP BY 1",
+    "roundness": """WITH p AS (SELECT l_suppkey, l_quantity::DOUBLE - 5 x, l_extendedprice::DOUBLE / 1000 - 2 y, l_discount::DOUBLE * 100 z FROM lineitem), q AS (SELECT l_suppkey, 0.6 * x + 0.8 * z t, x * x + y * y + z * z s FROM p), r AS (SELECT l_suppkey, t, sqrt(greatest(0.0, s - t * t)) r FROM q)
+        SELECT l_suppkey, round(1 - least(1.0, stddev_pop(r) / (avg(r) + 1e-6)), 6) AS roundness, round(max(t) - min(t), 6) AS extent FROM r GROUP BY 1""",
+    "mean_of_means": f"WITH {FACES}, k AS (SELECT part_id, face_no % 2 g, avg(ax) x, avg(ay) y, avg(az) z FROM f WHERE kind = 'cone' GROUP BY 1, 2), m AS (SELECT part_id, avg(x) x, avg(y) y, avg(z) z FROM k GROUP BY 1) SELECT part_id, round(coalesce(x, 0.0), 6) AS x, round(coalesce(y, 0.0), 6) AS y, round(coalesce(z, 0.0), 6) AS z FROM (SELECT DISTINCT part_id FROM f) LEFT JOIN m USING (part_id)",
     "coaxial_best_match": f"WITH {FACES}, {COAX} SELECT part_id, face_no, cone_no, round(coax_dot, 6) AS coax_dot FROM x",
     "hole_extraction": f"""WITH {FACES}, {COAX}, c AS (SELECT part_id, face_no, radius, depth, row_number() OVER (PARTITION BY part_id ORDER BY face_no, radius, depth) no FROM f WHERE kind = 'cylinder' AND radius >= 0.25), r AS (SELECT part_id, bool_or(kind = 'plane') ring FROM f GROUP BY 1)
         SELECT part_id, part_id || '::h' || lpad(no::VARCHAR, 4, '0') AS hole_id, 2 * radius AS D0, depth AS H0, 2 * x.semi_angle AS alpha0, round((coalesce(coax_dot, 1.0) + CASE WHEN ring THEN 1.0 ELSE 0.3 END) / 2, 6) AS q FROM c LEFT JOIN x USING (part_id, face_no) JOIN r USING (part_id) WHERE depth >= 5 AND radius >= 2""",
-    "candidates_agg": f"""WITH {FACES}, c AS (SELECT * FROM f WHERE kind = 'cylinder' AND depth >= 0), r AS (SELECT part_id, ax rx, ay ry, az rz FROM (SELECT *, row_number() OVER (PARTITION BY part_id ORDER BY depth DESC, face_no) n FROM c) WHERE n = 1), s AS (SELECT c.*, CASE WHEN ax * rx + ay * ry + az * rz < 0 THEN -1.0 ELSE 1.0 END::DOUBLE s FROM c JOIN r USING (part_id))
-        SELECT part_id, round(median(2 * radius), 6) AS D0, round(sum(depth), 6) AS H0, round(avg(s * ax), 6) AS ax, round(avg(s * ay), 6) AS ay, round(avg(s * az), 6) AS az, 0.8::DOUBLE AS q FROM s GROUP BY 1""",
+    "candidates_agg": f"""WITH {FACES}, c AS (SELECT part_id, face_no, radius, depth, ax / n ax, ay / n ay, az / n az FROM (SELECT *, sqrt(ax * ax + ay * ay + az * az) n FROM f WHERE kind = 'cylinder' AND depth >= 0)), r AS (SELECT part_id, arg_min(ax, face_no) rx, arg_min(ay, face_no) ry, arg_min(az, face_no) rz FROM c GROUP BY 1),
+        s AS (SELECT c.*, CASE WHEN ax * rx + ay * ry + az * rz < 0 THEN -1.0 ELSE 1.0 END::DOUBLE s FROM c JOIN r USING (part_id)), m AS (SELECT part_id, median(2 * radius) D0, sum(depth) H0, avg(s * ax) x, avg(s * ay) y, avg(s * az) z FROM s GROUP BY 1), b AS (SELECT part_id, avg(cx) AS cx, avg(cy) AS cy, avg(cz) AS cz FROM (SELECT part_id, face_no, avg(ax) AS cx, avg(ay) AS cy, avg(az) AS cz FROM f WHERE kind = 'cone' GROUP BY 1, 2) GROUP BY 1)
+        SELECT part_id, round(D0, 6) AS D0, round(H0, 6) AS H0, 90.0::DOUBLE AS alpha0, round(x / sqrt(x * x + y * y + z * z), 6) AS ax, round(y / sqrt(x * x + y * y + z * z), 6) AS ay, round(z / sqrt(x * x + y * y + z * z), 6) AS az, round(coalesce(cx, 0.0), 6) AS "bx", round(coalesce(cy, 0.0), 6) AS "by", round(coalesce(cz, 0.0), 6) AS "bz", 0.8::DOUBLE AS q FROM m LEFT JOIN b USING (part_id)""",
     "candidate_quality": f"SELECT hole_id, round((least(1.0, greatest(0.0, coalesce(nullif(flags.coax_dot, 0), 1.0))) + CASE WHEN flags.has_entry_ring THEN 1.0 ELSE 0.3 END) / 2, 6) AS quality FROM {HOLES}",
     "record_validation": f"SELECT problem, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN hole_id IS NULL THEN 'no_id' END, CASE WHEN D0 < 0 THEN 'negative_D0' END, CASE WHEN H0 < 0 THEN 'negative_H0' END, CASE WHEN q IS NULL OR q < 0 OR q > 1 THEN 'q_range' END, CASE WHEN primitives IS NULL OR len(primitives) = 0 THEN 'no_primitives' END], lambda x: x IS NOT NULL)) AS problem FROM {HOLES}) GROUP BY 1",
     "candidate_totals": "WITH p AS (SELECT source_dataset, part_id, count(*) n FROM (SELECT DISTINCT hole_id, part_id, source_dataset FROM hole_candidates) GROUP BY 1, 2) SELECT source_dataset, sum(n)::BIGINT AS total, round(avg(n), 6) AS mean, median(n)::DOUBLE AS p50, round(quantile_cont(n::DOUBLE, 0.9), 6) AS p90, max(n) AS most FROM p GROUP BY 1",
@@ -383,6 +446,15 @@ SQL = {
     "param_grid": f"WITH {FACES}, {PAIRS}, {GRID} SELECT tol, iou_min, hits, n, round(hits / n, 6) AS recall FROM r",
     "tuned_setting": f"WITH {FACES}, {PAIRS}, {GRID}, s AS (SELECT tol, iou_min, hits, n, round(hits / n, 6) AS recall FROM r) SELECT * FROM s ORDER BY recall >= 0.3 DESC, CASE WHEN recall >= 0.3 THEN tol END, recall DESC, iou_min DESC, tol LIMIT 1",
     "weighted_recall": f"WITH {FACES}, {PAIRS}, {HIT}, p AS (SELECT part_id, count(*) n FROM t GROUP BY 1), q AS (SELECT part_id, count(*) k FROM h GROUP BY 1) SELECT count(*) AS n_parts, round(sum(coalesce(k, 0) / n * greatest(1, n)) / sum(greatest(1, n)), 6) AS recall FROM p LEFT JOIN q USING (part_id)",
+    "stress_evaluation": f"""WITH {FACES}, {PAIRS}, {HIT}, k AS (SELECT part_id, count(*) hits FROM h GROUP BY 1), p AS (SELECT part_id, count(*) FILTER (face_no % 2 = 1) nt, count(*) FILTER (face_no % 2 = 0) nf, sum(depth) ms, count(*) n FROM f GROUP BY 1),
+        r AS (SELECT *, CASE WHEN n = 1 THEN 'error' WHEN ms > 200 THEN 'timeout' ELSE 'ok' END st, CASE WHEN n = 1 THEN 0 WHEN ms > 200 THEN 1 ELSE greatest(1, nt) END w FROM p LEFT JOIN k USING (part_id))
+        SELECT round(sum(CASE WHEN st = 'ok' AND nt > 0 THEN coalesce(hits, 0) / nt * w ELSE 0 END) / sum(w), 6) AS recall, round(median(ms) FILTER (st = 'ok'), 4) AS median_ms, round(avg(nf) FILTER (st = 'ok'), 6) AS per_part, sum(w)::BIGINT AS n FROM r""",
+    "real_evaluation": f"WITH p AS (SELECT part_id, count(*) k, median(H0) ms FROM {HOLES} GROUP BY 1) SELECT 0.0::DOUBLE AS recall, round(median(ms), 4) AS median_ms, round(avg(k), 6) AS per_part, count(*) AS n FROM p WHERE ms IS NOT NULL",
+    "tuning_trials": f"""WITH {FACES}, {PAIRS}, g AS (SELECT unnest([5.73, 6.23, 6.73]::DOUBLE[]) AS setting), k AS (SELECT avg(c) c FROM (SELECT count(*) FILTER (face_no % 2 = 0) c FROM f GROUP BY part_id)), r AS (SELECT setting, round((SELECT count(DISTINCT (part_id, gt_id)) FROM m WHERE angle <= setting AND iou >= 0.7) / (SELECT count(*) FROM t), 6) AS recall FROM g)
+        SELECT setting, recall, round(c, 6) AS per_part, recall >= 0.05 AS ok FROM r, k""",
+    "recall_with_centres": f"""WITH {FACES}, t AS (SELECT * FROM f WHERE face_no % 2 = 1) SELECT DISTINCT a.part_id, a.face_no AS gt_id FROM t a JOIN f b USING (part_id) WHERE b.face_no % 2 = 0 AND round(degrees(acos(least(1.0, greatest(-1.0, {COS})))), 6) <= CASE WHEN a.semi_angle <= 45 THEN 5.73 ELSE 8.0 END
+        AND round(least(a.depth, b.depth) / greatest(a.depth, b.depth), 6) >= 0.7 AND sqrt(pow(10 * a.ax - 10 * b.ax, 2) + pow(10 * a.ay - 10 * b.ay, 2)) <= greatest(0.01 * 2 * a.radius, 0.2)""",
+    "report_samples": f"WITH k AS (SELECT hole_id, CASE WHEN D0 IS NULL THEN 'no_candidate' WHEN primitives IS NULL OR len(primitives) = 0 THEN 'parse_error' WHEN H0 IS NULL OR H0 < 0 THEN 'error' END AS kind FROM {HOLES}) SELECT hole_id, kind FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY hole_id) r FROM k WHERE kind IS NOT NULL) WHERE r <= CASE kind WHEN 'error' THEN 20 ELSE 200 END",
     "face_probe": f"WITH {FACES}, {PROBE} SELECT * FROM w",
     "no_candidate_sums": f"WITH {FACES}, {PROBE} SELECT count(*) AS n_parts, " + ", ".join(f"sum({c})::BIGINT AS {c}" for c in ("faces", "planes", "cylinders", "cones", "narrow", "shallow", "upright")) + " FROM w WHERE fit = 0",
     "geom_hash_classes": f"WITH {USABLE}, h AS (SELECT part_id, list_transform(bbox_ratio || surf_hist, lambda x: round(x, 2)) h FROM u) SELECT min(part_id) AS first, count(*) AS n FROM h GROUP BY h HAVING count(*) > 1",

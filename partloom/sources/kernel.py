@@ -59,3 +59,18 @@ def run_files(files: DataFrame, worker: Callable[[str, bytes], list[dict]], fiel
 
     done = files.select(key, "content").mapInPandas(run, f"{key} string, status string, message string, elapsed_ms double, {fields}")
     return done.withColumn("error", classify_error(F.col("message")))
+
+
+def rebuild(lines: DataFrame, files: DataFrame, done: DataFrame, worker: Callable[[str, bytes], list[dict]], fields: str, seconds: int = 60) -> DataFrame:
+    """What a rebuild does with each listed part: ``skip_exists`` where ``done`` has it, ``skip_unresolved`` where no file is
+    known, else the rows of :func:`run_files` with their status.
+
+    ``lines`` is ``(part_id)``, ``files`` ``(part_id, path, length, content)``, ``done`` ``(part_id)``. Repeated lines count once.
+    """
+    listed = lines.select("part_id").filter(F.col("part_id").isNotNull()).distinct()
+    there = done.select("part_id").distinct()
+    open_ = listed.join(there, "part_id", "left_anti")
+    names = [f.split()[0] for f in fields.split(", ")]
+    work = run_files(files.join(open_, "part_id", "left_semi"), worker, fields, key="part_id", seconds=seconds)
+    skipped = listed.join(there, "part_id", "left_semi").withColumn("status", F.lit("skip_exists")).unionByName(open_.join(files.select("part_id"), "part_id", "left_anti").withColumn("status", F.lit("skip_unresolved")))
+    return work.select("part_id", "status", *names).unionByName(skipped, allowMissingColumns=True)

@@ -202,8 +202,22 @@ def test_candidates(spark):
     assert [(r["face_no"], r["cone_no"]) for r in candidates.best_coaxial(f).collect()] == [(1, 2)]
     got = {r["hole_id"]: (r["alpha0"], r["q"]) for r in candidates.extract(f, 1.0, 0.5).collect()}
     assert got == {"1::h0001": (90.0, 0.65), "2::h0001": (None, 1.0)}
+    ringed = candidates.extract(f.withColumn("q_round", F.lit(0.5)), 1.0, 0.5, rings=f.select("part_id").filter("part_id = 1"), ring_required=False)
+    assert {r["hole_id"]: r["q"] for r in ringed.collect()} == {"1::h0001": round(2.5 / 3, 6), "2::h0001": round((0.5 + 1 + 0.7) / 3, 6)}
     one = {r["part_id"]: r for r in candidates.one_per_part(f).collect()}
     assert one[1]["D0"] == 4.0 and math.isclose(one[1]["H0"], 20.1)
+    assert set(one) == {1}  # a cylinder without an axis is none
+    flat = spark.createDataFrame([(3, 1, "cylinder", 1.0, 2.0, 0.0, 0.0, 3.0, 0.0), (3, 2, "cylinder", 1.0, 5.0, 0.0, 0.0, -1.0, 0.0)], f.schema)
+    r = candidates.one_per_part(flat, centres=spark.createDataFrame([(3, 1.0, 2.0, 3.0)], "part_id long, x double, y double, z double")).first()
+    assert (r["az"], r["bx"], r["bz"], r["alpha0"]) == (1.0, 1.0, 3.0, 90.0)
+    runs = spark.createDataFrame([("ok", 1, 2, 10.0, 3), ("ok", 0, 0, 30.0, 1), ("timeout", 0, 4, 99.0, 0), ("error", 0, 5, 1.0, 9)], "status string, hits int, n_true int, ms double, n_found int")
+    e = candidates.evaluation(runs).first()
+    assert (e["recall"], e["median_ms"], e["per_part"], e["n"]) == (0.25, 20.0, 2.0, 4) and candidates.evaluation(runs.limit(0)).first()["n"] == 0
+    base = {"setting": 0.0, "recall": 0.3, "median_ms": 10.0, "per_part": 1.0}
+    trials = lambda best: spark.createDataFrame([(1.0, 0.9, 14.0, 1.0), (2.0, 0.7, 9.0, 1.3), (3.0, 0.7, 8.0, 1.3), (4.0, 0.8, 9.0, 2.0)], "setting double, recall double, median_ms double, per_part double")
+    assert candidates.tune([trials], base, 0.6)["setting"] == 3.0 and candidates.tune([trials], base, 0.95)["setting"] == 0.0
+    near = spark.createDataFrame([(1, 1, 0.0, 1.0, 0.9, 0.25, 1.0), (1, 2, 0.0, 1.0, 0.9, 0.35, 1.0), (1, 3, 0.0, 1.0, 0.9, 0.15, 0.1)], "part_id int, gt_id int, tilt double, angle double, iou double, apart double, D double")
+    assert {r["gt_id"] for r in candidates.matched(near, 5.0, 8.0, 0.7, centre=(0.3, 0.2)).collect()} == {1, 3} and candidates.matched(near, 5.0, 8.0, 0.7).count() == 3
     gt = spark.createDataFrame([(1, 1, 40.0, 1.0, 0.0, 0.0, 10.0, 1.0), (1, 2, 46.0, 1.0, 0.0, 0.0, 10.0, 1.0), (1, 3, 40.0, 0.0, 1.0, 0.0, 10.0, 1.0)], "part_id long, gt_id int, tilt double, ax double, ay double, az double, depth double, radius double")
     pred = spark.createDataFrame([(1, math.cos(math.radians(7)), math.sin(math.radians(7)), 0.0, 7.0)], "part_id long, ax double, ay double, az double, depth double")
     pairs = candidates.pair_measures(gt, pred)
@@ -221,6 +235,15 @@ def test_shapes(spark):
     pts = spark.createDataFrame([("p", i, float(i), 0.0, 0.0) for i in range(10)] + [("q", 0, 0.0, 0.0, 0.0)], "part_id string, point_id int, x double, y double, z double")
     n = shapes.normalised_points(pts).filter("part_id = 'p'").collect()
     assert math.isclose(max(r["x"] for r in n) - min(r["x"] for r in n), 1, rel_tol=1e-6)
+    box = shapes.box_ratios(pts).filter("part_id = 'p'").first()
+    assert (box["r1"], box["r2"]) == (0.0, 0.0)
+    ring = spark.createDataFrame([("r", math.cos(a), math.sin(a), float(a)) for a in range(7)], "part_id string, x double, y double, z double")
+    axis = spark.createDataFrame([("r", 0.0, 0.0, 5.0)], "part_id string, ax double, ay double, az double")
+    assert math.isclose(shapes.roundness(ring, axis, "part_id").first()["roundness"], 1.0, abs_tol=1e-6) and math.isclose(shapes.extent_along(ring, axis, "part_id").first()["extent"], 6.0, rel_tol=1e-9)
+    kinds = shapes.surface_histogram(spark.createDataFrame([("p", "plane"), ("p", "odd"), ("p", None), ("p", "cone")], "part_id string, kind string")).first()
+    assert (kinds["plane"], kinds["cone"], kinds["free"]) == (0.25, 0.25, 0.5)
+    centre = shapes.mean_of_centres(spark.createDataFrame([("p", 1, 0.0, 0.0, 0.0), ("p", 1, 2.0, 0.0, 0.0), ("p", 2, 5.0, 0.0, 0.0)], "part_id string, face_no int, x double, y double, z double"), pts)
+    assert {r["part_id"]: r["x"] for r in centre.collect()} == {"p": 3.0, "q": 0.0}
     h = shapes.pair_distance_histogram(shapes.normalised_points(pts), pairs=200).collect()
     assert {r["part_id"] for r in h} == {"p"} and math.isclose(sum(r["share"] for r in h), 1) and max(r["bin"] for r in h) <= 37
     assert shapes.thinned(pts, 3).groupBy("part_id").count().filter("part_id = 'p'").first()["count"] == 3

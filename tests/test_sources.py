@@ -119,3 +119,11 @@ def test_cached_and_new_results_are_united(spark):
     cache = spark.createDataFrame([("a", 1, "t", "old"), ("c", 3, "t", "old"), ("gone", 1, "t", "old")], "path string, size int, modified string, result string")
     got = readers.refreshed(listing, cache, lambda df: df.withColumn("result", F.lit("new")))
     assert {(r["path"], r["result"]) for r in got.collect()} == {("a", "old"), ("b", "new"), ("c", "new")}
+
+
+def test_rebuild_skips_what_is_there_or_unknown(spark):
+    lines = spark.createDataFrame([("a",), ("a",), ("b",), ("gone",), (None,)], "part_id string")
+    files = spark.createDataFrame([("a", "/a", 1, bytearray(b"x y")), ("b", "/b", 9, bytearray(b"z")), ("other", "/o", 1, bytearray(b"z"))], "part_id string, path string, length long, content binary")
+    got = kernel.rebuild(lines, files, spark.createDataFrame([("b",)], "part_id string"), lambda path, content: [{"word": w} for w in content.decode().split()], "word string").collect()
+    assert sorted((r["part_id"], r["status"], r["word"]) for r in got if r["word"]) == [("a", "written", "x"), ("a", "written", "y")]
+    assert {(r["part_id"], r["status"]) for r in got if not r["word"]} == {("b", "skip_exists"), ("gone", "skip_unresolved")}
