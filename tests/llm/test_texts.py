@@ -2,6 +2,7 @@
 
 from pathlib import Path
 
+import numpy as np
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -128,9 +129,48 @@ def test_subjects_of_little_or_nothing(spark):
     assert subjects.subjects_of(docs.limit(0), labels.limit(0)).count() == 0
 
 
+def _mentions(words, sentence=None):
+    names = ["cooking", "music", "sport"]
+    w = {"relay": {"sport": 0.9}, "team": {"sport": 0.8}, "snare": {"music": 1.0}, "reed": {"music": 0.9}, "scale": {"cooking": 0.4, "music": 0.4}}
+    table_ = np.array([[x.get(n, 0.0) for n in names] for x in w.values()])
+    term = np.array([list(w).index(x) if x in w else -1 for x in words], np.int64)
+    of = np.zeros(len(words), np.int64) if sentence is None else np.array(sentence)
+    got = subjects._strongest(subjects.mentions(of, term, table_, int(of.max(initial=0)) + 1), 1.3)
+    return [names[g] if g >= 0 else None for g in got]
+
+
 def test_one_mention_is_not_enough():
-    w = {"relay": [("sport", 0.9)], "team": [("sport", 0.8)], "snare": [("music", 1.0)], "reed": [("music", 0.9)], "scale": [("cooking", 0.4), ("music", 0.4)]}
-    assert subjects.strongest(subjects.mentions(["a", "relay", "team", "but"], w), 1.3) is None
-    assert subjects.strongest(subjects.mentions(["relay", "x", "team"], w), 1.3) == "sport"
-    assert subjects.strongest(subjects.mentions(["snare", "of", "scale"], w), 1.3) == "music"
-    assert subjects.strongest(subjects.mentions([], w), 1.3) is None and subjects.strongest({"b": 2.0, "a": 2.0}, 1.3) == "a"
+    assert _mentions(["a", "relay", "team", "but"]) == [None]
+    assert _mentions(["relay", "x", "team"]) == ["sport"] and _mentions(["snare", "of", "scale"]) == ["music"] and _mentions([]) == [None]
+    assert _mentions(["relay", "team", "snare", "x", "reed"], [0, 1, 2, 2, 2]) == [None, None, "music"]  # neighbours in different sentences
+    assert subjects._strongest(np.array([[2.0, 2.0]]), 1.3).tolist() == [0]
+
+
+def test_leaves_divide_and_name(spark, monkeypatch):
+    """A mixed leaf is divided by its labelled documents, one of small talk gets no name; the same with joins in place of sent tables."""
+    say = {"law": "court judge verdict appeal", "music": "snare reed chord tempo", "sport": "relay team goal match", "food": "dough oven simmer broth", "garden": "hedge weed compost bulb", "talk": "thanks bump hello bye"}
+    kinds, rows, labels = list(say), [], []
+    for i in range(180):
+        kind, turn = kinds[i % 6], i // 6
+        words = say[kind].split()
+        rows.append((i, " x ".join(words[turn % 2 :]) + ".", "a"))
+        if kind != "talk" and turn % 3 == 0:
+            labels.append((i, kind, "ann"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, term string")
+    labels = spark.createDataFrame(labels, "doc_id long, subject string, annotator string")
+    want = {(i, kinds[i % 6]) for i in range(180) if i % 6 < 5}
+    for most in (300_000, 0):
+        monkeypatch.setattr(subjects, "MOST_SENT", most)
+        got = {tuple(r) for r in subjects.subjects_of(docs, labels, k=4).collect()}
+        assert got == want
+    none = labels.limit(0)
+    assert subjects.subjects_of(docs, none).count() == 0  # nothing names a leaf
+    leaf = spark.createDataFrame([(i, [subjects.term_of(w) for w in say[("law", "music")[i % 2]].split()], 0) for i in range(8)], "doc_id long, words array<long>, leaf int")
+    sure = spark.createDataFrame([(0, "law"), (1, "music")], "doc_id long, subject string")
+    assert {(r["doc_id"], r["leaf"]) for r in subjects.divided(leaf, sure).collect()} == {(i, f"0:{('law', 'music')[i % 2]}") for i in range(8)}
+
+
+def test_a_rule_in_the_middle_is_no_signature():
+    long = "\n".join(f"line {i}." for i in range(12))
+    said = subjects.own_sentences(f"first words\n---\n{long}\n---\nsig")
+    assert said[0] == ["first", "words"] and ["line"] in said and ["sig"] not in said
