@@ -90,6 +90,7 @@ _TOKEN = re.compile(r"[^\W\d_]+|\s+|.", re.DOTALL)
 # --- zones -------------------------------------------------------------------------------------------------------
 
 
+@functools.lru_cache(maxsize=1)
 def zone_version() -> str:
     """Version of the zone data that the transition tables come from."""
     try:
@@ -246,9 +247,9 @@ def _convert(texts: list[str], spans, zones: np.ndarray, orders: np.ndarray) ->
 
 
 def to_utc_frame(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.DataFrame:
-    """``utc_us`` and ``status`` of each text; see :func:`to_utc`."""
-    out = pd.DataFrame({"utc_us": pd.array([pd.NA] * len(text), "Int64"), "status": "none"})
-    values = text.astype(object).where(text.notna(), "").map(lambda v: v.strip() if len(v) < 200 else "").to_numpy(object)
+    """``utc_us``, ``status`` and ``tz_version`` of each text; see :func:`to_utc`."""
+    out = pd.DataFrame({"utc_us": pd.array([pd.NA] * len(text), "Int64"), "status": "none", "tz_version": zone_version()})
+    values = text.astype(object).where(text.notna(), "").map(str.strip).to_numpy(object)
     zones = zone.astype(object).where(zone.notna(), None).to_numpy(object)
     orders = order.astype(object).where(order.notna(), "").map(str.lower).to_numpy(object)
     codes, masks = pd.factorize(np.array([shape_mask(v) for v in values], object))
@@ -264,13 +265,13 @@ def to_utc_frame(text: pd.Series, zone: pd.Series, order: pd.Series) -> pd.DataF
 
 
 def to_utc(text: Column, zone: Column, order: Column) -> Column:
-    """Struct ``(utc_us, status)`` of a timestamp text, the zone of its source and its day-month order.
+    """Struct ``(utc_us, status, tz_version)`` of a timestamp text, the zone of its source and its day-month order.
 
-    ``utc_us`` is set only where the text fixes exactly one instant. ``status`` says why not: ``none`` (null, blank, over
-    200 characters, or no known layout), ``order`` (year-last numbers without a known order), ``impossible`` (no such
+    ``utc_us`` is set only where the text fixes exactly one instant; ``tz_version`` is the version of the zone data of the
+    executor that read it. ``status`` says why not: ``none`` (null, blank, or no known layout), ``order`` (year-last numbers without a known order), ``impossible`` (no such
     date or time), ``skipped`` and ``twice`` (a local time its zone leaves out or repeats), ``zone`` (no zone known).
     """
-    convert = F.pandas_udf(to_utc_frame, "utc_us long, status string")
+    convert = F.pandas_udf(to_utc_frame, "utc_us long, status string, tz_version string")
     return convert(text.cast("string"), zone.cast("string"), order.cast("string"))
 
 
@@ -279,8 +280,7 @@ def normalise(df: DataFrame, text: str, source: str, sites: DataFrame, sites_key
     a column already named ``instant`` is replaced. Rows whose source is null or not among the sites have no zone."""
     site = sites.select(F.col(sites_key).alias("_site"), F.col("tz_name").alias("_tz"), F.col("date_order").alias("_order")).filter(F.col("_site").isNotNull()).dropDuplicates(["_site"])
     joined = df.join(site, df[source] == F.col("_site"), "left").withColumn("instant", to_utc(F.col(text), F.col("_tz"), F.col("_order")))
-    struct = F.struct(F.col("instant.utc_us").alias("utc_us"), F.col("instant.status").alias("status"), F.lit(zone_version()).alias("tz_version"))
-    return joined.withColumn("instant", struct).drop("_site", "_tz", "_order")
+    return joined.drop("_site", "_tz", "_order")
 
 
 def _fields_of(spark, sf_dir: str) -> DataFrame:

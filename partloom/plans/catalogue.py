@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p4_status": timestamps.p4_status,
     "p7_found": units.p7_found,
     "p7_decoded": units.p7_decoded,
+    "p7_holdout": units.p7_holdout,
     **index_queries.QUERIES,
     **split_queries.QUERIES,
     **vector_queries.QUERIES,
