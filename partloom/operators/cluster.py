@@ -72,13 +72,15 @@ def grid_dbscan(points: DataFrame, axes: list[str], eps: float, min_samples: int
     """``(id, label)`` as :func:`dbscan` gives, for points in two or three dimensions, without listing neighbour pairs.
 
     Core points of a cell belong together, so cells are linked: first by the outermost core points of neighbouring
-    cells, then, for the neighbouring cells that are still in different clusters, by all their core points.
+    cells, then, for the neighbouring cells that are still in different clusters, by those of their core points that can
+    reach the box around the other cell's.
     """
     cells = [f"c_{c}" for c in axes]
     grid = materialize(grid_core(grid_points(points, axes, eps, key), axes, eps, min_samples), "grid")
     core = grid.filter("core")
     outer = [f(F.struct(c, "id")).getField("id") for c in axes for f in (F.min, F.max)]
-    cell = with_ids(core.groupBy(*cells).agg(F.array_distinct(F.array(*outer)).alias("outer")))
+    box = [f(c).alias(f"{n}_{c}") for c in axes for f, n in ((F.min, "lo"), (F.max, "hi"))]
+    cell = with_ids(core.groupBy(*cells).agg(F.array_distinct(F.array(*outer)).alias("outer"), *box))
     near = _near_cells(cell.select(F.col("id").alias("src"), *cells), axes, 2).drop(*cells)
     pairs = materialize(near.join(cell.select(F.col("id").alias("dst"), *[F.col(c).alias(f"n_{c[2:]}") for c in cells]), [f"n_{c}" for c in axes]).filter("src < dst").select("src", "dst"), "cell-pairs")
 
@@ -91,7 +93,16 @@ def grid_dbscan(points: DataFrame, axes: list[str], eps: float, min_samples: int
     comp = connected_components(first)
     side = lambda name: comp.select(F.col("id").alias(name), F.col("component").alias(f"{name}_c"))
     open_ = pairs.join(side("src"), "src", "left").join(side("dst"), "dst", "left").filter(F.coalesce("src_c", "src") != F.coalesce("dst_c", "dst")).select("src", "dst")
-    comp = materialize(connected_components(first.unionByName(linked(open_, placed))), "components")
+
+    def facing(some: str, other: str) -> DataFrame:
+        """Points of one cell of the open pairs that are within ``eps`` of the box around the other's."""
+        far = cell.select(F.col("id").alias(other), *[f"{n}_{c}" for c in axes for n in ("lo", "hi")])
+        gap = F.sqrt(sum((F.pow(F.greatest(F.lit(0.0), F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}")), F.lit(2.0)) for c in axes), F.lit(0.0)))
+        rows = open_.join(far, other).join(placed.select(F.col("cell").alias(some), *axes), some)
+        return rows.filter(gap <= eps * (1 + 1e-9)).select("src", "dst", *[F.col(c).alias(f"{some}_{c}") for c in axes])
+
+    near_ = facing("src", "dst").join(facing("dst", "src"), ["src", "dst"]).filter(_distance(axes, "src_", "dst_") <= eps).select("src", "dst").distinct()
+    comp = materialize(connected_components(first.unionByName(near_)), "components")
     label = placed.join(comp.withColumnRenamed("id", "cell"), "cell", "left").select("id", F.coalesce("component", "cell").alias("group"))
     low = label.groupBy("group").agg(F.min("id").alias("label"))
     label = materialize(label.join(low, "group").select("id", "label"), "labels")

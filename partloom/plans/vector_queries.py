@@ -91,9 +91,7 @@ def _boxes(spark, d) -> DataFrame:
 def eps_neighbours(spark, d):
     """Number of parts whose bounding-box ratios lie within a radius of each part's, itself included."""
     b = _boxes(spark, d)
-    pairs = simjoin.pairs_within(b, "id", ["x", "y"], BOX_EPS)
-    degree = pairs.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree"))
-    return b.select("part_id", "id").join(degree, "id").select("part_id", "degree")
+    return simjoin.degrees_within(b, "part_id", ["x", "y"], BOX_EPS)
 
 
 def dbscan_core(spark, d):

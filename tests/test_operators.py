@@ -112,6 +112,9 @@ def test_dbscan_as_in_sequence(spark):
         got = {r["id"]: r["label"] for r in cluster.dbscan(df, pairs, least).collect()}
         assert got == _dbscan(pts, 0.2, least)
         assert {r["id"]: r["label"] for r in cluster.grid_dbscan(df, ["x", "y"], 0.2, least).collect()} == got
+        want = {i: sum(math.dist(p, q) <= 0.2 for q in pts) for i, p in enumerate(pts)}
+        for block in (20_000, 7):
+            assert {r["id"]: r["degree"] for r in simjoin.degrees_within(df, "id", ["x", "y"], 0.2, block=block).collect()} == want
     dirty = spark.createDataFrame([(1, None, 0.0), (2, float("nan"), 0.0), (3, 0.0, 0.0), (3, 0.0, 0.0)], "id long, x double, y double")
     assert {r["id"]: r["label"] for r in cluster.grid_dbscan(dirty, ["x", "y"], 0.2, 5).collect()} == {1: -1, 2: -1, 3: -1}
     assert cluster.grid_dbscan(df.limit(0), ["x", "y"], 0.2, 2).count() == 0
