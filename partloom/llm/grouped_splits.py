@@ -7,12 +7,14 @@ and components that merge parts of different splits are quarantined.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from partloom.functions.ids import family_key, key128, part_ref, usable_hash
 from partloom.operators.graph import contract, hook_to_neighbour, label_by_name, star_edges, with_ids
-from partloom.session import materialize, table
+from partloom.session import materialize, shared_dir, table
 
 SPLITS = ("train", "calib", "test")
 
@@ -100,6 +102,22 @@ def p6_splits(spark, sf_dir: str) -> DataFrame:
     return assign_splits(index.filter(F.col("part_id").isNotNull()), update_components(tie_keys(index)))
 
 
+def write_components(parts: DataFrame, path: str) -> None:
+    """The component table ``(part_id, unit_id, split, status)`` of a run, for the next one to read."""
+    parts.select("part_id", "unit_id", "split", "status").write.mode("overwrite").parquet(path)
+
+
+def p6_update(spark, sf_dir: str) -> DataFrame:
+    """Splits after an update: the files of before 2022 were split first and their component table written; then all files
+    come, so components grow, keep their split, are new, or are quarantined where they merge parts of different splits."""
+    index = table(spark, sf_dir, "part_index_for_split").filter(F.col("part_id").isNotNull())
+    first = index.filter(F.col("file_mtime_utc") < "2022")
+    path = f"{shared_dir(spark).rstrip('/')}/partloom-components-{uuid.uuid4().hex}"
+    write_components(assign_splits(first, update_components(tie_keys(first))), path)
+    previous = spark.read.parquet(path)
+    return assign_splits(index, update_components(tie_keys(index), previous), previous=previous)
+
+
 def p6_domain_splits(spark, sf_dir: str) -> DataFrame:
     index = table(spark, sf_dir, "part_index_for_split")
     return held_out_domains(index.filter(F.col("part_id").isNotNull()), update_components(tie_keys(index)), table(spark, sf_dir, "domains"))

@@ -43,11 +43,12 @@ def pack_shard(sizes: list[int], capacity: int, linear: float, quadratic: float)
     return out
 
 
-def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", containers_per_shard: int = 256, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
+def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_tokens", containers_per_shard: int = 256, rows_per_shard: int = 200_000, linear: float = 1.0, quadratic: float = 1.0 / 2048) -> DataFrame:
     """``(key, piece, start, n_tokens, container_id)``: every item placed, in pieces only if it exceeds ``capacity``.
 
     A larger item is cut into full containers and a rest. The other pieces are dealt by a hash to shards of about
-    ``containers_per_shard`` containers and packed shard by shard, so no task holds more than a shard; a shard wastes
+    ``containers_per_shard`` containers and at most about ``rows_per_shard`` items, empty ones included, and packed shard by
+    shard, so no task holds more than a shard; a shard wastes
     less than one container beside what cannot be filled. Null and negative sizes count as 0 and are placed as well;
     repeated keys are repeated items; an empty table gives no rows.
     """
@@ -60,7 +61,7 @@ def pack(sizes: DataFrame, capacity: int, key: str = "doc_id", size: str = "n_to
     pieces = items.withColumn("piece", cuts).select("_key", "_row", "piece", start.alias("start"), F.least(F.lit(capacity).cast("long"), F.col("_n") - start).alias("n_tokens"))
     rest = pieces.filter(F.col("n_tokens") < capacity)
     total = rest.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(1, math.ceil(total / (capacity * containers_per_shard)))
+    shards = max(1, math.ceil(total / (capacity * containers_per_shard)), math.ceil(rest.count() / rows_per_shard))
     rest = rest.withColumn("shard", F.pmod(F.xxhash64("_row", "piece"), F.lit(shards)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:

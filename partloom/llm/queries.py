@@ -20,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "p5_medoids": density.p5_medoids,
     "p6_found": grouped_splits.p6_found,
     "p6_splits": grouped_splits.p6_splits,
+    "p6_update": grouped_splits.p6_update,
     "p6_domain_splits": grouped_splits.p6_domain_splits,
     "p8_ids": tokenizer.p8_ids,
     "p8_counts": tokenizer.p8_counts,
