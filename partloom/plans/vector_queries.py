@@ -15,14 +15,14 @@ from partloom.session import table
 BLOCKS = {"d2_hist": 64, "bbox_ratio": 2, "surf_hist": 6, "dih_hist": 36}
 
 
-def usable(spark, d) -> DataFrame:
-    """Parts whose four blocks are there, without NaN and not all zero, each once."""
+def usable(spark, d, once: bool = True) -> DataFrame:
+    """Parts whose four blocks are there, without NaN and not all zero, each once, or with ``once`` False as often as given."""
     s = table(spark, d, "signatures").select("part_id", *BLOCKS)
     good = None
     for c in BLOCKS:
         ok = F.col(c).isNotNull() & ~F.exists(c, lambda x: x.isNull() | F.isnan(x)) & F.exists(c, lambda x: x != 0)
         good = ok if good is None else good & ok
-    return s.filter(good).dropDuplicates(["part_id"])
+    return s.filter(good).dropDuplicates(["part_id"]) if once else s.filter(good)
 
 
 def vec_l2(spark, d):
