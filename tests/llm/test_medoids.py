@@ -25,3 +25,19 @@ def test_copies_count_in_size_and_mean(spark):
     blocks = [c for c in BLOCKS if c != "bbox_ratio"]
     unit = np.array([np.concatenate([np.array(r[c]) / np.linalg.norm(r[c]) for c in blocks]) / np.sqrt(3) for r in rows[:340]])
     assert abs(top[1]["typicality"] - unit[0] @ unit.mean(0)) < 2e-5
+
+
+def test_each_distinct_vector_is_clustered_once(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    base = [{c: rng.integers(1, 4000, w) / 20_000 for c, w in BLOCKS.items()} for _ in range(4)]
+    base[3] = {c: v + 1e-7 for c, v in base[3].items()}  # no multiples: moved as floats
+    row = lambda i, j: {"part_id": f"q{j}{i:03d}", **{c: v.tolist() for c, v in base[j].items()}}
+    rows = [row(i, j) for j, n in enumerate((90, 8, 7, 9)) for i in range(n)]
+    rows += rows[:5] + [{**row(0, 0), "part_id": "null", "d2_hist": None}]
+    seen, linked = [], density._linked
+    monkeypatch.setattr(density, "_linked", lambda rows, total, **k: linked(seen.append(total) or rows, total, **k))
+    df = spark.createDataFrame(pa.Table.from_pylist(rows)).repartition(7)
+    got = {r["part_id"]: r["cluster_id"] for r in density.distinct_clusters(df).collect()}
+    # seven parts are too few, and a vector that is alone has parts enough
+    assert seen == [4] and got == {f"q{j}{i:03d}": f"q{j}000" for j, n in ((0, 90), (1, 8), (3, 9)) for i in range(n)}
+    assert density.distinct_clusters(df.limit(0)).count() == 0
